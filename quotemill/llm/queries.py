@@ -5,8 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import groups, spans
-from quotemill.session import Stored, table
+from quotemill.llm import groups, matching, spans
+from quotemill.operators import instants
+from quotemill.session import table
+
+
+def _markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The binary markets of three venues, one row each, with the time they close and what their tickers say."""
+    defaults = F.broadcast(table(spark, sf_dir, "venue_defaults").select("source", "zone_name", "date_order"))  # a row a venue
+    exchange = table(spark, sf_dir, "kalshi_markets").filter("market_type = 'binary'")
+    listed = [
+        exchange.select("rec_id", F.lit("kalshi").alias("venue"), F.col("ticker").alias("id"), "title", F.col("close_time").alias("text")),
+        table(spark, sf_dir, "manifold_markets").select("rec_id", F.lit("manifold").alias("venue"), "id", F.col("question").alias("title"), F.col("closetime").alias("text")),
+        table(spark, sf_dir, "polymarket_markets").select("rec_id", F.lit("polymarket").alias("venue"), "id", F.col("question").alias("title"), F.col("enddate").alias("text")),
+    ]
+    rows = listed[0].unionByName(listed[1]).unionByName(listed[2]).withColumn("key", F.concat_ws(":", "venue", "id"))
+    rows = rows.groupBy("key", "venue").agg(F.min_by(F.struct("id", "title", "text"), "rec_id").alias("r")).select("key", "venue", "r.*")
+    whole_day = F.coalesce(F.trim("text").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+    text = F.when(whole_day, F.concat(F.trim("text"), F.lit("T00:00:00Z"))).otherwise(F.col("text"))
+    timed = instants.normalise(rows.withColumns({"whole_day": whole_day, "text": text}).join(defaults, F.col("venue") == F.col("source"), "left"), F.col("text"), F.col("venue"), F.col("zone_name"), F.col("date_order"))
+    stamp = r"-(\d{2}[A-Z]{3}\d{2})(?:V\d+)?-([TB])(\d+(?:\.\d+)?)$"
+    of = lambda i: F.when(F.col("venue") == "kalshi", F.nullif(F.regexp_extract("id", stamp, i), F.lit("")))
+    day = F.try_to_timestamp(F.concat(F.substring(of(1), 1, 2), F.substring(of(1), 3, 1), F.lower(F.substring(of(1), 4, 2)), F.substring(of(1), 6, 2)), F.lit("yyMMMdd")).cast("date")
+    return timed.select("key", "venue", "title", F.col("utc_micros").alias("close"), "whole_day", day.alias("hint_day"), F.when(of(2) == "T", 1).when(of(2) == "B", -1).alias("hint_direction"), of(3).try_cast("double").alias("hint_threshold"))
+
+
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate pairs of markets with their marginal probability."""
+    places = table(spark, sf_dir, "forecast_stations").select(F.col("station").alias("code"), F.col("city").alias("name"))
+    return matching.match(_markets(spark, sf_dir), places).select(F.col("a").alias("market_a"), F.col("b").alias("market_b"), "confidence")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of markets of different venues that more likely than not ask the same thing."""
+    return p5_matches(spark, sf_dir).filter("confidence >= 0.5").select("market_a", "market_b")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +66,7 @@ def p10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.repeats(spans.shared_runs(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p10_found, p10_shared, p10_repeats)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_matches, p6_found, p10_found, p10_shared, p10_repeats)}
 
 ORACLE = {
     "p6_found": """
