@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import groups, matching, spans
+from quotemill.llm import groups, matching, mixing, packing, spans, tokens
 from quotemill.operators import instants
 from quotemill.session import table
 
@@ -50,6 +50,28 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.select("market_key").distinct().join(found, F.col("market_key") == F.col("node")).select("market_key", F.col("component").alias("group_key"))
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document goes in containers of each capacity."""
+    return packing.pack(tokens.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_limits"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well containers of each capacity are filled."""
+    return packing.report(p8_pack(spark, sf_dir))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used so that sources reach their target shares."""
+    # Records of a series and single ones are the topics that the table tells apart.
+    docs = table(spark, sf_dir, "documents").withColumns({"language": F.lower(F.substring("lang", 1, 2)), "topic": F.when(F.col("episode").isNull(), "single").otherwise("series")})
+    return mixing.mix(tokens.sized(docs, keep=("source", "language", "topic")), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the sources."""
+    return mixing.report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each longest stretch of a document that also stands verbatim in other documents."""
     return spans.stretches(spans.shared_runs(table(spark, sf_dir, "documents")))
@@ -66,7 +88,7 @@ def p10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.repeats(spans.shared_runs(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_matches, p6_found, p10_found, p10_shared, p10_repeats)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_matches, p6_found, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_shared, p10_repeats)}
 
 ORACLE = {
     "p6_found": """

@@ -181,4 +181,11 @@ def _sides(rest: str) -> tuple[str, str]:
                 clean = lambda side: " ".join(SHORT_FORMS.get(x, x) for x in side if x not in drop and not (len(x) <= 4 and sorted(x) in (sorted("will"), sorted("win"))))
                 if clean(left) and clean(right):
                     return clean(left), clean(right)
+    # No word parts the sides: what follows "win", less a stray letter or two, is the other one.
+    at = next((i for i, w in enumerate(words) if w == "win" and 0 < i < len(words) - 1), None)
+    if at:
+        right = [w for w in words[at + 1 :] if len(w) > 2]
+        left = [w for w in words[:at] if w not in drop]
+        if left and right:
+            return " ".join(SHORT_FORMS.get(w, w) for w in left), " ".join(right)
     return " ".join(w for w in words if w not in drop), ""
