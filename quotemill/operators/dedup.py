@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Data types whose aggregation buffers stay in place, so that min_by runs as a hash aggregate.
-FIXED_WIDTH = ("bigint", "int", "smallint", "tinyint", "timestamp", "timestamp_ntz", "date", "double", "float", "boolean")
-
-
 def _all(conditions: Sequence[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
@@ -18,24 +14,17 @@ def _all(conditions: Sequence[Column]) -> Column:
     return out
 
 
-def _order(df: DataFrame, order: Sequence[str]) -> Column:
-    """A single fixed-width column orders by itself (hash aggregate); several, or a wide one, by a struct."""
-    if len(order) == 1 and dict(df.dtypes)[order[0]] in FIXED_WIDTH:
-        return F.col(order[0])
-    return F.struct(*order)
-
-
 def keep_one(df: DataFrame, identity: dict[str, Column], order: Sequence[str]) -> DataFrame:
     """The row of each identity that comes first by order; all columns of df come back unchanged.
 
     min_by over the order is a mergeable aggregate: every task reduces its own copies before the
     shuffle, so an identity that holds a third of all rows costs one row a task. Rows with a null in
     any part of the identity can't be known for copies and are all kept. order must tell rows apart
-    (end it with a unique column); of rows that are equal in all of it any one is kept, and they are
-    equal in those columns. Columns of df may have any names: the aggregate works on one struct.
+    (end it with a unique column); of rows that are equal in all of it any one is kept. Nulls come first
+    in order. Columns of df may have any names: the aggregate works on one struct.
     """
     names = [f"_k{i}" for i in range(len(identity))]
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in zip(names, identity.values())], _order(df, order).alias("_order"))
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in zip(names, identity.values())], F.struct(*order).alias("_order"))
     known = _all([F.col(n).isNotNull() for n in names])
     kept = keyed.filter(known).groupBy(*names).agg(F.min_by("_row", "_order").alias("_row"))
     return kept.select("_row.*").unionByName(keyed.filter(~known).select("_row.*"))
@@ -47,10 +36,11 @@ def surplus_copies(df: DataFrame, identity: dict[str, Column], key: str, order:
     Two shuffles: one of (identity, key), reduced map-side, and one of the keys alone, to which the
     kept keys are anti-joined. Keys are unique, so neither side can be skewed however hot an
     identity is, and no list of copies is ever gathered. Rows with a null in the identity are no
-    copies. With no order the smallest key is kept.
+    copies, rows with a null key have no name and are left out. With no order the smallest key is kept,
+    which runs as a hash aggregate (a struct as order needs a sort).
     """
     names = [f"_k{i}" for i in range(len(identity))]
     order = list(order or [key])
-    keyed = df.select(*dict.fromkeys([key, *order]), *[c.alias(n) for n, c in zip(names, identity.values())]).filter(_all([F.col(n).isNotNull() for n in names]))
-    kept = keyed.groupBy(*names).agg(F.min_by(key, _order(df, order)).alias(key)).select(key)
+    keyed = df.select(*dict.fromkeys([key, *order]), *[c.alias(n) for n, c in zip(names, identity.values())]).filter(_all([F.col(n).isNotNull() for n in [*names, key]]))
+    kept = keyed.groupBy(*names).agg((F.min_by(key, key) if order == [key] else F.min_by(key, F.struct(*order))).alias(key)).select(key)
     return keyed.select(key).join(kept, key, "left_anti")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.plans import cleaning
+from quotemill.plans import cleaning, reference
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(cleaning.QUERIES)
+    return reference.QUERIES | cleaning.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return reference.ORACLE | cleaning.ORACLE

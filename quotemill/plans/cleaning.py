@@ -101,3 +101,24 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_kept, p3_found, p3_formats, p4_found, p7_found)}
+
+ORACLE = {
+    "p1_found": """
+        WITH b AS (SELECT load_id, source, count(*) AS n, count(price) AS np, count(implied_prob) AS ni, count(close_ts) AS nc, count(outcome) AS no, count(*) FILTER (WHERE implied_prob < 0 OR implied_prob > 1) AS bad,
+                          count(*) FILTER (WHERE trim(outcome) = '' OR regexp_matches(outcome, '[^A-Za-z0-9 .''-]')) AS off, count(DISTINCT lower(quote_key)) AS nk, median(price) AS m FROM market_quotes GROUP BY load_id, source),
+        v AS (SELECT load_id, source, price, count(*) AS c FROM market_quotes WHERE price IS NOT NULL GROUP BY load_id, source, price),
+        t AS (SELECT load_id, source, sum(c) AS c FROM (SELECT *, row_number() OVER (PARTITION BY load_id, source ORDER BY c DESC, price) AS rn FROM v) WHERE rn <= 3 GROUP BY load_id, source),
+        s AS (SELECT b.load_id, b.source, 1 - np / n AS p, 1 - ni / n AS i, 1 - nc / n AS c, 1 - nk / n AS d, bad / ni AS r, off / no AS o, t.c / np AS top, m, bad, h.null_rate AS hn, h.duplicate_rate AS hd, h.prob_violations AS hv
+              FROM b LEFT JOIN t ON t.load_id = b.load_id AND t.source = b.source LEFT JOIN source_health h ON h.load_id = b.load_id AND h.source = b.source),
+        u AS (SELECT source, median(p) AS p, median(i) AS i, median(c) AS c, median(d) AS d, median(r) AS r, median(o) AS o, median(m) AS m FROM s GROUP BY source)
+        SELECT s.load_id, s.source, x.column_name, x.issue FROM s JOIN u ON u.source = s.source, LATERAL (
+            SELECT 'price' AS column_name, 'null_rate' AS issue, s.p - u.p >= 0.15 - 1e-9 AS hit UNION ALL SELECT 'implied_prob', 'null_rate', s.i - u.i >= 0.15 - 1e-9 UNION ALL SELECT 'close_ts', 'null_rate', s.c - u.c >= 0.15 - 1e-9
+            UNION ALL SELECT 'quote_key', 'duplicates', s.d - u.d >= 0.1 - 1e-9 UNION ALL SELECT 'implied_prob', 'range', s.r - u.r >= 0.15 - 1e-9 UNION ALL SELECT 'outcome', 'pattern', s.o - u.o >= 0.15 - 1e-9
+            UNION ALL SELECT 'price', 'constant', s.top >= 0.8 - 1e-9 UNION ALL SELECT 'price', 'shift', s.m / u.m < 1.0 / 3 OR s.m / u.m > 3
+            UNION ALL SELECT 'null_rate', 'report', abs(s.hn - s.i) > 0.0001 + 1e-9 UNION ALL SELECT 'duplicate_rate', 'report', abs(s.hd - s.d) > 0.0001 + 1e-9 UNION ALL SELECT 'prob_violations', 'report', s.hv <> s.bad) x WHERE x.hit""",
+    "p2_found": """
+        SELECT 'raw_records' AS table_name, rec_id AS row_key FROM (SELECT rec_id, row_number() OVER (PARTITION BY lower(source), trim(market_id, ' ' || chr(9) || chr(10) || chr(13)), snapshot_ts ORDER BY rec_id) AS rn FROM raw_records) WHERE rn > 1
+        UNION ALL SELECT 'market_quotes', row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY lower(quote_key) ORDER BY row_id) AS rn FROM market_quotes) WHERE rn > 1""",
+    "p2_kept": """
+        SELECT rec_id, batch_id, source, market_id, snapshot_ts, payload, delivered_ts FROM (SELECT *, row_number() OVER (PARTITION BY lower(source), trim(market_id, ' ' || chr(9) || chr(10) || chr(13)), snapshot_ts ORDER BY delivered_ts, rec_id) AS rn FROM raw_records) WHERE rn = 1""",
+}
