@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.functions.columns import without
+
 
 def leave_one_out(quotes: DataFrame, event: str = "event_id", source: str = "source", p: str = "implied_prob", places: int = 6) -> DataFrame:
     """Quotes of events that several sources quote, with n_quotes, n_sources, consensus (mean of the event's other quotes), dispersion (population deviation), deviation and abs_deviation.
@@ -12,7 +14,7 @@ def leave_one_out(quotes: DataFrame, event: str = "event_id", source: str = "sou
     Event sums are map-side reduced aggregates and joined back, so a hot event is no hot task; events of
     one source are dropped before the join. Null events and null or NaN probabilities take no part.
     """
-    rows = quotes.filter(F.col(event).isNotNull() & F.col(p).isNotNull() & ~F.isnan(p))
+    rows = without(quotes, "n_quotes", "n_sources", "dispersion", "consensus", "deviation", "abs_deviation", "_sum").filter(F.col(event).isNotNull() & F.col(p).isNotNull() & ~F.isnan(p))
     per = rows.groupBy(event).agg(F.count("*").alias("n_quotes"), F.count_distinct(source).alias("n_sources"), F.sum(p).alias("_sum"), F.coalesce(F.stddev_pop(p), F.lit(0.0)).alias("dispersion")).filter("n_sources > 1")
     consensus = (F.col("_sum") - F.col(p)) / F.nullif(F.col("n_quotes") - 1, F.lit(0))
     out = rows.join(per, event).withColumn("consensus", consensus)

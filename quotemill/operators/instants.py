@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.functions.columns import let, stripped
+from quotemill.functions.columns import let, stripped, without
 
 # Zone abbreviations with their offset from UTC in minutes.
 ABBREVIATIONS = {
@@ -43,6 +43,8 @@ EPOCHS = {"epoch_s": 0, "epoch_ms": 3, "epoch_us": 6, "epoch_ns": 9}
 PLAUSIBLE = (315532800, 7258118400)
 #: How much likelier the declared order of day and month is than the other, where a numeric date fits both.
 ORDER_ODDS = 1e9
+#: Values that each format and each month counts for beforehand: formats are habits, months less so.
+FORMAT_PRIOR, MONTH_PRIOR = 0.05, 2.0
 #: A reading whose posterior stays below is marked as ambiguous.
 SURE = 0.9
 
@@ -140,7 +142,7 @@ class Signature:
     n: int
 
 
-def mixture(signatures: Iterable[Signature], rounds: int = 50, smooth: float = 0.5) -> dict[tuple[str, str, tuple[tuple[str, int], ...]], list[float]]:
+def mixture(signatures: Iterable[Signature], rounds: int = 50) -> dict[tuple[str, str, tuple[tuple[str, int], ...]], list[float]]:
     """The posteriors of each signature's readings, by (source, order, readings), after EM over a source's format weights and months.
 
     Its input is one row for each different set of readings, so its size is bounded by the layouts
@@ -161,7 +163,7 @@ def mixture(signatures: Iterable[Signature], rounds: int = 50, smooth: float = 0
                 like = [weight[f] * usual[m] * p for (f, m), p in zip(s.readings, prior)]
                 total = sum(like)
                 post.append([x / total for x in like])
-            new_w, new_u = dict.fromkeys(formats, smooth), dict.fromkeys(months, smooth)
+            new_w, new_u = dict.fromkeys(formats, FORMAT_PRIOR), dict.fromkeys(months, MONTH_PRIOR)
             for s, p in zip(group, post):
                 for (f, m), x in zip(s.readings, p):
                     new_w[f] += s.n * x
@@ -181,11 +183,13 @@ def normalise(df: DataFrame, text: Column, source: Column, default_zone: Column,
     source names the mixture a value belongs to, default_zone holds where the text names no zone,
     date_order is 'mdy', 'dmy' or null where nothing is declared. Texts without a valid reading, or
     in an unknown zone, are 'no instant'; where no reading reaches the posterior SURE the value is
-    'ambiguous' and keeps a null instant. Nulls give 'no instant'. Rows are neither added nor lost.
+    'ambiguous' and keeps a null instant. Nulls give 'no instant'. Rows are neither added nor lost;
+    columns of df with the names of the added ones are replaced.
     """
     spark = df.sparkSession
     month = lambda r: F.floor(r["wall"] / 2_629_800_000_000).cast("int")
-    read = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), readings(text).alias("_r"), F.coalesce(source, F.lit("")).alias("_source"), default_zone.alias("_zone"), F.coalesce(date_order if date_order is not None else F.lit(None), F.lit("")).alias("_order"))
+    kept = without(df, "utc_micros", "time_format", "posterior", "time_status").columns
+    read = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), readings(text).alias("_r"), F.coalesce(source, F.lit("")).alias("_source"), default_zone.alias("_zone"), F.coalesce(date_order if date_order is not None else F.lit(None), F.lit("")).alias("_order"))
     read = read.withColumn("_sig", F.transform("_r", lambda r: F.struct(r["format"].alias("format"), month(r).alias("month"))))
     open_ = F.size("_r") > 1
     # Values with one reading only say how usual formats and months are; both tables are bounded.

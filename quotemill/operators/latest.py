@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.functions.columns import fresh
+
 
 def latest_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The whole row of each key that comes first in order (give it descending, ending with a unique column).
@@ -14,7 +16,8 @@ def latest_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     Catalyst limits each task's groups to one row before the shuffle, so hot keys cost a row a task.
     Null keys are a key of their own.
     """
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    rn = fresh(df, "_rn")
+    return df.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rn) == 1).drop(rn)
 
 
 def last_values(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
@@ -36,10 +39,13 @@ def at_latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def keep_first(parts: Sequence[DataFrame], keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Of rows with the same keys the one of the earliest part, then the first in order."""
-    stacked = parts[0].withColumn("_part", F.lit(0))
+    part = "_part"
+    for p in parts:
+        part = fresh(p, part)
+    stacked = parts[0].withColumn(part, F.lit(0))
     for i, p in enumerate(parts[1:], 1):
-        stacked = stacked.unionByName(p.withColumn("_part", F.lit(i)), allowMissingColumns=True)
-    return latest_row(stacked, keys, [F.col("_part").asc(), *order]).drop("_part")
+        stacked = stacked.unionByName(p.withColumn(part, F.lit(i)), allowMissingColumns=True)
+    return latest_row(stacked, keys, [F.col(part).asc(), *order]).drop(part)
 
 
 def keep_last(parts: Sequence[DataFrame], keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

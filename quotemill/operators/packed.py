@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.functions.columns import let, stripped
+from quotemill.functions.columns import let, stripped, without
 
 #: Delimiters, the most telling first; a text is split on the first that stands outside its quotes.
 DELIMITERS = ("||", "|", ";", "\t", "\n", ",")
@@ -65,8 +65,9 @@ def _split(b: Column) -> Column:
         out = F.when(F.lit(False), F.lit(""))
         for x in DELIMITERS[:-1]:
             out = out.when(d == x, _mark(text, x, '"'))
-        # Quoting alternates in lists of single quotes; a quote in a word is an apostrophe.
-        return out.otherwise(F.when(listed & text.contains("'"), _mark(_mark(text, ",", '"'), ",", "'")).otherwise(_mark(text, ",", '"')))
+        # Lists of single quotes also use double ones, for items with an apostrophe.
+        single = F.regexp_replace(text, r'"[^"]*"', "").rlike(r"(?:^|,)\s*'")
+        return out.otherwise(F.when(listed & single, _mark(_mark(text, ",", '"'), ",", "'")).otherwise(_mark(text, ",", '"')))
 
     def folded(d: Column) -> Column:
         literal = lambda p: F.concat(F.lit(_OPEN), F.replace(p, F.lit('""'), F.lit('"')), F.lit(_OPEN))
@@ -83,5 +84,5 @@ def _split(b: Column) -> Column:
 
 
 def unpack(df: DataFrame, text: Column) -> DataFrame:
-    """df with one row for each value packed in text: pos from 1, and item. Rows without values give none."""
-    return df.select("*", F.posexplode(items(text)).alias("pos", "item")).withColumn("pos", F.col("pos") + 1)
+    """df with one row for each value packed in text: pos from 1, and item (columns of these names are replaced; text must be another). Rows without values give none."""
+    return without(df, "pos", "item").select("*", F.posexplode(items(text)).alias("pos", "item")).withColumn("pos", F.col("pos") + 1)

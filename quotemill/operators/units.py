@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotemill.functions.columns import let
+from quotemill.functions.columns import fresh, let
 
 # Known spellings of each unit.
 UNITS = {
@@ -113,7 +113,8 @@ def with_unit(df: DataFrame, spelling: str, default: Column) -> DataFrame:
     The alias table has a row for each distinct spelling; Spark broadcasts it only below its own
     threshold, else joins by shuffle.
     """
-    found = aliases(df.select(clean(F.col(spelling)).alias("spelling"))).select(F.col("spelling").alias("_spelling"), F.col("unit").alias("_unit"))
+    key, known, unit = (fresh(df, n) for n in ("_key", "_spelling", "_unit"))
+    found = aliases(df.select(clean(F.col(spelling)).alias("spelling"))).select(F.col("spelling").alias(known), F.col("unit").alias(unit))
     blank = F.col(spelling).isNull() | (clean(F.col(spelling)) == "")
-    joined = df.withColumn("_key", clean(F.col(spelling))).join(found, F.col("_key") == F.col("_spelling"), "left")
-    return joined.withColumn("unit", F.when(blank, default).otherwise(F.col("_unit"))).drop("_key", "_spelling", "_unit")
+    joined = df.withColumn(key, clean(F.col(spelling))).join(found, F.col(key) == F.col(known), "left")
+    return joined.withColumn("unit", F.when(blank, default).otherwise(F.col(unit))).drop(key, known, unit)

@@ -45,9 +45,13 @@ def merge_quotes(rows: DataFrame, root: str) -> None:
     write_quotes(rows, root)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
+    if not exists(spark, path):
         return None
     # Partition values stay text, so that stamps don't turn into numbers.
     before = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")

@@ -60,5 +60,6 @@ def once(spark: SparkSession, folder: str, schema: str, key: list[str], order: l
     def land(batch: DataFrame, number: int) -> None:
         keep_one(batch, {k: F.col(k) for k in key}, order).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    drain(stream, checkpoint, land)
+    if drain(stream, checkpoint, land) == 0 and not lake.exists(spark, out):
+        return spark.createDataFrame([], schema)
     return keep_one(spark.read.schema(schema).parquet(f"{out}/*"), {k: F.col(k) for k in key}, order)
