@@ -33,20 +33,26 @@ def candidates(markets: DataFrame, key: str) -> DataFrame:
     block = F.concat_ws("|", "category", F.array_join("entities", ","))
     rows = Stored(markets.select(F.col(key).alias("k"), block.alias("block"), "tokens", "subject", (F.size("entities") > 0).alias("named"), "numbers")).df
     ends = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b")
-    # Equal numbers, or none on one side.
-    numbered = rows.filter("named").select("k", "block", F.array_join("numbers", ",").alias("n"))
-    a, b = (numbered.select("block", F.col("k").alias(s), F.col("n").alias(f"n{s}")) for s in ("a", "b"))
-    same = a.join(b, (a["block"] == b["block"]) & (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))).select("a", "b")
-    bare = a.filter("na = ''").join(b.filter("nb != ''"), "block").select("a", "b")
-    word = rows.filter("not named and subject is not null").select("k", "block", F.explode("subject").alias("w"))
+    numbered = F.array_join("numbers", ",").alias("n")
+
+    def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        """Pairs that agree in `on` and whose numbers don't contradict each other: the same, or none on one side."""
+        x, y = left.withColumnRenamed("k", "a"), right.withColumnRenamed("k", "b")
+        same = x.join(y, [*on, "n"]).select("a", "b")
+        bare = x.filter("n = ''").join(y.filter("n != ''").drop("n"), on).select("a", "b")
+        return same.unionByName(bare).unionByName(x.filter("n != ''").drop("n").join(y.filter("n = ''"), on).select("a", "b"))
+
+    named = rows.filter("named").select("k", "block", numbered)
+    same = meet(named, named, ["block"])
+    word = rows.filter("not named and subject is not null").select("k", "block", numbered, F.explode("subject").alias("w"))
     often = word.groupBy("block", "w").agg(F.count("*").alias("f"))
-    rarest = word.join(often, ["block", "w"]).groupBy("k", "block").agg(F.min(F.struct("f", "w")).alias("r")).select(F.col("k").alias("a"), "block", F.col("r.w").alias("w"))
-    told = rarest.join(word.withColumnRenamed("k", "b"), ["block", "w"]).select("a", "b")
+    rarest = word.join(often, ["block", "w"]).groupBy("k", "block", "n").agg(F.min(F.struct("f", "w")).alias("r")).select("k", "block", "n", F.col("r.w").alias("w"))
+    told = meet(rarest, word, ["block", "w"])
     classes, members = similarity.set_classes(rows.filter("not named"), "k", "tokens", ["block"])
     near = similarity.similar_classes(classes, 2 * (GENERIC - 0.10) - 1, ["block"]).select("a", "b").unionByName(classes.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")))
     left, right = (members.select(F.col("k").alias(f"k{s}"), F.col("class_id").alias(s)) for s in ("a", "b"))
     alike = near.join(left, "a").join(right, "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    return ends(same.unionByName(bare).unionByName(told).unionByName(alike)).distinct()
+    return ends(same.unionByName(told).unionByName(alike)).distinct()
 
 
 def score(pairs: DataFrame, markets: DataFrame, key: str, close: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -43,16 +45,36 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_left: dict[str, SparkSession] = {}
+
+
 class Stored:
-    """A DataFrame written to the shared folder; drop() removes its files once nothing reads them any more."""
+    """A DataFrame written to the shared folder; drop() removes its files once nothing reads them any more, what is left goes when Python ends.
+
+    Reading it again costs a scan of what it holds, not the work that made it, on whichever executors are left.
+    """
 
     def __init__(self, df: DataFrame) -> None:
         self.spark = df.sparkSession
         self.path = os.path.join(shared_folder(self.spark), f"stored-{uuid.uuid4().hex}")
+        _left[self.path] = self.spark
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        _left.pop(self.path, None)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in list(_left.items()):
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
+        else:
+            try:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            except Exception:  # noqa: BLE001, S110 - the session may be gone
+                pass

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,10 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
     spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     try:
         return spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # a zone that only empty batches were written to
+            return None
+        raise
     finally:
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", before)
 

@@ -40,9 +40,12 @@ def land_quotes(root: str) -> Callable[[DataFrame, int], None]:
     """Lands a batch of decoded messages: quotes merged into the clean zone, raw records into the raw zone, damaged messages beside them. Safe to repeat."""
 
     def land(batch: DataFrame, number: int) -> None:
-        batch.filter("damaged is not null").select("damaged").write.mode("overwrite").parquet(f"{root}/damaged/batch={number}")
-        raw = batch.filter("damaged is null").drop("damaged")
-        lake.merge_quotes(venues.quotes(raw), root)
+        batch = batch.persist()  # several passes over one micro-batch, whose size the source's limits bound
+        try:
+            batch.filter("damaged is not null").select("damaged").write.mode("overwrite").parquet(f"{root}/damaged/batch={number}")
+            lake.merge_quotes(venues.quotes(batch.filter("damaged is null").drop("damaged")), root)
+        finally:
+            batch.unpersist()
 
     return land
 
