@@ -52,6 +52,12 @@ PREDICATES = [
     "mvp", "champion", "championship", "playoff", "nominee", "nomination", "ballot", "candidate", "approval", "confirm", "confirmed", "elect", "elected", "impeach", "impeached", "cut", "hike", "raise", "lower", "pause",
     "hold",
 ]
+# Marks of a market's group in its ticker, the first group with one counts.
+TICKER_GROUPS = {
+    "crypto": ["BTC", "ETH", "DOGE", "XRP", "SOL", "ADA", "LTC", "CRYPTO"],
+    "sports": ["NBA", "MLB", "NFL", "NHL", "WC", "GAME", "SOCCER", "UFC", "TENNIS", "NCAA", "EPL", "NASCAR", "GOLF", "PGA"],
+    "weather": ["HIGH", "LOW", "TEMP", "WEATHER", "RAIN", "SNOW"],
+}
 # Patterns of temperature thresholds, in words and in signs.
 THRESHOLD_WORDS = r"(?i)(above|over|greater than|at least|below|under|less than)\s+(\d+(?:\.\d+)?)\s*(?:°|degrees?|f)\b"
 THRESHOLD_SIGNS = r"(>=|≥|>|<=|≤|<)\s*(\d+(?:\.\d+)?)\s*°"
@@ -141,6 +147,14 @@ def threshold(title: Column) -> Column:
     return F.when(word != "", in_words).when(sign != "", in_signs)
 
 
+def ticker_group(ticker: Column) -> Column:
+    """The first group with one of its marks anywhere in the ticker, else 'other'; null stays 'other'."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, marks in TICKER_GROUPS.items():
+        out = out.when(F.upper(ticker).rlike("|".join(marks)), name)
+    return out.otherwise("other")
+
+
 def about_temperature(title: Column) -> Column:
     return F.lower(title).rlike("temperature|temp|degrees|°")
 

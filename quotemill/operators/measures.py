@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions import stats
@@ -36,12 +36,14 @@ def best_sigma(df: DataFrame, margin: str, outcome: str, start: float = 4.0, lea
     fewer than `least` rows the start value stays.
     """
     rows = df.select(F.col(margin).cast("double").alias("m"), F.col(outcome).cast("int").alias("y")).filter("m is not null and y is not null")
+    # Equal observations are counted before they meet the grid.
+    rows = rows.groupBy("m", "y").agg(F.count("*").alias("c"))
 
     def losses(grid: Column) -> DataFrame:
-        spread = rows.select("m", "y", F.explode(grid).alias("sigma"))
+        spread = rows.select("m", "y", "c", F.explode(grid).alias("sigma"))
         p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), stats.normal_cdf(F.col("m") / F.col("sigma"))))
         loss = -F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1 - p))
-        return spread.groupBy("sigma").agg(F.round(F.sum(loss), 9).alias("loss"), F.count("*").alias("n"))
+        return spread.groupBy("sigma").agg(F.round(F.sum(loss * F.col("c")), 6).alias("loss"), F.sum("c").alias("n"))
 
     coarse = losses(F.array(*[F.lit(0.5 + 0.25 * i) for i in range(78)])).agg(F.min(F.struct("loss", "sigma")).alias("b"), F.max("n").alias("n"))
     middle = coarse.first()
@@ -129,6 +131,13 @@ def lookup_or_first(left: DataFrame, right: DataFrame, group: str, on: str, orde
     return left.join(exact, [group, on], "left").join(first, group, "left").withColumn("found", F.coalesce("_exact", "_first")).drop("_exact", "_first")
 
 
-def daily_latest(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Rows numbered from the newest within their keys: adds age_rank."""
-    return df.withColumn("age_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ts))))
+def best_links(pairs: DataFrame, a: str, b: str, score: str, method: str) -> DataFrame:
+    """For each end of a pair its best one: key, best_score, best_method; of equal scores the last method in order."""
+    ends = pairs.select(F.explode(F.array(a, b)).alias("key"), F.struct(F.col(score).alias("s"), F.col(method).alias("m")).alias("x")).filter("key is not null and x.s is not null")
+    return ends.groupBy("key").agg(F.max("x").alias("x")).select("key", F.col("x.s").alias("best_score"), F.col("x.m").alias("best_method"))
+
+
+def digest(rows: DataFrame, line: Column, order: Column, most: int = 1900) -> DataFrame:
+    """A message of one line a row, in order, cut to `most` characters: one row, message. Only as many rows as can fit are gathered: a line and its break are two characters at least."""
+    top = rows.select(line.alias("line"), order.alias("o")).filter("line != ''").orderBy(F.desc("o"), "line").limit(most // 2 + 1)
+    return top.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("o")).alias("o"), "line"))), lambda x: x["line"]), "\n").alias("m")).select(F.substring("m", 1, most).alias("message"))

@@ -368,7 +368,7 @@ def normal_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOSS = "-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END"
-_GRID = f"SELECT sigma, round(sum({_LOSS}), 9) AS loss, count(*) AS n FROM (SELECT sigma, y, greatest(1e-6, least(1 - 1e-6, 0.5 * (1 + {_erf('m / sigma / sqrt(2)')}))) AS p FROM rows, %s) GROUP BY sigma"
+_GRID = f"SELECT sigma, round(sum({_LOSS}), 6) AS loss, count(*) AS n FROM (SELECT sigma, y, greatest(1e-6, least(1 - 1e-6, 0.5 * (1 + {_erf('m / sigma / sqrt(2)')}))) AS p FROM rows, %s) GROUP BY sigma"
 
 
 @_query(f"""
@@ -451,3 +451,71 @@ def lake_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "market_quotes").select("source", "market_id", "outcome", "title", "price", "implied_prob", F.date_trunc("day", "snapshot_ts").alias("snapshot_ts"), "close_ts")
     lake.write_quotes(rows, root)
     return lake.read_quotes(spark, root).groupBy("source").agg(F.count("*").alias("n"))
+
+
+_GROUPS = " ".join(f"WHEN regexp_matches(upper(ticker), '{'|'.join(marks)}') THEN '{g}'" for g, marks in titles.TICKER_GROUPS.items())
+
+
+@_query(f"SELECT rec_id, CASE {_GROUPS} ELSE 'other' END AS market_group FROM kalshi_markets")
+def market_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each market, from its ticker."""
+    return table(spark, sf_dir, "kalshi_markets").select("rec_id", titles.ticker_group(F.col("ticker")).alias("market_group"))
+
+
+@_query("""
+    SELECT key, x['s'] AS best_score, x['m'] AS best_method FROM (SELECT key, max(struct_pack(s := confidence, m := match_method)) AS x FROM (
+        SELECT source_a || ':' || market_id_a AS key, confidence, match_method FROM candidate_pairs UNION ALL SELECT source_b || ':' || market_id_b, confidence, match_method FROM candidate_pairs) GROUP BY key)""")
+def best_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best scored pair of each market."""
+    key = lambda s: F.concat_ws(":", f"source_{s}", f"market_id_{s}")
+    pairs = table(spark, sf_dir, "candidate_pairs").select(key("a").alias("a"), key("b").alias("b"), "confidence", "match_method")
+    return measures.best_links(pairs, "a", "b", "confidence", "match_method")
+
+
+@_query("SELECT (SELECT count(*) FROM market_quotes) AS n_quotes, (SELECT count(DISTINCT source) FROM market_quotes) AS n_sources, (SELECT max(snapshot_ts) FROM market_quotes) AS last_snapshot, (SELECT count(DISTINCT event_id) FROM event_map) AS n_events")
+def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-line counts."""
+    quotes = table(spark, sf_dir, "market_quotes").agg(F.count("*").alias("n_quotes"), F.count_distinct("source").alias("n_sources"), F.max("snapshot_ts").alias("last_snapshot"))
+    return quotes.join(F.broadcast(table(spark, sf_dir, "event_map").agg(F.count_distinct("event_id").alias("n_events"))))  # one row beside one row
+
+
+@_query("SELECT row_id, source, title FROM market_quotes WHERE regexp_matches(title, '(?i)temperature in .*haven') AND source IN ('kalshi', 'polymarket')")
+def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of some sources whose title fits a pattern, whatever its case."""
+    return table(spark, sf_dir, "market_quotes").filter(F.col("source").isin("kalshi", "polymarket") & F.col("title").rlike("(?i)temperature in .*haven")).select("row_id", "source", "title")
+
+
+@_query("SELECT pair_id, title_a, title_b, confidence FROM candidate_pairs WHERE decision = 'no-match' ORDER BY confidence DESC, pair_id LIMIT 50")
+def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty pairs that came nearest to a match."""
+    return table(spark, sf_dir, "candidate_pairs").filter("decision = 'no-match'").select("pair_id", "title_a", "title_b", "confidence").orderBy(F.desc("confidence"), "pair_id").limit(50)
+
+
+@_query("""
+    WITH keyed AS (SELECT substr(md5(source || '|' || market_id || '|' || outcome), 1, 16) AS signal_key, load_id, row_id, source, market_id FROM market_quotes)
+    SELECT signal_key, load_id, row_id, source, market_id FROM (SELECT *, row_number() OVER (PARTITION BY signal_key ORDER BY CASE WHEN load_id <= 2 THEN 0 ELSE 1 END, load_id, row_id) AS rn FROM keyed) WHERE rn = 1""")
+def append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed log of the first loads, to which later loads add only what it doesn't have."""
+    key = F.substring(F.md5(F.concat_ws("|", "source", "market_id", "outcome")), 1, 16)
+    rows = table(spark, sf_dir, "market_quotes").select(key.alias("signal_key"), "load_id", "row_id", "source", "market_id")
+    order = [F.asc("load_id"), F.asc("row_id")]
+    log = latest.latest_row(rows.filter("load_id <= 2"), ["signal_key"], order)
+    return latest.append_new(log, rows.filter("load_id > 2"), "signal_key", order)
+
+
+@_query(f"""
+    SELECT ticker, q.row_id, q.implied_prob, s.outcome, CASE WHEN (q.implied_prob >= 0.5) = (s.outcome = 1) THEN 1 ELSE 0 END AS hit, round_even(q.implied_prob * 5, 0) / 5 AS prob_bucket
+    FROM ({_LATEST}) q JOIN (SELECT ticker, max(CASE WHEN settle_result = 'yes' THEN 1 ELSE 0 END) AS outcome FROM kalshi_markets WHERE settle_result IN ('yes', 'no') GROUP BY ticker) s ON q.market_id = s.ticker WHERE q.source = 'kalshi'""")
+def score_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest quote of each settled market against its outcome."""
+    settled = table(spark, sf_dir, "kalshi_markets").filter("settle_result in ('yes', 'no')").groupBy("ticker").agg(F.max((F.col("settle_result") == "yes").cast("int")).alias("outcome"))
+    rows = _latest_quotes(spark, sf_dir).filter("source = 'kalshi'").join(settled, F.col("market_id") == F.col("ticker"))
+    p = F.col("implied_prob")
+    return rows.select("ticker", "row_id", "implied_prob", "outcome", ((p >= 0.5) == (F.col("outcome") == 1)).cast("int").alias("hit"), stats.bucket(p, 5).alias("prob_bucket"))
+
+
+@_query()
+def alert_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts as one message, the widest first."""
+    found = alerts(spark, sf_dir)
+    return measures.digest(found, F.format_string("%s %s off by %.4f", "kind", F.substring("label", 1, 70), "gap"), F.col("gap"))

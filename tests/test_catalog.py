@@ -57,3 +57,12 @@ def test_flagship_has_rows(spark):
 def test_core_stands_without_the_text_package():
     code = "import sys, importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith('quotemill.llm') else f(n, *a); import __spark_entry__ as e; q = e.queries(); assert 'p1_found' in q and 'p5_found' not in q; assert not [m for m in sys.modules if m.startswith('quotemill.llm')]"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_command_line(spark, capsys):
+    from quotemill import __main__ as cli
+
+    assert cli.main(["list"]) == 0 and "latest_per_key" in capsys.readouterr().out
+    assert cli.main(["run", "nothing", DATA]) == 2
+    assert cli.main(["run", "kpis", DATA]) == 0 and cli.main(["explain", "kpis", DATA]) == 0
+    assert cli.main(["doctor"]) == 0
