@@ -27,6 +27,8 @@ KINDS = {"high": "place", "low": "place", "rain": "place", "approval": "place",
 SHORTEST = ("team", "person", "asset")
 #: A mention counts as common from so many markets on; a word is taken for a misspelling of one that is so many times as frequent.
 COMMON, MISSPELT = 3, 10
+#: Words of the longest name that is looked for inside a mention; a mention without any known name stands for itself.
+LONGEST = 6
 #: Markets close so many hours after their day began, usually.
 CLOSING = 22
 #: Rounds of belief propagation at most, and the change of a message below which they end.
@@ -84,7 +86,8 @@ def entities(mentions: DataFrame, places: DataFrame) -> DataFrame:
     common = spelt.groupBy("kind", F.concat_ws(" ", "ws").alias("part")).agg(F.sum("n").alias("times")).filter(F.col("times") >= COMMON).unionByName(known.select("kind", F.col("text").alias("part"), F.lit(10**9).cast("bigint").alias("times")))
     common = common.groupBy("kind", "part").agg(F.max("times").alias("times"))
     n = F.size("ws")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.concat_ws(" ", F.slice("ws", i, j - i + 1)))))
+    # Every stretch of up to LONGEST words, wherever it stands.
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, F.least(n, i + LONGEST - 1)), lambda j: F.concat_ws(" ", F.slice("ws", i, j - i + 1)))))
     held = spelt.select("kind", "text", "corrected", F.concat_ws(" ", "ws").alias("whole"), F.explode(F.array_distinct(parts)).alias("part")).join(common, ["kind", "part"], "left")
     count = F.size(F.split("part", " "))
     rank = F.struct(F.when(F.col("kind") == "place", F.col("times") >= 10**9).otherwise(F.lit(True)).alias("known"), F.when(F.col("kind").isin(*SHORTEST), -count).otherwise(count).alias("size"), F.length("part").alias("length"), "times", "part")

@@ -123,6 +123,6 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", budget: float
 def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """The shares reached: source, target_share, max_repeats, documents, tokens, most_copies, actual_share. Sources of targets without documents have 0."""
     per = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens").cast("bigint") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    whole = per.agg(F.sum("tokens").alias("whole"))
+    whole = per.agg(F.sum("tokens").alias("whole")).first()["whole"]
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return targets.join(per, "source", "left").join(F.broadcast(whole)).select("source", "target_share", "max_repeats", zero("documents"), zero("tokens"), zero("most_copies"), (F.coalesce("tokens", F.lit(0)) / F.nullif("whole", F.lit(0))).alias("actual_share"))
+    return targets.join(per, "source", "left").select("source", "target_share", "max_repeats", zero("documents"), zero("tokens"), zero("most_copies"), (F.coalesce("tokens", F.lit(0)) / F.nullif(F.lit(whole).cast("double"), F.lit(0.0))).alias("actual_share"))

@@ -21,6 +21,9 @@ SHARD_CONTAINERS = 2_000
 #: Tokens that a shard holds at most, whatever the capacity.
 SHARD_TOKENS = 16_000_000
 
+#: Parts of documents that a shard holds at most.
+SHARD_ITEMS = 200_000
+
 PLACED = "limit_name string, capacity_tokens int, container_id string, doc_id bigint, part int, first_token int, n_tokens int, at_token int"
 
 
@@ -148,11 +151,16 @@ def pack(sizes: DataFrame, limits: DataFrame, key: str = "doc_id") -> DataFrame:
     SHARD_TOKENS tokens, and one task packs it online. Only numbers travel, never texts.
     """
     sizes = Stored(sizes.select(F.col(key).cast("bigint").alias("doc_id"), "n_tokens").filter("n_tokens > 0 and doc_id is not null")).df
-    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
-    limits = limits.filter("capacity_tokens >= 1").select("limit_name", "capacity_tokens", F.greatest(F.lit(1), F.ceil(F.lit(total) / F.least(F.col("capacity_tokens") * SHARD_CONTAINERS, F.lit(SHARD_TOKENS)))).alias("shards"))
-    # A handful of limits, each of which takes all documents.
+    total, documents = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    # A handful of limits, each of which takes all documents: they stand beside each document as an array.
+    chosen = []
+    for r in limits.select("limit_name", "capacity_tokens").filter("capacity_tokens >= 1").collect():
+        shards = max(1, -(-total // min(r["capacity_tokens"] * SHARD_CONTAINERS, SHARD_TOKENS)), -(-(documents + total // r["capacity_tokens"]) // SHARD_ITEMS))
+        chosen.append(F.struct(F.lit(r["limit_name"]).alias("limit_name"), F.lit(r["capacity_tokens"]).cast("int").alias("capacity_tokens"), F.lit(shards).cast("bigint").alias("shards")))
+    if not chosen:
+        return sizes.sparkSession.createDataFrame([], PLACED)
     cuts = F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / F.col("capacity_tokens")).cast("int"))
-    parts = sizes.join(F.broadcast(limits)).select("limit_name", "capacity_tokens", "shards", "doc_id", F.col("n_tokens").alias("whole"), F.explode(cuts).alias("part"))
+    parts = sizes.select("doc_id", "n_tokens", F.inline(F.array(*chosen))).select("limit_name", "capacity_tokens", "shards", "doc_id", F.col("n_tokens").alias("whole"), F.explode(cuts).alias("part"))
     first = F.col("part") * F.col("capacity_tokens")
     parts = parts.select("limit_name", "capacity_tokens", F.pmod(F.xxhash64("doc_id", "part"), F.col("shards")).alias("shard"), "doc_id", "part", first.cast("int").alias("first_token"), F.least(F.col("capacity_tokens"), F.col("whole") - first).cast("int").alias("n_tokens"))
     streams = parts.repartition("limit_name", "shard").sortWithinPartitions("limit_name", "shard", F.xxhash64("doc_id", F.lit(1)), "doc_id", "part")
