@@ -476,7 +476,9 @@ def best_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-line counts."""
     quotes = table(spark, sf_dir, "market_quotes").agg(F.count("*").alias("n_quotes"), F.count_distinct("source").alias("n_sources"), F.max("snapshot_ts").alias("last_snapshot"))
-    return quotes.join(F.broadcast(table(spark, sf_dir, "event_map").agg(F.count_distinct("event_id").alias("n_events"))))  # one row beside one row
+    events = table(spark, sf_dir, "event_map").agg(F.count_distinct("event_id").alias("n_events"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(quotes).join(one(events), "one").drop("one")
 
 
 @_query("SELECT row_id, source, title FROM market_quotes WHERE regexp_matches(title, '(?i)temperature in .*haven') AND source IN ('kalshi', 'polymarket')")
