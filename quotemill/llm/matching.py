@@ -24,7 +24,7 @@ PARTS = T.StructType([
 #: What kind of entity each measure's subject is.
 KINDS = {"high": "place", "low": "place", "rain": "place", "approval": "place", "win": "team", "points": "person", "price": "asset", "release": "product"}
 #: Kinds whose mentions are cut to the shortest common one inside ("Port Fennford Quarries" to "Quarries"); others keep the longest.
-SHORTEST = ("team", "person", "asset")
+SHORTEST = ("team", "asset")
 #: A mention counts as common from so many markets on; a word is taken for a misspelling of one that is so many times as frequent.
 COMMON, MISSPELT = 3, 10
 #: Words of the longest name that is looked for inside a mention; a mention without any known name stands for itself.
@@ -92,7 +92,12 @@ def entities(mentions: DataFrame, places: DataFrame) -> DataFrame:
     count = F.size(F.split("part", " "))
     rank = F.struct(F.when(F.col("kind") == "place", F.col("times") >= 10**9).otherwise(F.lit(True)).alias("known"), F.when(F.col("kind").isin(*SHORTEST), -count).otherwise(count).alias("size"), F.length("part").alias("length"), "times", "part")
     best = held.groupBy("kind", "text", "corrected", "whole").agg(F.max(F.when(F.col("times").isNotNull(), rank)).alias("b"))
-    found = best.select("kind", "text", "corrected", F.coalesce("b.part", "whole").alias("entity"))
+    # People go by their last name: of a mention's words the one that most often comes last, so stray words
+    # after it don't count. Which of several people is meant, first names and initials tell (see features).
+    person = spelt.filter("kind = 'person'")
+    last = person.groupBy(F.element_at("ws", -1).alias("word")).agg(F.sum("n").alias("times"))
+    family = person.select("text", F.posexplode("ws").alias("i", "word")).join(last, "word").groupBy("text").agg(F.max(F.struct("times", "i", "word")).alias("f")).select(F.lit("person").alias("kind"), "text", F.col("f.word").alias("family"))
+    found = best.join(family, ["kind", "text"], "left").select("kind", "text", "corrected", F.coalesce("family", "b.part", "whole").alias("entity"))
     # "Brillcoin (BRIL)" says that BRIL is short for Brillcoin; so do codes of places.
     two = spelt.filter((F.col("kind") == "asset") & (F.size("ws") == 2)).select("kind", F.col("ws")[1].alias("short"), F.col("ws")[0].alias("long"), "n").filter(F.col("long").startswith(F.col("short")))
     short = two.groupBy("kind", "short").agg(F.max(F.struct(F.col("n"), F.col("long"))).alias("b")).select("kind", "short", F.col("b.long").alias("long"))
@@ -101,7 +106,7 @@ def entities(mentions: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def features(markets: DataFrame, places: DataFrame) -> DataFrame:
-    """What each market asks: key, venue, kind, question (struct of measure, direction, threshold, subject, opponent), days (array of struct day, certain), close, corrected.
+    """What each market asks: key, venue, kind, question (struct of measure, direction, threshold, subject, opponent), days (array of struct day, certain), close, corrected, initial (of a person's first name, '' if none is given).
 
     markets: key, venue, title, close (microseconds or null), whole_day (whether close only names a
     day), hint_day (date), hint_direction, hint_threshold, which fill what a title leaves out. Titles
@@ -119,14 +124,16 @@ def features(markets: DataFrame, places: DataFrame) -> DataFrame:
     read = read.withColumns({"usual": usual, "named": named})
     read = read.withColumn("certain", certain).withColumn("days", F.when(F.col("certain").isNotNull(), F.array(one(F.col("certain"), True))).when(F.col("usual").isNotNull(), guessed)).filter("days is not null")
     kind = F.coalesce(*[F.when(F.col("q.measure") == m, k) for m, k in KINDS.items()], F.lit("other"))
-    read = Stored(read.select("key", "venue", "close", "days", kind.alias("kind"), "q", F.coalesce(F.nullif("q.direction", F.lit(0)), "hint_direction", F.lit(0)).alias("direction"), F.coalesce("q.threshold", "hint_threshold").alias("threshold"))).df
+    measured = ~kind.isin("team", "product")  # who wins and what comes out have no threshold, whatever a ticker says
+    read = Stored(read.select("key", "venue", "close", "days", kind.alias("kind"), "q", F.coalesce(F.nullif("q.direction", F.lit(0)), F.when(measured, F.col("hint_direction")), F.lit(0)).alias("direction"), F.coalesce("q.threshold", F.when(measured, F.col("hint_threshold"))).alias("threshold"))).df
     said = read.select("kind", F.explode(F.array("q.subject", "q.opponent")).alias("text"))
     names = entities(said, places)
     left = names.select("kind", F.col("text").alias("st"), F.col("entity").alias("subject"), F.col("corrected").alias("c1"))
     right = names.select("kind", F.col("text").alias("ot"), F.col("entity").alias("opponent"), F.col("corrected").alias("c2"))
     read = read.withColumns({"st": F.col("q.subject"), "ot": F.col("q.opponent")}).join(left, ["kind", "st"], "left").join(right, ["kind", "ot"], "left")
     asked = F.struct(F.col("q.measure").alias("measure"), "direction", F.round("threshold", 4).alias("threshold"), F.coalesce("subject", "st").alias("subject"), F.coalesce("opponent", "ot").alias("opponent"))
-    return read.select("key", "venue", "kind", asked.alias("question"), "days", "close", (F.coalesce("c1", F.lit(False)) | F.coalesce("c2", F.lit(False))).alias("corrected"))
+    initial = F.when((F.col("kind") == "person") & F.col("st").contains(" ") & ~F.col("st").startswith(F.coalesce("subject", "st")), F.substring("st", 1, 1)).otherwise("")
+    return read.select("key", "venue", "kind", asked.alias("question"), initial.alias("initial"), "days", "close", (F.coalesce("c1", F.lit(False)) | F.coalesce("c2", F.lit(False))).alias("corrected"))
 
 
 def candidates(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,13 +144,13 @@ def candidates(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     # A question's text takes part in joins as one string.
     text = F.concat_ws("|", F.col("question.measure"), F.col("question.direction").cast("string"), F.coalesce(F.col("question.threshold").cast("string"), F.lit("")), "question.subject", "question.opponent")
-    rows = asked.select("key", "venue", text.alias("text"), "days", "close", "corrected")
-    classes = rows.groupBy("venue", "text", "days").agg(F.min("key").alias("key"), F.min_by("close", "key").alias("close"), F.min("corrected").alias("corrected"), F.count("*").alias("n"))
-    behind = rows.join(classes.filter("n > 1").select("venue", "text", "days", F.col("key").alias("stands_for")), ["venue", "text", "days"]).select("key", "stands_for").filter("key != stands_for")
+    rows = asked.select("key", "venue", text.alias("text"), "initial", "days", "close", "corrected")
+    classes = rows.groupBy("venue", "text", "initial", "days").agg(F.min("key").alias("key"), F.min_by("close", "key").alias("close"), F.min("corrected").alias("corrected"), F.count("*").alias("n"))
+    behind = rows.join(classes.filter("n > 1").select("venue", "text", "initial", "days", F.col("key").alias("stands_for")), ["venue", "text", "initial", "days"]).select("key", "stands_for").filter("key != stands_for")
     # Classes of one question, venue and certain day are few: certain or guessed, with a close or without.
-    spread = classes.select("key", "venue", "text", "close", "corrected", F.size("days").alias("choices"), F.inline("days"))
-    a, b = (spread.select("text", "day", *[F.col(c).alias(c + s) for c in ("key", "venue", "close", "corrected", "choices", "certain")]) for s in ("_a", "_b"))
-    pairs = a.join(b, ["text", "day"]).filter("venue_a < venue_b")
+    spread = classes.select("key", "venue", "text", "initial", "close", "corrected", F.size("days").alias("choices"), F.inline("days"))
+    a, b = (spread.select("text", "day", *[F.col(c).alias(c + s) for c in ("key", "venue", "initial", "close", "corrected", "choices", "certain")]) for s in ("_a", "_b"))
+    pairs = a.join(b, ["text", "day"]).filter("venue_a < venue_b and (initial_a = '' or initial_b = '' or initial_a = initial_b)")
     apart = F.abs(F.col("close_a") - F.col("close_b")) / 3_600_000_000
     guess = lambda s: F.when(F.col("certain" + s), 0.0).when(F.col("choices" + s) > 1, -1.5).otherwise(-0.5)
     score = 3.0 + guess("_a") + guess("_b") + F.when(apart <= 12, 1.0).when(apart <= 36, 0.0).when(apart.isNull(), 0.0).otherwise(-0.5) + F.when(F.col("corrected_a"), -0.3).otherwise(0.0) + F.when(F.col("corrected_b"), -0.3).otherwise(0.0)

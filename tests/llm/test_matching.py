@@ -50,6 +50,12 @@ def test_odd_titles_do_not_break():
 SCHEMA = "key string, venue string, title string, close long, whole_day boolean, hint_day date, hint_direction int, hint_threshold double"
 
 
+def test_tickers_fill_only_what_a_question_has(spark):
+    rows = [("a:1", "a", "Ospreys over Quarries on Mar 17", CLOSE, False, None, 1, 0.0), ("b:1", "b", "Ospreys to win vs Quarries Mar 17 2021", CLOSE, False, None, None, None), ("a:2", "a", "WYS high temp ?", CLOSE, False, None, -1, 68.5), ("b:2", "b", "WYS high temp < 68.5° on Mar 17?", CLOSE, False, None, None, None)]
+    got = {(r["a"], r["b"]) for r in matching.match(spark.createDataFrame(rows, SCHEMA), _places(spark)).collect()}
+    assert got == {("a:1", "b:1"), ("a:2", "b:2")}
+
+
 def _markets(spark, rows):
     return spark.createDataFrame([(k, k.split(":")[0], t, c, False, None, None, None) for k, t, c in rows], SCHEMA)
 
@@ -71,11 +77,12 @@ def test_same_question_in_other_words(spark):
         ("a:1", "Will the high temperature in Wylcross be below 68.5F on Mar 17?", CLOSE), ("b:1", "WYS high temp < 68.5° ?", CLOSE + 3_600_000_000), ("c:1", "Wylcros: daily high under 68.5 degrees on 2021-03-17", CLOSE),
         ("b:2", "WYS low temp < 68.5° on Mar 17?", CLOSE), ("c:2", "Wylcross: daily high over 68.5 degrees on 2021-03-17", CLOSE), ("b:3", "WYS high temp < 69.5° on Mar 17?", CLOSE), ("c:3", "Wylcross: daily high under 68.5 on 2021-03-18", CLOSE),
         ("a:5", "Will the Port Fennford Ospreys beat the Quarries on Mar 17?", CLOSE), ("b:5", "Ospreys over Quarries Mar 17 2021", None), ("c:5", "Quarries over Ospreys Mar 17 2021", None),
+        ("a:7", "Will Brenno Stroaby score at least 12 points on Mar 17?", CLOSE), ("b:7", "B. Stroaby: 12+ points on 17 March", CLOSE), ("c:7", "T. Stroaby: 12+ points on 17 March", CLOSE),
         ("a:6", None, CLOSE), ("b:6", "", CLOSE), ("c:6", "No question here", CLOSE),
     ]
     # Mentions that only few markets make keep their own spelling; "Wylcros" is one letter off a place.
     found = _pairs(spark, rows)
-    assert {p for p, c in found.items() if c >= 0.5} == {("a:1", "b:1"), ("a:1", "c:1"), ("b:1", "c:1"), ("a:5", "b:5")}
+    assert {p for p, c in found.items() if c >= 0.5} == {("a:1", "b:1"), ("a:1", "c:1"), ("b:1", "c:1"), ("a:5", "b:5"), ("a:7", "b:7")}
 
 
 def test_one_partner_in_each_venue_and_copies(spark):
@@ -121,6 +128,6 @@ def test_misspelt_words(spark):
 
 
 def test_entities(spark):
-    said = [("team", "port fennford quarries")] * 4 + [("team", "quarries")] * 5 + [("asset", "brillcoin bril")] * 3 + [("asset", "brillcoin")] * 3 + [("asset", "bril")] + [("place", "wys"), ("place", "wylcorss"), ("place", "ni wylcross"), ("person", "d nesserin")] + [("person", "nesserin")] * 3
+    said = [("team", "port fennford quarries")] * 4 + [("team", "quarries")] * 5 + [("asset", "brillcoin bril")] * 3 + [("asset", "brillcoin")] * 3 + [("asset", "bril")] + [("place", "wys"), ("place", "wylcorss"), ("place", "ni wylcross"), ("person", "d nesserin"), ("person", "nesserin mor")] + [("person", "nesserin")] * 3
     got = {r["text"]: r["entity"] for r in matching.entities(spark.createDataFrame(said, "kind string, text string"), _places(spark)).collect()}
-    assert got == {"port fennford quarries": "quarries", "quarries": "quarries", "brillcoin bril": "brillcoin", "brillcoin": "brillcoin", "bril": "brillcoin", "wys": "wylcross", "wylcorss": "wylcross", "ni wylcross": "wylcross", "d nesserin": "nesserin", "nesserin": "nesserin"}
+    assert got == {"port fennford quarries": "quarries", "quarries": "quarries", "brillcoin bril": "brillcoin", "brillcoin": "brillcoin", "bril": "brillcoin", "wys": "wylcross", "wylcorss": "wylcross", "ni wylcross": "wylcross", "d nesserin": "nesserin", "nesserin mor": "nesserin", "nesserin": "nesserin"}
