@@ -102,7 +102,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_kept, p3_found, p3_formats, p4_found, p7_found)}
 
+_SPELT = ", ".join(f"('{spelling}', '{unit}')" for unit, spellings in units.UNITS.items() for spelling in spellings)
+
 ORACLE = {
+    # Exact spellings only; the fuzzy ones are tested apart.
+    "p7_found": rf"""
+        WITH u(spelling, unit) AS (VALUES {_SPELT}),
+        item AS (SELECT 'kalshi_markets' AS table_name, rec_id, 'yes_bid_dollars' AS field_name, 1 AS pos, yes_bid_dollars AS t FROM kalshi_markets
+                 UNION ALL SELECT 'polymarket_markets', rec_id, 'outcomeprices', CAST(i AS INTEGER), l[i] FROM (SELECT rec_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT rec_id, list_filter(regexp_extract_all(outcomeprices, '[^\],;|\t\r\n\["''\\]+'), lambda x: trim(x) <> '') AS l FROM polymarket_markets))),
+        text AS (SELECT table_name, rec_id, field_name, pos, try_cast(regexp_extract(t, '[0-9]*[.]?[0-9]+') AS DOUBLE) AS v, lower(trim(regexp_replace(t, '[0-9]*[.]?[0-9]+', ''))) AS s FROM item),
+        every AS (
+            SELECT table_name, rec_id, field_name, pos, v, CASE WHEN s = '' THEN 'cent' ELSE u.unit END AS unit FROM text LEFT JOIN u ON u.spelling = s WHERE s <> '' OR v > 1
+            UNION ALL SELECT 'market_quotes', row_id, 'price', 1, price, u.unit FROM market_quotes q JOIN venue_defaults d ON d.source = q.source JOIN u ON u.spelling = lower(trim(coalesce(q.price_unit, d.price_unit))) WHERE u.unit NOT IN ('fraction', 'dollar') AND price IS NOT NULL
+            UNION ALL SELECT 'market_quotes', row_id, 'implied_prob', 1, implied_prob, CASE WHEN implied_prob BETWEEN 2 AND 98 THEN 'percent' ELSE 'basis_point' END FROM market_quotes WHERE implied_prob BETWEEN 2 AND 98 OR implied_prob BETWEEN 200 AND 9800),
+        p AS (SELECT *, CASE WHEN unit IN ('fraction', 'dollar') THEN v WHEN unit IN ('cent', 'percent') THEN v / 100 WHEN unit = 'basis_point' THEN v / 10000 WHEN unit = 'decimal_odds' AND v >= 1 THEN 1 / v WHEN unit = 'american_odds' AND v > 0 THEN 100 / (v + 100) WHEN unit = 'american_odds' AND v < 0 THEN v / (v - 100) END AS p FROM every)
+        SELECT table_name, rec_id, field_name, pos, CAST(round(p * 1000000) AS BIGINT) AS prob_millionths FROM p WHERE p BETWEEN 0 AND 1""",
     "p1_found": """
         WITH b AS (SELECT load_id, source, count(*) AS n, count(price) AS np, count(implied_prob) AS ni, count(close_ts) AS nc, count(outcome) AS no, count(*) FILTER (WHERE implied_prob < 0 OR implied_prob > 1) AS bad,
                           count(*) FILTER (WHERE trim(outcome) = '' OR regexp_matches(outcome, '[^A-Za-z0-9 .''-]')) AS off, count(DISTINCT lower(quote_key)) AS nk, median(price) AS m FROM market_quotes GROUP BY load_id, source),
