@@ -104,7 +104,37 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_kept, p3_f
 
 _SPELT = ", ".join(f"('{spelling}', '{unit}')" for unit, spellings in units.UNITS.items() for spelling in spellings)
 
+_ABBREVIATED = ", ".join(f"('{name.upper()}', {minutes})" for name, minutes in instants.ABBREVIATIONS.items())
+_READ = r"""
+        t AS (
+            SELECT 'kalshi_markets' AS table_name, rec_id, 'close_time' AS field_name, close_time AS x, 'kalshi' AS source, NULL AS station FROM kalshi_markets UNION ALL SELECT 'manifold_markets', rec_id, 'closetime', closetime, 'manifold', NULL FROM manifold_markets
+            UNION ALL SELECT 'odds_events', rec_id, 'commence_time', commence_time, 'oddsapi', NULL FROM odds_events UNION ALL SELECT 'forecast_periods', rec_id, 'starttime', starttime, NULL, station FROM forecast_periods),
+        s AS (SELECT table_name, rec_id, field_name, trim(x, ' ' || chr(9) || chr(10) || chr(13)) AS x, coalesce(f.zone_name, v.zone_name) AS zone, coalesce(v.date_order, 'mdy') AS o
+              FROM t LEFT JOIN venue_defaults v ON v.source = t.source LEFT JOIN forecast_stations f ON f.station = t.station),
+        g AS (
+            SELECT *, CASE
+                WHEN regexp_full_match(x, '\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}.*') THEN regexp_extract(x, '^(\d{4})-(\d{2})-(\d{2})[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?()\s*(Z|z|UTC|[+-]\d{2}:?\d{2}|[A-Za-z]+/[A-Za-z_]+)?(?:\[[A-Za-z_/]+\])?$', ['y', 'm', 'd', 'h', 'i', 's', 'f', 'a', 'z'])
+                WHEN regexp_full_match(x, '\d{8}T\d{6}Z') THEN regexp_extract(x, '^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})()()(Z)$', ['y', 'm', 'd', 'h', 'i', 's', 'f', 'a', 'z'])
+                WHEN regexp_full_match(x, '\d{2}[./]\d{2}[./]\d{4} .*') AND o = 'dmy' THEN regexp_extract(x, '^(\d{2})[./](\d{2})[./](\d{4}) (\d{1,2}):(\d{2})()()(?: ([AP])M)?()$', ['d', 'm', 'y', 'h', 'i', 's', 'f', 'a', 'z'])
+                WHEN regexp_full_match(x, '\d{2}[./]\d{2}[./]\d{4} .*') THEN regexp_extract(x, '^(\d{2})[./](\d{2})[./](\d{4}) (\d{1,2}):(\d{2})()()(?: ([AP])M)?()$', ['m', 'd', 'y', 'h', 'i', 's', 'f', 'a', 'z'])
+                WHEN regexp_full_match(x, '(?:[A-Z][a-z]{2}, )?\d{1,2} [A-Z][a-z]+ \d{4}.*') THEN regexp_extract(x, '^(?:[A-Z][a-z]{2}, )?(\d{1,2}) ([A-Z][a-z]+) (\d{4}),? (\d{1,2}):(\d{2})(?::(\d{2}))?()()(?: (GMT|[+-]\d{4}))?$', ['d', 'm', 'y', 'h', 'i', 's', 'f', 'a', 'z'])
+                WHEN regexp_full_match(x, '[A-Z][a-z]+ \d{1,2}, \d{4} .*') THEN regexp_extract(x, '^([A-Z][a-z]+) (\d{1,2}), (\d{4}) (\d{1,2}):(\d{2})()() ([AP])M ([A-Z]+)$', ['m', 'd', 'y', 'h', 'i', 's', 'f', 'a', 'z']) END AS g,
+                CASE WHEN regexp_full_match(x, '\d{10}(\.\d+)?') THEN CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT) WHEN regexp_full_match(x, '\d{13}') THEN CAST(x AS BIGINT) * 1000 WHEN regexp_full_match(x, '\d{16}') THEN CAST(x AS BIGINT) WHEN regexp_full_match(x, '\d{19}') THEN CAST(x AS BIGINT) // 1000 END AS e
+            FROM s),
+        n AS (
+            SELECT *, coalesce(try_cast(g['m'] AS INTEGER), (instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(substr(g['m'], 1, 3))) + 2) // 3) AS m, try_cast(g['h'] AS INTEGER) AS h, upper(g['z']) AS z FROM g),
+        w AS (
+            SELECT *, try_cast(g['y'] || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(g['d'], 2, '0') || ' ' || lpad(CAST(CASE WHEN g['a'] = '' THEN h WHEN g['a'] = 'P' THEN h % 12 + 12 ELSE h % 12 END AS VARCHAR), 2, '0') || ':' || g['i'] || ':' || CASE WHEN g['s'] = '' THEN '00' ELSE g['s'] END AS TIMESTAMP) AS wall,
+                   CASE WHEN g['f'] = '' THEN 0 ELSE CAST(rpad(substr(g['f'], 1, 6), 6, '0') AS BIGINT) END AS f FROM n),
+        l AS (
+            SELECT w.*, CASE WHEN regexp_matches(z, '^[+-]') THEN CAST(substr(z, 1, 1) || '1' AS INTEGER) * (CAST(substr(z, 2, 2) AS INTEGER) * 60 + CAST(right(z, 2) AS INTEGER)) ELSE b.minutes END AS shift, CASE WHEN contains(z, '/') THEN g['z'] ELSE zone END AS place FROM w LEFT JOIN b ON b.name = w.z),
+        u AS (SELECT *, timezone(place, wall) AS later FROM l)"""
+
 ORACLE = {
+    # Where an hour repeats, timezone() gives its second pass; the first one is an hour earlier if that shows the same clock face.
+    "p3_found": f"""
+        WITH b(name, minutes) AS (VALUES {_ABBREVIATED}), {_READ}
+        SELECT * FROM (SELECT table_name, rec_id, field_name, coalesce(e, CASE WHEN shift IS NOT NULL THEN epoch_us(wall) - CAST(shift AS BIGINT) * 60000000 WHEN timezone(place, later - INTERVAL 1 HOUR) = wall THEN epoch_us(later) - 3600000000 ELSE epoch_us(later) END + f) AS utc_micros FROM u) WHERE utc_micros IS NOT NULL""",
     # Exact spellings only; the fuzzy ones are tested apart.
     "p7_found": rf"""
         WITH u(spelling, unit) AS (VALUES {_SPELT}),
