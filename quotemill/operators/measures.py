@@ -103,6 +103,27 @@ def coverage_gaps(blocks: DataFrame, group: str = "category", source: str = "sou
     return per.join(touched, source, "left_anti").groupBy(source).agg(F.array_sort(F.collect_set(group)).alias("categories"))
 
 
+def reasons(blocks: DataFrame, summary: DataFrame, cross: DataFrame, group: str = "category", source: str = "source") -> DataFrame:
+    """Why matching came out as it did, in words: one row, reasons (array).
+
+    blocks has a row for each category and source with markets, summary is match_diagnostics, cross one
+    row with n_cross (events of several sources). One reason if there are no markets or any cross
+    event; else the sources that share no category, and what became of the pairs.
+    """
+    per = blocks.groupBy(group).agg(F.count_distinct(source).alias("n"))
+    have = per.agg(F.count("*").alias("groups"), F.count_if(F.col("n") >= 2).alias("shared"))
+    gaps = coverage_gaps(blocks, group, source).agg(F.array_sort(F.collect_list(F.concat(F.col(source), F.lit(" only contributed markets in "), F.array_join("categories", ", "), F.lit("; no other source covers them")))).alias("gaps"))
+    one = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731 - single rows side by side
+    row = one(have).join(one(gaps), "one").join(one(summary), "one").join(one(cross), "one")
+    pairs = (
+        F.when(F.col("shared") == 0, "no category had two sources or more - there was nothing to compare").when(F.col("n_pairs_scored") == 0, "categories with several sources exist, but no candidate pairs were scored")
+        .when(F.col("n_pairs_matched") == 0, F.format_string("%d pair(s) scored, all below the match threshold (closest score: %.2f)", "n_pairs_scored", F.coalesce("near_miss_max", F.lit(0.0))))
+    )
+    told = F.array_compact(F.concat("gaps", F.array(pairs)))
+    told = F.when(F.size(told) == 0, F.array(F.lit("no event of several sources, and no specific cause was found"))).otherwise(told)
+    return row.select(F.when(F.col("groups") == 0, F.array(F.lit("no markets yet"))).when(F.col("n_cross") > 0, F.array(F.format_string("%d event(s) of several sources matched", "n_cross"))).otherwise(told).alias("reasons"))
+
+
 def violations(df: DataFrame, unique: Sequence[str] = (), not_null: Sequence[str] = (), within: dict[str, tuple[float, float]] | None = None, accepted: dict[str, Sequence] | None = None) -> DataFrame:
     """Data tests as rows: test, column_name, n_failed (rows that fail; of repeated values the surplus). Tests without failures are listed too."""
     checks = [("not_null", c, F.count_if(F.col(c).isNull())) for c in not_null]

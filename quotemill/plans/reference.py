@@ -397,6 +397,26 @@ def forecast_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.lookup_or_first(asked, periods, "station", "day", "rec_id").select(F.col("market").alias("rec_id"), "station", "day", "found.temperature")
 
 
+_HOT = "(above|over|greater than|at least|below|under|less than)\\s+(\\d+(?:\\.\\d+)?)\\s*(?:°|degrees?|f)\\b"
+
+
+@_query(f"""
+    WITH p AS ({_DAY}), k AS (SELECT DISTINCT ticker, regexp_extract(ticker, '^KXHIGH([A-Z]{{3}})-', 1) AS station, '20' || regexp_extract(ticker, '-(\\d\\d)MAR(\\d\\d)-', 1) || '-03-' || regexp_extract(ticker, '-(\\d\\d)MAR(\\d\\d)-', 2) AS day FROM kalshi_markets WHERE regexp_matches(ticker, '^KXHIGH[A-Z]{{3}}-\\d\\dMAR\\d\\d-')),
+    e AS (SELECT station, day, arg_min(temperature, rec_id) AS temperature FROM p GROUP BY station, day), f AS (SELECT station, arg_min(temperature, rec_id) AS temperature FROM p GROUP BY station),
+    q AS (SELECT * FROM (SELECT *, lower(regexp_extract(title, '(?i){_HOT}', 1)) AS w, try_cast(regexp_extract(title, '(?i){_HOT}', 2) AS DOUBLE) AS limit_f FROM ({_LATEST}) WHERE source = 'kalshi') WHERE w <> ''),
+    j AS (SELECT q.market_id, q.implied_prob, limit_f, w, coalesce(e.temperature, f.temperature) AS forecast_f FROM q JOIN k ON k.ticker = q.market_id LEFT JOIN e ON e.station = k.station AND e.day = k.day LEFT JOIN f ON f.station = k.station),
+    c AS (SELECT *, 1 - 0.5 * (1 + {_erf('(limit_f - forecast_f) / 4.0 / sqrt(2)')}) AS above FROM j WHERE forecast_f IS NOT NULL)
+    SELECT market_id, limit_f, CAST(forecast_f AS DOUBLE) AS forecast_f, implied_prob, round(CASE WHEN w IN ('above', 'over', 'greater than', 'at least') THEN above ELSE 1 - above END, 6) AS forecast_prob FROM c""")
+def forecast_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temperature markets whose title names a threshold in words: the latest quote beside the chance that the station's forecast gives it."""
+    markets = forecast_lookup(spark, sf_dir).join(table(spark, sf_dir, "kalshi_markets").select("rec_id", "ticker"), "rec_id").groupBy("ticker").agg(F.max("temperature").cast("double").alias("forecast_f"))
+    quotes = table(spark, sf_dir, "market_quotes").filter("source = 'kalshi'").select("row_id", "source", "market_id", "snapshot_ts", "title", _chance().alias("implied_prob")).filter("implied_prob is not null")
+    rows = latest.latest_row(quotes, ["source", "market_id"], [F.desc("snapshot_ts"), F.desc("row_id")]).withColumn("t", titles.threshold(F.col("title")))
+    rows = rows.filter(F.regexp_extract("title", titles.THRESHOLD_WORDS, 1) != "").join(markets.filter("forecast_f is not null"), F.col("market_id") == F.col("ticker"))
+    above = stats.chance_above(F.col("forecast_f"), F.col("t.value"), F.lit(4.0))
+    return rows.select("market_id", F.col("t.value").alias("limit_f"), "forecast_f", "implied_prob", F.round(F.when(F.col("t.direction") == "above", above).otherwise(1 - above), 6).alias("forecast_prob"))
+
+
 @_query(f"""
     SELECT kind, label, gap FROM (
         SELECT 'divergence' AS kind, source || ':' || market_id AS label, round(abs(implied_prob - (s - implied_prob) / (n - 1)), 8) AS gap FROM (SELECT q.*, sum(implied_prob) OVER w AS s, count(*) OVER w AS n FROM (SELECT l.source, l.market_id, l.implied_prob, e.event_id FROM ({_LATEST}) l JOIN ({_EVENTS}) e USING (source, market_id)) q WINDOW w AS (PARTITION BY event_id)) WHERE n > 1 AND event_id IN (SELECT event_id FROM (SELECT l.source, e.event_id FROM ({_LATEST}) l JOIN ({_EVENTS}) e USING (source, market_id)) GROUP BY event_id HAVING count(DISTINCT source) > 1)
@@ -429,6 +449,13 @@ def cross_venue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_events"), F.count_if(F.col("n") > 1).alias("n_cross"))
 
 
+@_query()
+def diagnostics_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why matching came out as it did, in words."""
+    cross = cross_venue_events(spark, sf_dir).select("n_cross")
+    return measures.reasons(table(spark, sf_dir, "event_map").select("category", "source").filter("category is not null"), diagnostics_pairs(spark, sf_dir), cross).select(F.array_join("reasons", "; ").alias("reasons"))
+
+
 @_query()
 def normalised_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes from the raw messages of all venues."""

@@ -101,6 +101,38 @@ def resolutions(spark: SparkSession, *paths: str) -> DataFrame:
     return keep_last(parts, ["market_id"], [F.desc("outcome")])
 
 
+def upsert_outcomes(spark: SparkSession, new: DataFrame, path: str) -> None:
+    """Outcomes (market_id, outcome) put into a CSV file's folder: a new one wins over what is there. Written beside it and then swapped in, so a reader never meets half a file."""
+    parts = [new.select("market_id", F.col("outcome").cast("int").alias("outcome")).filter("market_id is not null and outcome is not null")]
+    if exists(spark, path):
+        parts.insert(0, resolutions(spark, path))
+    fresh = f"{path}.new"
+    keep_last(parts, ["market_id"], [F.desc("outcome")]).withColumn("note", F.lit("")).coalesce(1).write.mode("overwrite").csv(fresh, header=True)
+    _swap(spark, fresh, path)
+
+
+def write_state(spark: SparkSession, path: str, **values: float | int | str) -> None:
+    """A handful of named values as one row of JSON, swapped in whole."""
+    spark.createDataFrame([tuple(values.values())], list(values)).coalesce(1).write.mode("overwrite").json(f"{path}.new")
+    _swap(spark, f"{path}.new", path)
+
+
+def read_state(spark: SparkSession, path: str, name: str, default: float) -> float:
+    """A named value of a state, or the default where there is none yet."""
+    if not exists(spark, path):
+        return default
+    row = spark.read.schema(f"{name} double").json(path).first()
+    return default if row is None or row[name] is None else row[name]
+
+
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at(path)):
+        files.delete(at(path), True)
+    files.rename(at(fresh), at(path))
+
+
 def overrides(spark: SparkSession, path: str) -> DataFrame:
     """Manual decisions from CSV: a and b ('source:market_id'), relation; blank cells as empty text."""
     cols = ["source_a", "market_id_a", "source_b", "market_id_b", "relation"]

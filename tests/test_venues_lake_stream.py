@@ -72,6 +72,30 @@ def test_csv_resolutions_and_overrides(spark, tmp_path):
     assert [tuple(r) for r in lake.overrides(spark, str(tmp_path / "o.csv")).collect()] == [("kalshi:X", "manifold:y", "match")]
 
 
+def test_outcomes_and_state_are_swapped_in(spark, tmp_path):
+    path = str(tmp_path / "auto.csv")
+    for rows in ([("m", 0), ("n", 1), (None, 1)], [("m", 1)]):
+        lake.upsert_outcomes(spark, spark.createDataFrame(rows, "market_id string, outcome int"), path)
+    assert {r["market_id"]: r["outcome"] for r in lake.resolutions(spark, path).collect()} == {"m": 1, "n": 1}
+    state = str(tmp_path / "state")
+    assert lake.read_state(spark, state, "sigma", 4.0) == 4.0
+    lake.write_state(spark, state, sigma=4.5, n=20)
+    lake.write_state(spark, state, sigma=5.5, n=21)
+    assert lake.read_state(spark, state, "sigma", 4.0) == 5.5 and lake.read_state(spark, state, "other", 1.0) == 1.0
+
+
+def test_reasons(spark):
+    blocks = lambda rows: spark.createDataFrame(rows, "category string, source string")
+    pairs = lambda rows: measures.match_diagnostics(spark.createDataFrame(rows, "decision string, confidence double"))
+    cross = lambda n: spark.createDataFrame([(n,)], "n_cross long")
+    say = lambda *a: measures.reasons(*a).first()["reasons"]
+    assert say(blocks([]), pairs([]), cross(0)) == ["no markets yet"]
+    assert say(blocks([("x", "a")]), pairs([]), cross(2)) == ["2 event(s) of several sources matched"]
+    assert say(blocks([("x", "a"), ("y", "b")]), pairs([]), cross(0)) == ["a only contributed markets in x; no other source covers them", "b only contributed markets in y; no other source covers them", "no category had two sources or more - there was nothing to compare"]
+    assert say(blocks([("x", "a"), ("x", "b")]), pairs([]), cross(0)) == ["categories with several sources exist, but no candidate pairs were scored"]
+    assert say(blocks([("x", "a"), ("x", "b")]), pairs([("no-match", 0.55)]), cross(0)) == ["1 pair(s) scored, all below the match threshold (closest score: 0.55)"]
+
+
 def test_stream_lands_what_batch_lands(spark, tmp_path):
     raw = _raw(spark).filter("source is not null")
     messages = topic.encode(raw).unionByName(spark.createDataFrame([(b"k", b"{damaged"), (b"k", None)], "key binary, value binary"))
