@@ -34,10 +34,12 @@ def similar_classes(classes: DataFrame, least: float, block: Sequence[str] = ())
     ranked = classes.select("class_id", *block, "tokens", F.explode("tokens").alias("t")).join(often, [*block, "t"])
     ordered = ranked.groupBy("class_id", *block, "tokens").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]).alias("o"))
     n = F.size("tokens")
-    prefix = ordered.select("class_id", *block, "tokens", F.explode(F.slice("o", F.lit(1), n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)).alias("t"))
-    a, b = (prefix.select(*block, "t", F.col("class_id").alias(s), F.col("tokens").alias(f"t{s}")) for s in ("a", "b"))
-    met = a.join(b, [*block, "t"]).filter((F.col("a") < F.col("b")) & (F.size("ta") >= F.size("tb") * least - 1e-9) & (F.size("tb") >= F.size("ta") * least - 1e-9))
-    scored = met.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).filter(F.col("jaccard") >= least)
+    prefix = ordered.select("class_id", *block, "tokens", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)).alias("i", "t"))
+    a, b = (prefix.select(*block, "t", F.col("class_id").alias(s), *[F.col(c).alias(c + s) for c in ("tokens", "n", "i")]) for s in ("a", "b"))
+    # Where a pair's first common token meets, what is left of either set bounds what they share.
+    left, needed = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")), (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9
+    met = a.join(b, [*block, "t"]).filter((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9) & (left >= needed))
+    scored = met.select("a", "b", jaccard(F.col("tokensa"), F.col("tokensb")).alias("jaccard")).filter(F.col("jaccard") >= least)
     return scored.distinct()
 
 
