@@ -56,21 +56,15 @@ class Rolling:
 
 
 def smallest_in_window(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of that width the place of its smallest value, the leftmost of equal ones."""
+    """The smallest value of each window of that width: of the rest of one row of a grid and the start of the next."""
     n = len(values)
     rows = -(-n // width)
-    top = np.full(rows * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-    top[:n] = values
-    grid, place = top.reshape(rows, width), np.arange(rows * width).reshape(rows, width)
-    ahead = np.minimum.accumulate(grid, axis=1)
-    fresh = np.ones_like(grid, dtype=bool)
-    fresh[:, 1:] = grid[:, 1:] < ahead[:, :-1]
-    ahead_at = np.maximum.accumulate(np.where(fresh, place, 0), axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]
-    # Going left, an equal value further left takes over.
-    behind_at = np.minimum.accumulate(np.where(grid == behind, place, rows * width)[:, ::-1], axis=1)[:, ::-1].ravel()
-    first, last = np.arange(n - width + 1), np.arange(width - 1, n)
-    return np.where(behind.ravel()[first] <= ahead.ravel()[last], behind_at[first], ahead_at[last])
+    grid = np.full(rows * width, np.iinfo(np.uint64).max, dtype=np.uint64)
+    grid[:n] = values
+    grid = grid.reshape(rows, width)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
 #: Columns of a block, after the record's id.
@@ -81,41 +75,44 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def blocks(texts: list[str], least: int) -> dict[str, np.ndarray]:
+def blocks(texts: list[str], least: int, whole: bool = True) -> dict[str, np.ndarray]:
     """The blocks of runs that own the same unit, over several texts.
 
-    Columns: text (its index), first and last (starts of the block's runs), unit (where it starts),
-    h (the unit's digest), ha and hb (the digest of the block's whole stretch and the unit's place in it).
+    Columns: text (its index), first and last (starts of the block's runs), h (the unit's digest and rank),
+    and, if whole, ha and hb (the digest of the block's whole stretch).
     """
     arrays = [codes_of(t) for t in texts]
     sizes = np.array([len(a) for a in arrays], dtype=np.int64)
     codes = np.concatenate(arrays) if len(arrays) else np.zeros(0, np.uint32)
-    empty = {k: np.zeros(0, np.int64) for k in ("text", "first", "last", "unit", "h", "ha", "hb")}
-    runs = np.maximum(sizes - least + 1, 0)
-    if not runs.sum():
-        return empty
+    if not (sizes >= least).any():
+        return {k: np.zeros(0, np.int64) for k in ("text", "first", "last", "h", "ha", "hb")}
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    a, b = (Rolling(codes, base) for base in _BASES)
+    a = Rolling(codes, _BASES[0])
     at = np.arange(len(codes) - UNIT + 1)
-    h = _mix(a.of(at, at + UNIT))
+    rank = _mix(a.of(at, at + UNIT)) >> np.uint64(1)
     breaks = (codes == 10) | (codes == 13)
-    lines = np.zeros(len(h), dtype=bool)
-    lines[1:] = breaks[: len(h) - 1] & ~breaks[1 : len(h)]
-    rank = (h >> np.uint64(1)) | np.where(lines, np.uint64(0), np.uint64(1 << 63))
+    # Units at line starts come before all others.
+    rank |= np.uint64(1 << 63)
+    lines = np.flatnonzero(breaks[:-1] & ~breaks[1:]) + 1
+    rank[lines[lines < len(rank)]] &= np.uint64((1 << 63) - 1)
     width = least - UNIT
     # Run s owns a unit that starts in s+1 ... s+least-UNIT: the character before it lies inside the run.
-    s = np.repeat(starts, runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-    owner = smallest_in_window(rank[1:], width)[s] + 1
-    text = np.repeat(np.arange(len(texts)), runs)
+    own = smallest_in_window(rank[1:], width)
+    inside = np.ones(len(own), dtype=bool)
+    for start, size in zip(starts.tolist(), sizes.tolist()):
+        inside[max(start, start + size - least + 1) : start + size] = False  # runs don't reach over a text's end
+    s = np.flatnonzero(inside)
+    h = own[s]
     new = np.ones(len(s), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])
+    new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1] + 1)
     i = np.flatnonzero(new)
-    j = np.append(i[1:], len(s)) - 1
-    first, last, unit, text = s[i], s[j], owner[i], text[i]
-    shape = ((unit - first).astype(np.uint64) << np.uint64(32)) | (last - first).astype(np.uint64)
-    ha, hb = (_mix(r.of(first, last + least) ^ _mix(shape)) for r in (a, b))
-    base = starts[text]
-    return {"text": text, "first": first - base, "last": last - base, "unit": unit - base, "h": h[unit].view(np.int64), "ha": ha.view(np.int64), "hb": hb.view(np.int64)}
+    first, last = s[i], s[np.append(i[1:], len(s)) - 1]
+    text = np.searchsorted(starts, first, side="right") - 1
+    out = {"text": text, "first": first - starts[text], "last": last - starts[text], "h": h[i].view(np.int64)}
+    if whole:
+        shape, b = _mix((last - first).astype(np.uint64)), Rolling(codes, _BASES[1])
+        out |= {name: _mix(r.of(first, last + least) ^ shape).view(np.int64) for name, r in (("ha", a), ("hb", b))}
+    return out
 
 
 def pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
@@ -144,7 +141,7 @@ def pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list
 def _digests(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, texts in pieces(batches, least):
-            b = blocks(texts, least)
+            b = blocks(texts, least, whole=False)
             yield pa.RecordBatch.from_arrays([pa.array(b["h"]), pa.array(np.asarray(ids, dtype=np.int64)[b["text"]])], ["h", "id"])
 
     return run
@@ -153,13 +150,13 @@ def _digests(least: int) -> Callable:
 def _slot(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word and the bit of a digest; digests are mixed already."""
     u = h.view(np.uint64)
-    return (u % np.uint64(WORDS)).astype(np.int64), (u >> np.uint64(58)).astype(np.uint64)
+    return (u % np.uint64(WORDS)).astype(np.int64), (u >> np.uint64(57)) & np.uint64(63)
 
 
 def bitmap(digests: DataFrame, name: str) -> np.ndarray:
     """A bitmap of WORDS words with a bit set for each digest: a filter without false negatives, of a fixed size."""
-    word = F.pmod(F.col(name), F.lit(WORDS))
-    rows = digests.groupBy(word.alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, 58) as int))")).alias("bits"))
+    word = F.pmod(F.col(name), F.lit(WORDS))  # WORDS divides 2**64, so signed and unsigned digests agree
+    rows = digests.groupBy(word.alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, 57) & 63 as int))")).alias("bits"))
     out = np.zeros(WORDS, dtype=np.int64)
     found = rows.toPandas()  # WORDS rows at most
     out[found["w"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
