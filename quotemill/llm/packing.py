@@ -38,49 +38,52 @@ class Packer:
 
     def __init__(self, capacity: int, levels: int = LEVELS) -> None:
         self.capacity, self.n = capacity, min(levels, capacity)
-        self.levels = np.zeros(self.n + 1, dtype=np.int64)
+        self.counts = [0] * (self.n + 1)
         self.open: list[list[tuple[int, int]]] = [[] for _ in range(self.n + 1)]  # (fill, container) in order
         self.fills: list[int] = []
         self.contents: list[list[int]] = []
 
-    def level(self, fill: int) -> int:
-        return fill * self.n // self.capacity
+    @property
+    def levels(self) -> np.ndarray:
+        return np.array(self.counts)
 
     def place(self, item: int, size: int) -> None:
         # Squares grow by 2N+1 where a count goes up, and shrink by 2N-1 where one goes down; a full container counts nowhere.
-        up = 2 * self.levels + 1
-        best, choice = (up[self.level(size)] if size < self.capacity else 0, 0), None
-        room = self.capacity - size
-        for i in range(self.level(room), -1, -1):
-            group = self.open[i]
+        capacity, n, counts, open_ = self.capacity, self.n, self.counts, self.open
+        room = capacity - size
+        best, fullest, level, place = (2 * counts[size * n // capacity] + 1 if room else 0), 0, -1, -1
+        top = room * n // capacity
+        for i in range(top, -1, -1):
+            group = open_[i]
             if not group:
                 continue
-            k = bisect_right(group, (room, 1 << 60)) - 1
-            if k < 0:
-                continue
+            k = len(group) - 1
+            if i == top:
+                k = bisect_right(group, (room, 1 << 60)) - 1
+                if k < 0:
+                    continue
             fill = group[k][0]
-            to = self.level(fill + size)
-            change = -(2 * self.levels[i] - 1) + (0 if fill + size == self.capacity else (up[to] if to != i else 2 * self.levels[i] - 1))
-            if (change, -fill) < best:
-                best, choice = (change, -fill), (i, k)
-        if choice is None:
+            here = 2 * counts[i] - 1
+            if fill == room:
+                change = -here
+            else:
+                to = (fill + size) * n // capacity
+                change = 2 * counts[to] + 1 - here if to != i else 0
+            if change < best or (change == best and fill > fullest):
+                best, fullest, level, place = change, fill, i, k
+        if level < 0:
             fill, container = 0, len(self.fills)
             self.fills.append(0)
             self.contents.append([])
         else:
-            i, k = choice
-            fill, container = self.open[i].pop(k)
-            self.levels[i] -= 1
-        self.fills[container] = fill + size
+            fill, container = open_[level].pop(place)
+            counts[level] -= 1
+        self.fills[container] = fill = fill + size
         self.contents[container].append(item)
-        self._open(container)
-
-    def _open(self, container: int) -> None:
-        fill = self.fills[container]
-        if fill < self.capacity:
-            i = self.level(fill)
-            insort(self.open[i], (fill, container))
-            self.levels[i] += 1
+        if fill < capacity:
+            i = fill * n // capacity
+            insort(open_[i], (fill, container))
+            counts[i] += 1
 
     def close(self, sizes: list[int]) -> None:
         """Repacks what lies in containers that stayed clearly open when the stream ended: largest first, each into the fullest container that takes it; kept if it saves containers."""
