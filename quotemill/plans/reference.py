@@ -471,13 +471,24 @@ def stream_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topic.once(spark, f"{sf_dir}/events.parquet*", spec, ["event_id"], ["ts"], f"{place}/checkpoint", f"{place}/out")
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quotes, each with its own snapshot, written to a new lake and read again."""
+    root = os.path.join(shared_folder(spark), f"lake-{uuid.uuid4().hex}")
+    lake.write_quotes(table(spark, sf_dir, "market_quotes").select("source", "market_id", "outcome", "title", "price", "implied_prob", "snapshot_ts", "close_ts"), root)
+    return lake.read_quotes(spark, root)
+
+
 @_query("SELECT source, count(*) AS n FROM (SELECT DISTINCT source, market_id, outcome, snapshot_ts FROM (SELECT source, market_id, outcome, date_trunc('day', snapshot_ts) AS snapshot_ts FROM market_quotes)) GROUP BY source")
 def lake_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes of each day written to the lake and read again, by source."""
-    root = os.path.join(shared_folder(spark), f"lake-{uuid.uuid4().hex}")
-    rows = table(spark, sf_dir, "market_quotes").select("source", "market_id", "outcome", "title", "price", "implied_prob", F.date_trunc("day", "snapshot_ts").alias("snapshot_ts"), "close_ts")
-    lake.write_quotes(rows, root)
-    return lake.read_quotes(spark, root).groupBy("source").agg(F.count("*").alias("n"))
+    """All quotes written to the lake and read again: how many markets' outcomes are quoted on each day, summed by source."""
+    days = _landed(spark, sf_dir).select("source", "market_id", "outcome", F.date_trunc("day", "snapshot_ts").alias("day")).distinct()
+    return days.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT source, count(*) AS n FROM (SELECT DISTINCT source, market_id, outcome, snapshot_ts FROM market_quotes) GROUP BY source")
+def lake_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of every snapshot written to the lake and read again, by source."""
+    return _landed(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
 
 
 _GROUPS = " ".join(f"WHEN regexp_matches(upper(ticker), '{'|'.join(marks)}') THEN '{g}'" for g, marks in titles.TICKER_GROUPS.items())

@@ -10,22 +10,42 @@ from quotemill.operators.dedup import keep_one
 from quotemill.operators.latest import keep_last
 from quotemill.session import Stored
 
-PARTS = ["source", "date", "snapshot"]
+#: Folders. Snapshots may be as many as seconds, so they are a column and share their day's files.
+PARTS = ["source", "date"]
+SNAPSHOT = [*PARTS, "snapshot"]
 RAW_KEY = ["source", "market_id", "snapshot_ts"]
 QUOTE_KEY = ["source", "market_id", "outcome", "snapshot_ts"]
 #: Instants outside are mistakes and read as null.
 SPAN = ("1678-01-01", "2261-12-31")
 
 
+def _stamped(df: DataFrame) -> DataFrame:
+    return df.withColumns({"date": F.date_format("snapshot_ts", "yyyy-MM-dd"), "snapshot": F.date_format("snapshot_ts", "yyyyMMdd'T'HHmmss'Z'")})
+
+
+def _same(rows: DataFrame, others: DataFrame, cols: list[str], how: str) -> DataFrame:
+    """The rows that others hold (left_semi) or don't hold (left_anti) by these columns; nulls are equal."""
+    theirs = others.select(*[F.col(c).alias(f"_{c}") for c in cols]).distinct()
+    on = F.lit(True)
+    for c in cols:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(theirs, on, how)
+
+
 def _write(df: DataFrame, path: str, key: list[str], by: list[str]) -> None:
-    rows = df.withColumns({"date": F.date_format("snapshot_ts", "yyyy-MM-dd"), "snapshot": F.date_format("snapshot_ts", "yyyyMMdd'T'HHmmss'Z'")})
-    one = keep_one(rows, {k: F.col(k) for k in key}, by)
+    one = keep_one(_stamped(df), {k: F.col(k) for k in key}, by)
+    old = _read(df.sparkSession, path)
+    if old is not None:
+        # Other snapshots of the days that are replaced stay; what is replaced is read first, so it goes by way of the shared folder.
+        new = Stored(one).df
+        kept = _same(_same(old, new, PARTS, "left_semi"), new, SNAPSHOT, "left_anti")
+        one = Stored(kept.unionByName(new, allowMissingColumns=True)).df
     # One writer a partition and hash of the key's rest, so that a hot source doesn't hang on one task.
     one.repartition(*PARTS, F.pmod(F.xxhash64("market_id"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
 
 
 def write_raw(records: DataFrame, root: str) -> None:
-    """Raw records into their snapshots' partitions; written again, a snapshot is replaced. Of copies the smallest payload is kept."""
+    """Raw records into their days' partitions; written again, a snapshot is replaced, others of its day stay. Of copies the smallest payload is kept."""
     _write(records, f"{root}/raw", RAW_KEY, ["payload"])
 
 
@@ -35,12 +55,11 @@ def write_quotes(rows: DataFrame, root: str) -> None:
 
 
 def merge_quotes(rows: DataFrame, root: str) -> None:
-    """Adds quotes to the snapshots they belong to without losing what is there: touched partitions are read, joined with the new rows and replaced."""
+    """Adds quotes to the snapshots they belong to without losing what is there: touched snapshots are read, joined with the new rows and replaced."""
     spark = rows.sparkSession
     old = _read(spark, f"{root}/clean")
     if old is not None:
-        touched = rows.select("source", F.date_format("snapshot_ts", "yyyy-MM-dd").alias("date"), F.date_format("snapshot_ts", "yyyyMMdd'T'HHmmss'Z'").alias("snapshot")).distinct()
-        kept = old.join(touched, PARTS, "left_semi").drop("date", "snapshot")
+        kept = _same(old, _stamped(rows), SNAPSHOT, "left_semi").drop("date", "snapshot")
         # What is replaced is read first, so it goes by way of the shared folder.
         rows = Stored(keep_last([kept, rows], QUOTE_KEY, [F.col("price").asc_nulls_last()])).df
     write_quotes(rows, root)

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from quotemill.functions import odds, stats
 from quotemill.operators import consensus, latest, measures
+from quotemill.plans import reference
 from quotemill.sources import lake, pages, venues
 from quotemill.streaming import topic
 
+from conftest import DATA
+
 TS = dt.datetime(2025, 1, 1)
 
 
@@ -47,6 +50,27 @@ def test_quotes_of_all_venues(spark):
     assert venues.quotes(spark.createDataFrame([], venues.RAW)).count() == 0
 
 
+def test_lake_keeps_every_snapshot_of_a_day(spark, tmp_path):
+    root, t = str(tmp_path / "days"), lambda h, m: dt.datetime(2021, 3, 17, h, m)
+    quote = lambda at, price: spark.createDataFrame([("s", "m", "YES", at, price)], "source string, market_id string, outcome string, snapshot_ts timestamp, price double")
+    lake.write_quotes(quote(t(9, 0), 0.1).unionByName(quote(t(9, 1), 0.2)), root)
+    lake.write_quotes(quote(t(10, 0), 0.3), root)
+    lake.write_quotes(quote(t(9, 1), 0.4), root)
+    lake.merge_quotes(quote(t(11, 0), 0.5), root)
+    assert {r["snapshot_ts"]: r["price"] for r in lake.read_quotes(spark, root).collect()} == {t(9, 0): 0.1, t(9, 1): 0.4, t(10, 0): 0.3, t(11, 0): 0.5}
+    # A folder a day and source, however many snapshots.
+    assert [p.name for p in (tmp_path / "days" / "clean" / "source=s").glob("date=*")] == ["date=2021-03-17"] and not list((tmp_path / "days").rglob("snapshot=*"))
+
+
+def test_lake_query_counts_every_snapshot(spark):
+    quotes = spark.read.parquet(f"{DATA}/market_quotes.parquet")
+    expected = {r["source"]: r["count"] for r in quotes.select("source", "market_id", "outcome", "snapshot_ts").distinct().groupBy("source").count().collect()}
+    assert {r["source"]: r["n"] for r in reference.lake_snapshots(spark, DATA).collect()} == expected
+    landed = reference._landed(spark, DATA)
+    assert landed.count() == sum(expected.values())
+
+
+
 def test_lake_is_idempotent_prunes_and_merges(spark, tmp_path):
     root, quotes = str(tmp_path), venues.quotes(_raw(spark))
     assert lake.read_quotes(spark, root) is None and lake.sources(spark, root) == []
