@@ -43,6 +43,13 @@ def similar_classes(classes: DataFrame, least: float, block: Sequence[str] = ())
     return scored.distinct()
 
 
+def membership(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each member (key, class_id) with n_members of its class and n_links, the number of other classes that similar_classes pairs it with (0 if none)."""
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("n_members")).join(links, "class_id", "left")
+    return members.join(sizes, "class_id").select(*members.columns, "n_members", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _packed(df: DataFrame, key: str, vector: str, per: int) -> DataFrame:
     """Vectors in blocks of about `per`, by a hash of their key: block, keys, vectors (flat)."""
     n = df.count()

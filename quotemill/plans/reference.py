@@ -241,17 +241,32 @@ def data_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.violations(table(spark, sf_dir, "market_quotes"), ["quote_key"], ["price", "implied_prob"], {"implied_prob": (0, 1)}, {"source": ["kalshi", "manifold", "polymarket", "oddsapi"]})
 
 
+def _part_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.split(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string"))), " ").alias("words"))
+    return similarity.set_classes(parts, "p_partkey", "words", ["p_type"])
+
+
 @_query("""
     WITH c AS (SELECT min(p_partkey) AS id, p_type, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size), ' '))) AS t FROM part GROUP BY p_type, 3)
     SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard
     FROM c a JOIN c b ON a.p_type = b.p_type AND a.id < b.id WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.6""")
 def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of parts of one type whose descriptions share at least 0.6 of their words."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.split(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string"))), " ").alias("words"))
-    classes, _ = similarity.set_classes(parts, "p_partkey", "words", ["p_type"])
+    """Classes of parts of one type whose descriptions share at least 0.6 of their words; token_jaccard_members has the parts that each class stands for."""
+    classes, _ = _part_classes(spark, sf_dir)
     return similarity.similar_classes(classes, 0.6, ["p_type"]).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@_query("""
+    WITH w AS (SELECT p_partkey AS part, p_type, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size), ' '))) AS t FROM part),
+    c AS (SELECT min(part) AS class_id, p_type, t, count(*) AS n_members FROM w GROUP BY p_type, t),
+    l AS (SELECT a.class_id, count(*) AS n_links FROM c a JOIN c b ON a.p_type = b.p_type AND a.class_id <> b.class_id WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.6 GROUP BY a.class_id)
+    SELECT part, class_id, n_members, coalesce(n_links, 0) AS n_links FROM w JOIN c USING (p_type, t) LEFT JOIN l USING (class_id)""")
+def token_jaccard_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part with the class of token_jaccard_pairs that stands for it, how many parts the class holds, and how many other classes it is linked to."""
+    classes, members = _part_classes(spark, sf_dir)
+    return similarity.membership(members, similarity.similar_classes(classes, 0.6, ["p_type"])).withColumnRenamed("p_partkey", "part")
+
+
 _LINKS = "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT source_a || ':' || market_id_a AS a, source_b || ':' || market_id_b AS b FROM candidate_pairs WHERE decision IN ('match', 'manual-match')) WHERE a <> b"
 _LABELS = f"""
     WITH RECURSIVE l AS ({_LINKS}), w AS (SELECT a, b FROM l UNION SELECT b, a FROM l),

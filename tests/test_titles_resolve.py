@@ -141,6 +141,14 @@ def test_similar_classes_equal_all_pairs(spark):
     assert members.filter("id = class_id").count() == classes.filter("g is not null").count()
 
 
+def test_membership_has_every_row_and_its_links(spark):
+    rows = [(i, "x", list(w)) for i, w in [(1, "abcd"), (2, "dcba"), (3, "abcd"), (4, "abcde"), (5, "yz"), (6, "zy"), (7, "q")]]
+    classes, members = similarity.set_classes(spark.createDataFrame(rows, "id int, g string, w array<string>"), "id", "w", ["g"])
+    got = {tuple(r) for r in similarity.membership(members, similarity.similar_classes(classes, 0.6, ["g"])).collect()}
+    # Copies that no other class resembles show too.
+    assert got == {(1, 1, 3, 1), (2, 1, 3, 1), (3, 1, 3, 1), (4, 4, 1, 1), (5, 5, 2, 0), (6, 5, 2, 0), (7, 7, 1, 0)}
+
+
 def test_nearest_equals_brute_force(spark):
     import numpy as np
 
