@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.functions import odds, stats, titles
-from quotemill.operators import consensus, graph, latest, measures, resolve, similarity
+from quotemill.operators import consensus, graph, instants, latest, measures, resolve, similarity
 from quotemill.operators.dedup import keep_one
+from quotemill.plans import cleaning
 from quotemill.session import shared_folder, table
 from quotemill.sources import lake, venues
 from quotemill.streaming import topic
@@ -432,6 +433,53 @@ def forecast_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("market_id", F.col("t.value").alias("limit_f"), "forecast_f", "implied_prob", F.round(F.when(F.col("t.direction") == "above", above).otherwise(1 - above), 6).alias("forecast_prob"))
 
 
+_TICKER = r"^KXHIGH([A-Z]{3})-(\d\d)(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)(\d\d)-"
+_BY_DAY = rf"""
+    i AS ({cleaning.ORACLE['p3_found']}), z AS (SELECT station, min(zone_name) AS zone_name FROM forecast_stations GROUP BY station),
+    p AS (SELECT p.station, strftime(timezone(z.zone_name, make_timestamptz(i.utc_micros)), '%Y-%m-%d') AS day, p.temperature, p.rec_id FROM forecast_periods p LEFT JOIN z ON z.station = p.station LEFT JOIN i ON i.table_name = 'forecast_periods' AND i.rec_id = p.rec_id WHERE p.isdaytime AND p.temperature IS NOT NULL),
+    k AS (SELECT rec_id, ticker, regexp_extract(ticker, '{_TICKER}', 1) AS station, '20' || regexp_extract(ticker, '{_TICKER}', 2) || '-' || lpad(CAST((instr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC', regexp_extract(ticker, '{_TICKER}', 3)) + 2) // 3 AS VARCHAR), 2, '0') || '-' || regexp_extract(ticker, '{_TICKER}', 4) AS day FROM kalshi_markets WHERE regexp_matches(ticker, '{_TICKER}')),
+    e AS (SELECT station, day, arg_min(temperature, rec_id) AS temperature FROM p WHERE day IS NOT NULL GROUP BY station, day), f AS (SELECT station, arg_min(temperature, rec_id) AS temperature FROM p GROUP BY station),
+    x AS (SELECT k.rec_id, k.ticker, k.station, k.day, coalesce(e.temperature, f.temperature) AS temperature FROM k LEFT JOIN e ON e.station = k.station AND e.day = k.day LEFT JOIN f ON f.station = k.station)"""
+
+
+def _asked(ticker: Column) -> tuple[Column, Column]:
+    """The station and the day (yyyy-MM-dd) that a temperature market's ticker names, in any month; the station is '' where it names none."""
+    part = lambda i: F.regexp_extract(ticker, _TICKER, i)
+    month = F.floor((F.instr(F.lit(instants.MONTHS), F.lower(part(3))) + 2) / 3).cast("string")
+    return part(1), F.concat(F.lit("20"), part(2), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), part(4))
+
+
+@_query(f"WITH {_BY_DAY} SELECT rec_id, station, day, temperature FROM x")
+def forecast_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """forecast_lookup for tickers of any month, forecasts in any notation: a forecast's day is that of its instant in the station's zone."""
+    zones = table(spark, sf_dir, "forecast_stations").groupBy("station").agg(F.min("zone_name").alias("zone_name"))
+    periods = table(spark, sf_dir, "forecast_periods").filter("isdaytime and temperature is not null").select("station", "starttime", "temperature", "rec_id").join(zones, "station", "left")
+    timed = instants.normalise(periods, F.col("starttime"), F.lit("forecast"), F.col("zone_name"), F.lit("mdy"))
+    day = F.date_format(F.from_utc_timestamp(F.timestamp_micros("utc_micros"), F.col("zone_name")), "yyyy-MM-dd")
+    station, asked = _asked(F.col("ticker"))
+    markets = table(spark, sf_dir, "kalshi_markets").filter(station != "").select(F.col("rec_id").alias("market"), station.alias("station"), asked.alias("day"))
+    found = measures.lookup_or_first(markets, timed.select("station", day.alias("day"), "temperature", "rec_id"), "station", "day", "rec_id")
+    return found.select(F.col("market").alias("rec_id"), "station", "day", "found.temperature")
+
+
+_SIGNS = "(>=|≥|>|<=|≤|<)\\s*(\\d+(?:\\.\\d+)?)\\s*°"
+
+
+@_query(f"""
+    WITH {_BY_DAY}, m AS (SELECT ticker, CAST(max(temperature) AS DOUBLE) AS forecast_f FROM x GROUP BY ticker),
+    q AS (SELECT row_id, market_id, snapshot_ts, implied_prob, lower(regexp_extract(title, '(?i){_HOT}', 1)) AS w, regexp_extract(title, '{_SIGNS}', 1) AS s, try_cast(regexp_extract(title, '(?i){_HOT}', 2) AS DOUBLE) AS wv, try_cast(regexp_extract(title, '{_SIGNS}', 2) AS DOUBLE) AS sv FROM market_quotes WHERE source = 'kalshi' AND implied_prob BETWEEN 0 AND 1),
+    j AS (SELECT q.*, forecast_f, CASE WHEN w <> '' THEN wv ELSE sv END AS limit_f, CASE WHEN w <> '' THEN w IN ('above', 'over', 'greater than', 'at least') ELSE s IN ('>', '>=', '≥') END AS up FROM q JOIN m ON m.ticker = q.market_id WHERE (w <> '' OR s <> '') AND forecast_f IS NOT NULL),
+    c AS (SELECT *, 1 - 0.5 * (1 + {_erf('(limit_f - forecast_f) / 4.0 / sqrt(2)')}) AS above FROM j)
+    SELECT row_id, market_id, snapshot_ts, limit_f, forecast_f, implied_prob, round(CASE WHEN up THEN above ELSE 1 - above END, 6) AS forecast_prob FROM c""")
+def forecast_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every quote of a temperature market, its threshold in words or signs, beside the chance that the station's forecast for the day gives it."""
+    markets = forecast_by_day(spark, sf_dir).join(table(spark, sf_dir, "kalshi_markets").select("rec_id", "ticker"), "rec_id").groupBy("ticker").agg(F.max("temperature").cast("double").alias("forecast_f"))
+    quotes = table(spark, sf_dir, "market_quotes").filter("source = 'kalshi'").select("row_id", "market_id", "snapshot_ts", titles.threshold(F.col("title")).alias("t"), _chance().alias("implied_prob")).filter("implied_prob is not null and t is not null")
+    rows = quotes.join(markets.filter("forecast_f is not null"), F.col("market_id") == F.col("ticker"))
+    above = stats.chance_above(F.col("forecast_f"), F.col("t.value"), F.lit(4.0))
+    return rows.select("row_id", "market_id", "snapshot_ts", F.col("t.value").alias("limit_f"), "forecast_f", "implied_prob", F.round(F.when(F.col("t.direction") == "above", above).otherwise(1 - above), 6).alias("forecast_prob"))
+
+
 @_query(f"""
     SELECT kind, label, gap FROM (
         SELECT 'divergence' AS kind, source || ':' || market_id AS label, round(abs(implied_prob - (s - implied_prob) / (n - 1)), 8) AS gap FROM (SELECT q.*, sum(implied_prob) OVER w AS s, count(*) OVER w AS n FROM (SELECT l.source, l.market_id, l.implied_prob, e.event_id FROM ({_LATEST}) l JOIN ({_EVENTS}) e USING (source, market_id)) q WINDOW w AS (PARTITION BY event_id)) WHERE n > 1 AND event_id IN (SELECT event_id FROM (SELECT l.source, e.event_id FROM ({_LATEST}) l JOIN ({_EVENTS}) e USING (source, market_id)) GROUP BY event_id HAVING count(DISTINCT source) > 1)

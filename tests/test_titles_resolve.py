@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions import titles
 from quotemill.operators import graph, resolve, similarity
+from quotemill.plans import reference
 
 DAY = dt.date(2026, 6, 17)
 
@@ -149,6 +150,20 @@ def test_membership_has_every_row_and_its_links(spark):
     assert got == {(1, 1, 3, 1), (2, 1, 3, 1), (3, 1, 3, 1), (4, 4, 1, 1), (5, 5, 2, 0), (6, 5, 2, 0), (7, 7, 1, 0)}
 
 
+def test_forecasts_by_quote_month_and_zone(spark, tmp_path):
+    save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    save("kalshi_markets", [(1, "KXHIGHWYS-21MAR17-T70"), (2, "KXHIGHWYS-21NOV08-T70"), (3, "OTHER")], "rec_id long, ticker string")
+    save("forecast_stations", [("WYS", "America/New_York")], "station string, zone_name string")
+    # The second one's day in the station's zone is the 8th, whatever its first ten characters say.
+    save("forecast_periods", [(1, "WYS", "2021-03-17T06:00:00", True, 60), (2, "WYS", "2021-11-09T01:00:00Z", True, 80)], "rec_id long, station string, starttime string, isdaytime boolean, temperature int")
+    t = dt.datetime(2021, 3, 1)
+    quotes = [(i, "kalshi", m, t + dt.timedelta(hours=i), title, 0.5) for i, (m, title) in enumerate([("KXHIGHWYS-21MAR17-T70", "high above 70F on Mar 17"), ("KXHIGHWYS-21MAR17-T70", "high above 70F on Mar 17"), ("KXHIGHWYS-21NOV08-T70", "high > 70° on Nov 8"), ("KXHIGHWYS-21NOV08-T70", "high on Nov 8")])]
+    save("market_quotes", quotes, "row_id long, source string, market_id string, snapshot_ts timestamp, title string, implied_prob double")
+    assert {(r["rec_id"], r["day"], r["temperature"]) for r in reference.forecast_by_day(spark, str(tmp_path)).collect()} == {(1, "2021-03-17", 60), (2, "2021-11-08", 80)}
+    got = {r["row_id"]: (r["forecast_f"], r["forecast_prob"] > 0.5) for r in reference.forecast_edges(spark, str(tmp_path)).collect()}
+    assert got == {0: (60.0, False), 1: (60.0, False), 2: (80.0, True)}
+
+
 def test_nearest_equals_brute_force(spark):
     import numpy as np
 
