@@ -74,13 +74,13 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each longest stretch of a document that also stands verbatim in other documents."""
-    return spans.stretches(spans.shared_runs(table(spark, sf_dir, "documents")))
+    return spans.stretches(spans.shared_runs(table(spark, sf_dir, "documents"), origins=False))
 
 
 def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document is shared elsewhere."""
     docs = table(spark, sf_dir, "documents")
-    return spans.shared_share(docs, spans.stretches(spans.shared_runs(docs)))
+    return spans.shared_share(docs, spans.stretches(spans.shared_runs(docs, origins=False)))
 
 
 def p10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

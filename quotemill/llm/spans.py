@@ -210,15 +210,20 @@ def _runs(least: int, shared=None) -> Callable:
     return run
 
 
-def shared_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 200) -> DataFrame:
+def shared_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 200, origins: bool = True) -> DataFrame:
     """The runs of `least` code points that stand verbatim in another record too: key, first, last (starts of the first and last run of a row), earliest (smallest key with the same runs).
 
+    With origins, runs of a copied block that a still earlier record has in another block come a second
+    time, with that record as earliest; the smallest earliest of a run counts. Without them earliest is
+    the smallest key with the same block, which is enough where only shared stretches are asked for.
+
     Steps, each linear in the input and none with pairs of records:
     1. Digests of units, grouped globally: which stand in more than one record. A bitmap of fixed size goes to the tasks.
     2. The texts once more: blocks of runs whose unit passes the bitmap, with their stretch, stored in the shared folder.
     3. Blocks with the same digest in several records are shared as a whole, in one step however many copies there are.
     4. Blocks that stand in one record only, next to other blocks of the same unit (the ends of shared
        stretches), are compared run by run with them, one block standing for all with its digest.
+       With origins so are copied blocks with each other, and what an earlier record has goes to all copies.
     Keys must be whole numbers. Null and empty texts, and texts shorter than least, share nothing; runs
     repeated inside one record only are not shared. Offsets are code points.
     """
@@ -229,19 +234,32 @@ def shared_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     kept = Stored(source.mapInArrow(_candidates(least, shared), f"id bigint, {_BLOCK}")).df
     classes = kept.groupBy("h", "ha", "hb").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     # A unit in one record only passed the bitmap by chance, or repeats inside its record.
-    per_unit = classes.groupBy("h").agg(F.min("a").alias("ua"), F.max("b").alias("ub"), F.max(F.col("a") == F.col("b")).alias("open")).filter("ua != ub")
+    per_unit = classes.groupBy("h").agg(F.min("a").alias("ua"), F.max("b").alias("ub"), F.max(F.col("a") == F.col("b")).alias("open"), F.count("*").alias("n")).filter("ua != ub")
     full = classes.filter("a != b").select("h", "ha", "hb", "a")
     whole = kept.drop("stretch").join(full, ["h", "ha", "hb"]).select("id", "first", "last", F.col("a").alias("earliest"))
-    open_ = per_unit.filter("open").select("h")
+    open_ = per_unit.filter("n > 1" if origins else "open").select("h")
     alone = kept.join(classes.filter("a = b").select("h", "ha", "hb"), ["h", "ha", "hb"]).join(open_, "h").select(F.col("id").alias("a"), F.col("id").alias("b"), "first", "h", "stretch")
     copied = kept.join(full.select("h", "ha", "hb").join(open_, "h"), ["h", "ha", "hb"]).groupBy("h", "ha", "hb").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min_by(F.struct("first", "stretch"), F.struct("id", "first")).alias("one"))
-    edges = Stored(alone.unionByName(copied.select("a", "b", "one.first", "h", "one.stretch"))).df
+    # The class of a block by number; together with its smallest id no two are alike.
+    number = F.xxhash64("h", "ha", "hb").alias("c")
+    edges = Stored(alone.withColumn("c", F.lit(0).cast("bigint")).unionByName(copied.select("a", "b", "one.first", "h", "one.stretch", number))).df
     runs = "w bigint, a bigint, b bigint, start int"
-    common = edges.mapInArrow(_runs(least), runs).groupBy("w").agg(F.min("a").alias("ea"), F.max("b").alias("eb")).filter("ea != eb").select("w", F.col("ea").alias("earliest"))
+    common = edges.mapInArrow(_runs(least), runs).groupBy("w").agg(F.min("a").alias("ea"), F.max("b").alias("eb"), F.max("a").alias("la")).filter("ea != eb").select("w", F.col("ea").alias("earliest"), "la")
     common = Stored(common).df
     hit = spark.sparkContext.broadcast(bitmap(common, "w"))
     single = edges.filter("a = b").mapInArrow(_runs(least, hit), runs).join(common, "w")
-    return whole.unionByName(single.select(F.col("a").alias("id"), F.col("start").alias("first"), F.col("start").alias("last"), "earliest")).withColumnRenamed("id", key)
+    out = whole.unionByName(single.select(F.col("a").alias("id"), F.col("start").alias("first"), F.col("start").alias("last"), "earliest"))
+    if origins:
+        before = common.filter("earliest != la").select("w", "earliest")
+        again = spark.sparkContext.broadcast(bitmap(before, "w"))
+        late = edges.filter("a != b").select("a", F.col("c").alias("b"), F.lit(0).alias("first"), "h", "stretch").mapInArrow(_runs(least, again), runs).join(before, "w").filter("earliest < a")
+        # Runs one after another with the same earliest record are one row; there are no more than a block has.
+        step = F.col("start") - F.row_number().over(Window.partitionBy("a", "b", "earliest").orderBy("start"))
+        parts = late.withColumn("step", step).groupBy("a", "b", "earliest", "step").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+        members = kept.select("id", "first", "h", "ha", "hb").join(full, ["h", "ha", "hb"]).select("id", F.col("first").alias("at"), F.col("a"), number)
+        moved = members.join(parts.withColumnRenamed("b", "c"), ["a", "c"])
+        out = out.unionByName(moved.select("id", (F.col("at") + F.col("lo")).alias("first"), (F.col("at") + F.col("hi")).alias("last"), "earliest"))
+    return out.withColumnRenamed("id", key)
 
 
 def stretches(runs: DataFrame, key: str = "doc_id", least: int = 200) -> DataFrame:

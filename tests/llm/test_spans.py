@@ -103,3 +103,46 @@ def test_share_and_repeats(spark):
     share = {r["doc_id"]: (r["n_chars"], r["shared_chars"], r["shared_share"]) for r in spans.shared_share(df, spans.stretches(runs)).collect()}
     assert share == {1: (500, 250, 0.5), 2: (350, 250, 250 / 350), 3: (0, 0, None), 4: (0, 0, None)}
     assert {(r["doc_id"], r["span_start"], r["span_end"]) for r in spans.repeats(runs).collect()} == {(2, 100, 350)}
+
+
+def _brute_repeats(docs, least):
+    first, out = {}, set()
+    for i, t in sorted(docs):
+        for k in range(len(t or "") - least + 1):
+            first.setdefault(t[k : k + least], i)
+    for i, t in docs:
+        cur = None
+        for k in range(len(t or "") - least + 1):
+            if first[t[k : k + least]] < i:
+                if cur and k <= cur[1]:
+                    cur[1] = k + least
+                else:
+                    if cur:
+                        out.add((i, *cur))
+                    cur = [k, k + least]
+        if cur:
+            out.add((i, *cur))
+    return out
+
+
+def _repeats(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r["doc_id"], r["span_start"], r["span_end"]) for r in spans.repeats(spans.shared_runs(df)).collect()}
+
+
+def test_repeats_equal_brute_force(spark):
+    for seed in (1, 2):
+        docs = _texts(seed)
+        assert _repeats(spark, docs) == _brute_repeats(docs, 200)
+
+
+def test_copies_give_up_what_an_earlier_record_has(spark):
+    rng = random.Random(9)
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    passage = some(250, "abcdefgh ")
+    around = [some(300, "ijkl") + passage + some(300, "mnop") for _ in range(3)]
+    docs = [(1, around[0]), (2, around[1]), (3, around[1])]
+    assert _repeats(spark, docs) == _brute_repeats(docs, 200)
+    # Copies of one text after copies of another.
+    docs = [(1, around[0]), (2, around[0]), (3, around[1]), (4, around[1]), (5, around[2])]
+    assert _repeats(spark, docs) == _brute_repeats(docs, 200)
