@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 #: Decimal places that the exact power sums keep of a value.
 PLACES = 4
+#: Columns of power_sums.
+SUMS = [f"s{i}" for i in range(1, 5)] + [f"sum{i}" for i in range(1, 5)]
 #: Order-preserving buckets in each doubling of a value's size, for exact medians without one big sort.
 PER_OCTAVE = 1024
 _OFFSET = 2_000_000
@@ -21,44 +23,52 @@ def present(c: Column, kind: T.DataType) -> Column:
 
 
 def power_sums(value: Column) -> list[Column]:
-    """Exact, mergeable sums of the first four powers of value * 10**PLACES, as decimals without a fraction.
+    """s1..s4: exact, mergeable sums of the first four powers of value * 10**PLACES, as decimals without a fraction; and sum1..sum4: sums of the powers of the value itself, as doubles.
 
     Sums of whole numbers don't depend on the order of merging, so profiles of parts add up to the
-    profile of the whole bit by bit. A sum beyond 38 digits, or of a value beyond 18, is null.
+    profile of the whole bit by bit. Where a value or its power has too many digits, or the sum has,
+    the exact sum is null, never that of the other values only. The doubles are the exact sums where
+    those hold every digit, else (more than PLACES decimals, or too large) sums of doubles.
     """
     k = F.round(value * 10**PLACES).try_cast("decimal(18,0)")
     k2 = (k * k).cast("decimal(37,0)")
     powers = [k.cast("decimal(38,0)"), k2.cast("decimal(38,0)"), F.try_multiply(k2.cast("decimal(38,0)"), k).try_cast("decimal(38,0)"), F.try_multiply(k2.cast("decimal(38,0)"), k2).try_cast("decimal(38,0)")]
-    return [F.try_sum(p).alias(f"s{i}") for i, p in enumerate(powers, 1)]
+    sums = [F.when(F.count(p) == F.count(value), F.try_sum(p)) for p in powers]
+    cut = F.coalesce(F.bool_or(k.isNull() | (k.cast("double") / 10**PLACES != value)), F.lit(False))
+    doubles = [F.when(s.isNotNull() & ~cut, s.cast("double") / float(10**PLACES) ** i).otherwise(F.sum(F.pow(value, F.lit(i)))) for i, s in enumerate(sums, 1)]
+    return [s.alias(f"s{i}") for i, s in enumerate(sums, 1)] + [d.alias(f"sum{i}") for i, d in enumerate(doubles, 1)]
+
+
+def _finite(c: Column) -> Column:
+    return F.when(F.abs(c) < float("inf"), c)
 
 
 def moments(df: DataFrame, n: str = "n_values") -> DataFrame:
-    """Adds mean, stddev, skewness and excess kurtosis from n and s1..s4; null where undefined."""
-    c, unit = F.col(n).cast("double"), float(10**PLACES)
-    m1 = F.col("s1").cast("double") / F.nullif(c, F.lit(0.0)) / unit
-    raw = [F.col(f"s{i}").cast("double") / F.nullif(c, F.lit(0.0)) / unit**i for i in (2, 3, 4)]
-    df = df.withColumns({"mean": m1, "_r2": raw[0], "_r3": raw[1], "_r4": raw[2]})
-    var = F.greatest(F.col("_r2") - F.col("mean") ** 2, F.lit(0.0))
-    df = df.withColumn("_var", var)
+    """Adds mean, stddev, skewness and excess kurtosis from n and sum1..sum4; null where undefined or beyond a double."""
+    c = F.nullif(F.col(n).cast("double"), F.lit(0.0))
+    df = df.withColumns({"mean": _finite(F.col("sum1") / c), **{f"_r{i}": _finite(F.col(f"sum{i}") / c) for i in (2, 3, 4)}})
+    var = F.col("_r2") - F.col("mean") ** 2
+    df = df.withColumn("_var", F.when(var.isNotNull(), F.greatest(var, F.lit(0.0))))
     third = F.col("_r3") - 3 * F.col("mean") * F.col("_r2") + 2 * F.col("mean") ** 3
     fourth = F.col("_r4") - 4 * F.col("mean") * F.col("_r3") + 6 * F.col("mean") ** 2 * F.col("_r2") - 3 * F.col("mean") ** 4
     sd = F.nullif(F.sqrt("_var"), F.lit(0.0))
-    return df.withColumns({"stddev": F.sqrt("_var"), "skewness": third / sd**3, "kurtosis": fourth / sd**4 - 3}).drop("_r2", "_r3", "_r4", "_var")
+    return df.withColumns({"stddev": F.sqrt("_var"), "skewness": _finite(third / sd**3), "kurtosis": _finite(fourth / sd**4 - 3)}).drop("_r2", "_r3", "_r4", "_var")
 
 
 def standardised_difference(df: DataFrame, load: str, within: Sequence[str], n: str = "n_values") -> DataFrame:
     """Adds std_diff: a load's mean less the mean of all other loads of its source, over the pooled deviation of those others.
 
-    Only merges of s1 and s2 are needed: the others' sums are the total less the own. Null for a
-    single load or no spread. One row a (load, source) goes in, so the window is small.
+    The others' sums are those of the loads before and after, not the total less the own, so a load of
+    huge values doesn't swallow the others' digits. Null for a single load or no spread. One row a
+    (load, source) goes in, so the window is small.
     """
-    w = Window.partitionBy(*within)
-    unit = float(10**PLACES)
-    others = {k: (F.sum(F.col(k)).over(w) - F.coalesce(F.col(k), F.lit(0))).cast("double") for k in (n, "s1", "s2")}
+    w = Window.partitionBy(*within).orderBy(load)
+    sides = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    others = {k: sum((F.coalesce(F.sum(F.col(k).cast("double")).over(side), F.lit(0.0)) for side in sides), F.lit(0.0)) for k in (n, "sum1", "sum2")}
     c = F.nullif(others[n], F.lit(0.0))
-    mean = others["s1"] / c / unit
-    sd = F.nullif(F.sqrt(F.greatest(others["s2"] / c / unit**2 - mean**2, F.lit(0.0))), F.lit(0.0))
-    return df.withColumn("std_diff", (F.col("s1").cast("double") / F.nullif(F.col(n).cast("double"), F.lit(0.0)) / unit - mean) / sd)
+    mean, square = _finite(others["sum1"] / c), _finite(others["sum2"] / c)
+    sd = F.when(square.isNotNull() & mean.isNotNull(), F.nullif(F.sqrt(F.greatest(square - mean**2, F.lit(0.0))), F.lit(0.0)))
+    return df.withColumn("std_diff", _finite((F.col("sum1") / F.nullif(F.col(n).cast("double"), F.lit(0.0)) - mean) / sd))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
@@ -100,7 +110,7 @@ def medians(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, ranges: dict[str, tuple[float, float]] | None = None, patterns: dict[str, str] | None = None, sketch: bool = True) -> DataFrame:
-    """One row for each group and column: keys, column_name, n_rows, n_null, n_values, null_rate, approx_distinct, min_value, max_value, n_out_of_range, n_blank, n_off_pattern, s1..s4, mean, stddev, skewness, kurtosis.
+    """One row for each group and column: keys, column_name, n_rows, n_null, n_values, null_rate, approx_distinct, min_value, max_value, n_out_of_range, n_blank, n_off_pattern, s1..s4, sum1..sum4 (see power_sums), mean, stddev, skewness, kurtosis.
 
     One pass and one shuffle of a row a task and group: everything is a mergeable aggregate
     (distincts by a mergeable sketch, relative deviation 1 %, left out without sketch). ranges gives closed bounds of numbers,
@@ -124,9 +134,9 @@ def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None =
             "n_blank": F.count_if(F.trim(v) == "") if text else null.cast("bigint"),
             "n_off_pattern": F.count_if((F.trim(v) == "") | ~v.rlike(f"^(?:{patterns[c]})\\z")) if c in patterns else null.cast("bigint"),
         }
-        sums = power_sums(v.cast("double")) if number else [null.cast("decimal(38,0)").alias(f"s{k}") for k in range(1, 5)]
-        aggregates += [x.alias(f"{n}_{i}") for n, x in parts.items()] + [x.alias(f"s{k}_{i}") for k, x in enumerate(sums, 1)]
-    names = ["n_rows", "n_values", "approx_distinct", "min_value", "max_value", "n_out_of_range", "n_blank", "n_off_pattern", "s1", "s2", "s3", "s4"]
+        sums = power_sums(v.cast("double")) if number else [null.cast("decimal(38,0)")] * 4 + [null.cast("double")] * 4
+        aggregates += [x.alias(f"{n}_{i}") for n, x in parts.items()] + [x.alias(f"{n}_{i}") for n, x in zip(SUMS, sums)]
+    names = ["n_rows", "n_values", "approx_distinct", "min_value", "max_value", "n_out_of_range", "n_blank", "n_off_pattern", *SUMS]
     wide = df.groupBy(*keys).agg(*aggregates)
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{n}_{i}").alias(n) for n in names]) for i, c in enumerate(columns)])
     long = wide.select(*keys, F.inline(rows))

@@ -37,6 +37,22 @@ def test_power_sums_merge_exactly(spark):
     assert int(whole["s1"]) == sum(round(v * 10_000) for v in there)
 
 
+def test_sums_of_huge_and_fine_values_leave_none_out(spark):
+    groups = {1: [1.0, 2.0, 400_000.0], 2: [1.0, 2.0, 2e14], 3: [1.0, 2.0, 4.0], 4: [0.123456, 0.123457, 0.1]}
+    df = spark.createDataFrame([(g, x) for g, values in groups.items() for x in values], "g int, x double")
+    got = {r["g"]: r for r in profile.profile(df, ["g"], ["x"]).collect()}
+    assert got[1]["s4"] is None and got[2]["s1"] is None and int(got[3]["s1"]) == 70_000
+    for g, values in groups.items():
+        m = sum(values) / 3
+        sd = (sum((x - m) ** 2 for x in values) / 3) ** 0.5
+        assert got[g]["mean"] == pytest.approx(m, rel=1e-9) and got[g]["stddev"] == pytest.approx(sd, rel=1e-6)
+        assert got[g]["kurtosis"] == pytest.approx(sum((x - m) ** 4 for x in values) / 3 / sd**4 - 3, abs=1e-4)
+    # A load with a huge value is told from the others by their own spread.
+    rows = [(load, "s", x) for load in (1, 2) for x in (1.0, 2.0, 3.0)] + [(3, "s", 2e20)]
+    diff = profile.standardised_difference(profile.profile(spark.createDataFrame(rows, "load_id int, source string, x double"), ["load_id", "source"], ["x"]), "load_id", ["source"])
+    assert {r["load_id"]: r["std_diff"] for r in diff.collect()}[3] == pytest.approx((2e20 - 2) / (2 / 3) ** 0.5)
+
+
 def test_profile_counts_violations_and_handles_odd_columns(spark):
     rows = [("a", "x1", [1], 0.5), ("a", " ", None, 2.0), ("a", None, [2], None), ("b", "x\n", [], -1.0)]
     df = spark.createDataFrame(rows, "g string, t string, arr array<int>, column_name_ double")
