@@ -41,7 +41,7 @@ def _read(titles: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in titles:
         rows = []
         for title in batch:
-            q = questions.read(title)
+            q = questions.read(title, None)
             y, m, d = (q["day"] or (None, None, None)) if q else (None, None, None)
             rows.append((q["measure"], q["direction"], q["threshold"], y, m, d, q["subject"], q["opponent"]) if q else (None,) * 8)
         out = pd.DataFrame(rows, columns=names)
@@ -110,19 +110,30 @@ def features(markets: DataFrame, places: DataFrame) -> DataFrame:
 
     markets: key, venue, title, close (microseconds or null), whole_day (whether close only names a
     day), hint_day (date), hint_direction, hint_threshold, which fill what a title leaves out. Titles
-    that ask nothing readable, and markets without a day, are left out.
+    that ask nothing readable, and markets without a day, are left out. A day named without a year is
+    the one nearest to hint_day, else to the usual day before close; with neither it may be of any year
+    that the data know (certain, if that is one only).
     """
-    read = markets.select("*", _read("title").alias("q")).filter("q.measure is not null and q.measure != '' and q.subject != ''")
+    read = Stored(markets.select("*", _read("title").alias("q")).filter("q.measure is not null and q.measure != '' and q.subject != ''")).df
     usual = F.timestamp_micros(F.col("close") - CLOSING * 3_600_000_000).cast("date")
     usual = F.when(F.col("whole_day"), F.date_sub(F.timestamp_micros("close").cast("date"), 1)).otherwise(usual)
-    named = F.when(F.col("q.m") > 0, F.try_make_timestamp(F.col("q.y"), F.col("q.m"), F.col("q.d"), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"), F.lit("UTC")).cast("date"))
+    dated = lambda y: F.try_make_timestamp(y, F.col("q.m"), F.col("q.d"), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"), F.lit("UTC")).cast("date")
+    about = F.coalesce("hint_day", "usual")
+    # The day in each year around; leap days are eight years apart at most.
+    near = F.array_min(F.filter(F.transform(F.sequence(F.lit(-8), F.lit(8)), lambda i: F.struct(F.abs(F.date_diff(dated(F.year(about) + i), about)).alias("off"), dated(F.year(about) + i).alias("day"))), lambda x: x["day"].isNotNull()))
+    open_ = (F.col("q.m") > 0) & F.col("q.y").isNull()
+    named = F.when(open_, F.when(about.isNotNull(), near["day"])).when(F.col("q.m") > 0, dated(F.col("q.y")))
     # A month that can't be read: the day of the month nearest to the usual one.
     around = F.filter(F.transform(F.sequence(F.lit(-15), F.lit(15)), lambda i: F.date_add(F.col("usual"), i)), lambda x: F.dayofmonth(x) == F.col("q.d"))
     certain = F.coalesce("named", "hint_day", F.when(F.col("q.m") == 0, F.get(around, F.lit(0))))
     one = lambda d, sure: F.struct(d.alias("day"), F.lit(sure).alias("certain"))
     guessed = F.when(F.col("whole_day"), F.array(one(F.col("usual"), False), one(F.date_add("usual", 1), False))).otherwise(F.array(one(F.col("usual"), False)))
-    read = read.withColumns({"usual": usual, "named": named})
-    read = read.withColumn("certain", certain).withColumn("days", F.when(F.col("certain").isNotNull(), F.array(one(F.col("certain"), True))).when(F.col("usual").isNotNull(), guessed)).filter("days is not null")
+    read = read.withColumn("usual", usual).withColumn("named", named)
+    # One row; a leap year stands for all where no year is known at all.
+    years = read.agg(F.array_sort(F.collect_set(F.year(F.coalesce("named", "hint_day", "usual")))).alias("y")).select(F.when(F.size("y") > 0, F.col("y")).otherwise(F.array(F.lit(2000))).alias("years"))
+    any_year = F.filter(F.transform("years", lambda y: F.struct(dated(y).alias("day"), (F.size("years") == 1).alias("certain"))), lambda x: x["day"].isNotNull())
+    read = read.crossJoin(F.broadcast(years)).withColumn("certain", certain)
+    read = read.withColumn("days", F.when(F.col("certain").isNotNull(), F.array(one(F.col("certain"), True))).when(open_, F.when(F.size(any_year) > 0, any_year)).when(F.col("usual").isNotNull(), guessed)).filter("days is not null")
     kind = F.coalesce(*[F.when(F.col("q.measure") == m, k) for m, k in KINDS.items()], F.lit("other"))
     measured = ~kind.isin("team", "product")  # who wins and what comes out have no threshold, whatever a ticker says
     read = Stored(read.select("key", "venue", "close", "days", kind.alias("kind"), "q", F.coalesce(F.nullif("q.direction", F.lit(0)), F.when(measured, F.col("hint_direction")), F.lit(0)).alias("direction"), F.coalesce("q.threshold", F.when(measured, F.col("hint_threshold"))).alias("threshold"))).df

@@ -91,8 +91,8 @@ def month(word: str) -> int | None:
     return near.pop() if len(near) == 1 else None
 
 
-def take_date(s: str, year: int) -> tuple[tuple[int, int, int] | None, str]:
-    """The day named in a text, and the text without it. year holds where none is named."""
+def take_date(s: str, year: int | None) -> tuple[tuple[int | None, int, int] | None, str]:
+    """The day named in a text, and the text without it. year holds where none is named; None leaves it open."""
     for pattern, named in _DATES:
         for m in pattern.finditer(s):
             g = m.groupdict()
@@ -103,7 +103,7 @@ def take_date(s: str, year: int) -> tuple[tuple[int, int, int] | None, str]:
             start = m.start()
             if g.get("w") and not _is(g["w"], tuple(WEEKDAYS), False):
                 start = m.start("n")
-            return (y + 2000 if y < 100 else y, mo, int(g["d"])), s[:start] + " ; " + s[m.end() :]
+            return (y + 2000 if y is not None and y < 100 else y, mo, int(g["d"])), s[:start] + " ; " + s[m.end() :]
     # A misspelt month before a day and a year: the month stays open (0).
     m = re.search(rf"\b{_WORD}\s+(?P<d>\d{{1,2}}),?\s+(?P<y>20\d\d)\b", s)
     if m and 1 <= int(m["d"]) <= 31:
@@ -111,11 +111,11 @@ def take_date(s: str, year: int) -> tuple[tuple[int, int, int] | None, str]:
     return None, s
 
 
-def read(title: str | None, year: int = 2021) -> dict | None:
+def read(title: str | None, year: int | None = 2021) -> dict | None:
     """The parts of the question a title asks; None for a null or blank one.
 
-    measure ('' if unknown), direction (1 up, -1 down, 0 none), threshold (None if none), day (y, m, d) or
-    None, subject and opponent as cleaned words.
+    measure ('' if unknown), direction (1 up, -1 down, 0 none), threshold (None if none), day (y, m, d; y is
+    year where the title names none) or None, subject and opponent as cleaned words.
     """
     if not title or not title.strip():
         return None

@@ -131,3 +131,15 @@ def test_entities(spark):
     said = [("team", "port fennford quarries")] * 4 + [("team", "quarries")] * 5 + [("asset", "brillcoin bril")] * 3 + [("asset", "brillcoin")] * 3 + [("asset", "bril")] + [("place", "wys"), ("place", "wylcorss"), ("place", "ni wylcross"), ("person", "d nesserin"), ("person", "nesserin mor")] + [("person", "nesserin")] * 3
     got = {r["text"]: r["entity"] for r in matching.entities(spark.createDataFrame(said, "kind string, text string"), _places(spark)).collect()}
     assert got == {"port fennford quarries": "quarries", "quarries": "quarries", "brillcoin bril": "brillcoin", "brillcoin": "brillcoin", "bril": "brillcoin", "wys": "wylcross", "wylcorss": "wylcross", "ni wylcross": "wylcross", "d nesserin": "nesserin", "nesserin mor": "nesserin", "nesserin": "nesserin"}
+
+
+def test_days_without_a_year_take_that_of_their_close(spark):
+    year = 365 * 86_400_000_000
+    rows = [("a:1", "WYS high temp < 60° on Mar 17?", CLOSE), ("a:2", "WYS high temp < 60° on Mar 17?", CLOSE + year), ("b:1", "WYS high temp < 60° on 2021-03-17?", CLOSE), ("b:2", "WYS high temp < 60° on 2022-03-17?", CLOSE + year)]
+    found = _pairs(spark, rows)
+    assert {p for p, c in found.items() if c >= 0.5} == {("a:1", "b:1"), ("a:2", "b:2")}
+    # At the turn of the year the nearest day counts, not the year of the close.
+    turn = CLOSE + 290 * 86_400_000_000  # 2022-01-01 23:59 UTC
+    assert set(_pairs(spark, [("a:1", "WYS high temp < 60° on Dec 31?", turn), ("b:1", "WYS high temp < 60° on 2021-12-31?", turn)])) == {("a:1", "b:1")}
+    # Nothing but a title: any year that the data know.
+    assert ("a:1", "b:1") in _pairs(spark, [("a:1", "WYS high temp < 60° on Mar 17?", None), ("b:1", "WYS high temp < 60° on 2022-03-17?", None), ("b:2", "ELN high temp < 60° on 2021-03-17?", None)])
