@@ -148,16 +148,16 @@ def features(markets: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def candidates(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of markets of different venues that agree in all parts, with their odds: a, b, va, vb, w; and the markets that stand behind an end: key, stands_for.
+    """Pairs of markets of different venues that agree in all parts, with their odds: a, b, va, vb, w; and the markets that stand behind an end, itself among them: key, stands_for.
 
-    Markets of a venue that ask literally the same for the same days form a class with one
-    representative, so a question asked by a third of all rows gives a few pairs, not its square.
+    Markets of a venue that ask the same for the same days form a class with one representative, so
+    propagation meets a question asked by a third of all rows in a few pairs, not in its square.
     """
     # A question's text takes part in joins as one string.
     text = F.concat_ws("|", F.col("question.measure"), F.col("question.direction").cast("string"), F.coalesce(F.col("question.threshold").cast("string"), F.lit("")), "question.subject", "question.opponent")
     rows = asked.select("key", "venue", text.alias("text"), "initial", "days", "close", "corrected")
-    classes = rows.groupBy("venue", "text", "initial", "days").agg(F.min("key").alias("key"), F.min_by("close", "key").alias("close"), F.min("corrected").alias("corrected"), F.count("*").alias("n"))
-    behind = rows.join(classes.filter("n > 1").select("venue", "text", "initial", "days", F.col("key").alias("stands_for")), ["venue", "text", "initial", "days"]).select("key", "stands_for").filter("key != stands_for")
+    classes = rows.groupBy("venue", "text", "initial", "days").agg(F.min("key").alias("key"), F.min_by("close", "key").alias("close"), F.min("corrected").alias("corrected"))
+    behind = rows.join(classes.select("venue", "text", "initial", "days", F.col("key").alias("stands_for")), ["venue", "text", "initial", "days"]).select("key", "stands_for")
     # Classes of one question, venue and certain day are few: certain or guessed, with a close or without.
     spread = classes.select("key", "venue", "text", "initial", "close", "corrected", F.size("days").alias("choices"), F.inline("days"))
     a, b = (spread.select("text", "day", *[F.col(c).alias(c + s) for c in ("key", "venue", "initial", "close", "corrected", "choices", "certain")]) for s in ("_a", "_b"))
@@ -204,11 +204,11 @@ def propagate(edges: DataFrame) -> DataFrame:
 def match(markets: DataFrame, places: DataFrame) -> DataFrame:
     """Pairs of markets of different venues with the probability that they ask the same: a, b (by key), confidence.
 
-    See features for the input. Members of a class of literal copies are paired with the other side's
-    representative. Empty tables, null titles and titles that ask nothing give no pairs.
+    See features for the input. Each member of a class is paired with each of the other side's, since
+    all of them ask the same: what comes out is the square of a question that both venues repeat. Empty tables, null titles and titles that ask nothing give no pairs.
     """
     edges, behind = candidates(Stored(features(markets, places)).df)
     found = propagate(edges).select("a", "b", F.col("p").alias("confidence"))
-    copies = found.join(behind, found["a"] == behind["stands_for"]).select(F.col("key").alias("a"), "b", "confidence").unionByName(found.join(behind, found["b"] == behind["stands_for"]).select("a", F.col("key").alias("b"), "confidence"))
-    every = found.unionByName(copies)
+    ends = [behind.select(F.col("key").alias(f"{c}_key"), F.col("stands_for").alias(c)) for c in ("a", "b")]
+    every = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "confidence")
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "confidence").groupBy("a", "b").agg(F.max("confidence").alias("confidence"))

@@ -143,3 +143,8 @@ def test_days_without_a_year_take_that_of_their_close(spark):
     assert set(_pairs(spark, [("a:1", "WYS high temp < 60° on Dec 31?", turn), ("b:1", "WYS high temp < 60° on 2021-12-31?", turn)])) == {("a:1", "b:1")}
     # Nothing but a title: any year that the data know.
     assert ("a:1", "b:1") in _pairs(spark, [("a:1", "WYS high temp < 60° on Mar 17?", None), ("b:1", "WYS high temp < 60° on 2022-03-17?", None), ("b:2", "ELN high temp < 60° on 2021-03-17?", None)])
+
+
+def test_copies_in_both_venues_all_meet(spark):
+    rows = [("a:1", "WYS high temp < 60° on Mar 17?", CLOSE), ("a:2", "Wylcross: daily high under 60 degrees on 2021-03-17", CLOSE), ("a:3", "WYS high temp < 60° on Mar 17?", CLOSE), ("b:1", "WYS high temp < 60° on Mar 17?", CLOSE), ("b:2", "Wylcross: daily high below 60F on Mar 17", CLOSE)]
+    assert {p for p, c in _pairs(spark, rows).items() if c >= 0.5} == {(a, b) for a in ("a:1", "a:2", "a:3") for b in ("b:1", "b:2")}
