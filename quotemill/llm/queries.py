@@ -90,13 +90,21 @@ def p10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_matches, p6_found, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_shared, p10_repeats)}
 
-_RUNS = """
-        WITH w AS (SELECT doc_id, s, hash(substr(text, CAST(s + 1 AS BIGINT), 200)) AS g FROM (SELECT doc_id, text, unnest(range(length(text) - 199)) AS s FROM documents WHERE length(text) >= 200)),
-        runs AS (SELECT doc_id, s FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING min(doc_id) <> max(doc_id))),
+_SPANS = """
         marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM runs),
         spans AS (SELECT doc_id, CAST(min(s) AS INTEGER) AS span_start, CAST(max(s) + 200 AS INTEGER) AS span_end FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM marked) GROUP BY doc_id, island)"""
+_RUNS = """
+        WITH w AS (SELECT doc_id, s, hash(substr(text, CAST(s + 1 AS BIGINT), 200)) AS g FROM (SELECT doc_id, text, unnest(range(length(text) - 199)) AS s FROM documents WHERE length(text) >= 200)),
+        runs AS (SELECT doc_id, s FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING min(doc_id) <> max(doc_id))),"""
+
+_RUNS += _SPANS
+# A run belongs to the smallest document that it stands in, whatever stands around it.
+_LATER = """
+        WITH w AS (SELECT doc_id, s, hash(substr(text, CAST(s + 1 AS BIGINT), 200)) AS g FROM (SELECT doc_id, text, unnest(range(length(text) - 199)) AS s FROM documents WHERE length(text) >= 200)),
+        runs AS (SELECT doc_id, s FROM w JOIN (SELECT g, min(doc_id) AS owner FROM w GROUP BY g) USING (g) WHERE owner < doc_id),""" + _SPANS
 
 ORACLE = {
+    "p10_repeats": _LATER + " SELECT doc_id, span_start, span_end FROM spans",
     "p10_found": _RUNS + " SELECT doc_id, span_start, span_end FROM spans",
     "p10_shared": _RUNS
     + """ SELECT d.doc_id, length(d.text) AS n_chars, coalesce(n, 0) AS n_spans, coalesce(c, 0) AS shared_chars, CASE WHEN length(d.text) > 0 THEN coalesce(c, 0) / length(d.text) END AS shared_share

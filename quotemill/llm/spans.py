@@ -22,8 +22,6 @@ from quotemill.session import Stored
 UNIT = 80
 #: Code points that are worked on at once; longer texts are cut into overlapping pieces.
 AT_ONCE = 400_000
-#: 64-bit words of the bitmaps that thin out rows before a shuffle: 2 MB, whatever the data's size.
-WORDS = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -34,6 +32,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """32 bits of a 64-bit value."""
+    return (_mix(x) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 @lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 2**64), dtype=np.uint64)
@@ -67,8 +70,12 @@ def smallest_in_window(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-#: Columns of a block, after the record's id.
-_BLOCK = "first int, last int, h bigint, ha bigint, hb bigint, stretch string"
+#: A block of runs; h is its unit's digest, w and x are those of its whole stretch.
+_BLOCK = "id bigint, first int, last int, h bigint, w bigint, x int"
+#: A stretch to be compared run by run: it stands in records a to b, c numbers its class (0 for a block of one record only).
+_EDGE = "a bigint, b bigint, first int, h bigint, c bigint, stretch string"
+#: A run by its digests w and x.
+_RUN = "w bigint, x int, a bigint, b bigint, start int"
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -79,13 +86,13 @@ def blocks(texts: list[str], least: int, whole: bool = True) -> dict[str, np.nda
     """The blocks of runs that own the same unit, over several texts.
 
     Columns: text (its index), first and last (starts of the block's runs), h (the unit's digest and rank),
-    and, if whole, ha and hb (the digest of the block's whole stretch).
+    and, if whole, w and x (64 and 32 bits of digests of the block's whole stretch).
     """
     arrays = [codes_of(t) for t in texts]
     sizes = np.array([len(a) for a in arrays], dtype=np.int64)
     codes = np.concatenate(arrays) if len(arrays) else np.zeros(0, np.uint32)
     if not (sizes >= least).any():
-        return {k: np.zeros(0, np.int64) for k in ("text", "first", "last", "h", "ha", "hb")}
+        return {k: np.zeros(0, np.int64) for k in ("text", "first", "last", "h", "w", "x")}
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     a = Rolling(codes, _BASES[0])
     at = np.arange(len(codes) - UNIT + 1)
@@ -111,7 +118,7 @@ def blocks(texts: list[str], least: int, whole: bool = True) -> dict[str, np.nda
     out = {"text": text, "first": first - starts[text], "last": last - starts[text], "h": h[i].view(np.int64)}
     if whole:
         shape, b = _mix((last - first).astype(np.uint64)), Rolling(codes, _BASES[1])
-        out |= {name: _mix(r.of(first, last + least) ^ shape).view(np.int64) for name, r in (("ha", a), ("hb", b))}
+        out |= {"w": _mix(b.of(first, last + least) ^ shape).view(np.int64), "x": _short(a.of(first, last + least) ^ shape)}
     return out
 
 
@@ -147,46 +154,41 @@ def _digests(least: int) -> Callable:
     return run
 
 
-def _slot(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word and the bit of a digest; digests are mixed already."""
-    u = h.view(np.uint64)
-    return (u % np.uint64(WORDS)).astype(np.int64), (u >> np.uint64(57)) & np.uint64(63)
-
-
-def bitmap(digests: DataFrame, name: str) -> np.ndarray:
-    """A bitmap of WORDS words with a bit set for each digest: a filter without false negatives, of a fixed size."""
-    word = F.pmod(F.col(name), F.lit(WORDS))  # WORDS divides 2**64, so signed and unsigned digests agree
-    rows = digests.groupBy(word.alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, 57) & 63 as int))")).alias("bits"))
-    out = np.zeros(WORDS, dtype=np.int64)
-    found = rows.toPandas()  # WORDS rows at most
-    out[found["w"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
+def _placed(least: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, offsets, texts in pieces(batches, least):
+            b = blocks(texts, least)
+            at = np.asarray(offsets, dtype=np.int64)[b["text"]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.asarray(ids, dtype=np.int64)[b["text"]]), pa.array((b["first"] + at).astype(np.int32)), pa.array((b["last"] + at).astype(np.int32)), *[pa.array(b[k]) for k in ("h", "w", "x")]],
+                ["id", "first", "last", "h", "w", "x"],
+            )
 
+    return run
 
-def _set_in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    word, bit = _slot(h)
-    return (bits[word] >> bit) & np.uint64(1) == 1
 
+def _cut(least: int) -> Callable:
+    """From (a, text, wanted: array of b, first, last, h, c): a row of _EDGE for each wanted stretch of the text."""
 
-def _candidates(least: int, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for ids, offsets, texts in pieces(batches, least):
-            b = blocks(texts, least)
-            keep = np.flatnonzero(_set_in(bits, b["h"]))
-            text, first, last = b["text"][keep], b["first"][keep], b["last"][keep]
-            at = np.asarray(offsets, dtype=np.int64)[text]
+        for batch in batches:
+            lists, texts = batch.column(2), batch.column(1).to_pylist()
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            wanted = lists.flatten()
+            b, first, last, h, c = (wanted.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            found = [texts[r][f : e + least] for r, f, e in zip(row.tolist(), first.tolist(), last.tolist())]
+            keep = np.flatnonzero([len(t) >= least for t in found])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(ids, dtype=np.int64)[text]), pa.array((first + at).astype(np.int32)), pa.array((last + at).astype(np.int32)), *[pa.array(b[k][keep]) for k in ("h", "ha", "hb")],
-                 pa.array([texts[t][f : e + least] for t, f, e in zip(text.tolist(), first.tolist(), last.tolist())], pa.string())],
-                ["id", "first", "last", "h", "ha", "hb", "stretch"],
+                [pa.array(batch.column(0).to_numpy()[row[keep]]), *[pa.array(v[keep]) for v in (b, first, h, c)], pa.array([found[i] for i in keep.tolist()], pa.string())],
+                ["a", "b", "first", "h", "c", "stretch"],
             )
 
     return run
 
 
-def _runs(least: int, shared=None) -> Callable:
-    """From (a, b, first, h, stretch): a row for each run of the stretch, with its digest mixed with h; only those set in the bitmap, if one is given."""
+def _runs(least: int) -> Callable:
+    """From (a, b, first, h, stretch): a row of _RUN for each run of the stretch, its digests mixed with h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,12 +202,9 @@ def _runs(least: int, shared=None) -> Callable:
                 row = np.repeat(np.arange(len(arrays)), n)
                 inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 start = np.repeat(np.cumsum(sizes) - sizes, n) + inside
-                rolling = Rolling(np.concatenate(arrays), _BASES[1])
-                h = part.column(3).to_numpy()
-                w = _mix(rolling.of(start, start + least) ^ h.view(np.uint64)[row]).view(np.int64)
-                keep = np.arange(len(w)) if shared is None else np.flatnonzero(_set_in(shared.value, w))
-                r = row[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(w[keep]), pa.array(part.column(0).to_numpy()[r]), pa.array(part.column(1).to_numpy()[r]), pa.array((part.column(2).to_numpy()[r] + inside[keep]).astype(np.int32))], ["w", "a", "b", "start"])
+                codes, h = np.concatenate(arrays), part.column(3).to_numpy().view(np.uint64)[row]
+                x, w = (Rolling(codes, base).of(start, start + least) ^ h for base in _BASES)
+                yield pa.RecordBatch.from_arrays([pa.array(_mix(w).view(np.int64)), pa.array(_short(x)), pa.array(part.column(0).to_numpy()[row]), pa.array(part.column(1).to_numpy()[row]), pa.array((part.column(2).to_numpy()[row] + inside).astype(np.int32))], ["w", "x", "a", "b", "start"])
 
     return run
 
@@ -217,47 +216,52 @@ def shared_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     time, with that record as earliest; the smallest earliest of a run counts. Without them earliest is
     the smallest key with the same block, which is enough where only shared stretches are asked for.
 
-    Steps, each linear in the input and none with pairs of records:
-    1. Digests of units, grouped globally: which stand in more than one record. A bitmap of fixed size goes to the tasks.
-    2. The texts once more: blocks of runs whose unit passes the bitmap, with their stretch, stored in the shared folder.
-    3. Blocks with the same digest in several records are shared as a whole, in one step however many copies there are.
+    Steps, each linear in the input, none with pairs of records, and none with anything on the driver:
+    1. Digests of units, grouped globally: which stand in more than one record.
+    2. The texts once more: blocks of runs as places and digests, without text; those of shared units (a
+       semi-join by the unit's digest) are stored in the shared folder.
+    3. Blocks with the same digests in several records are shared as a whole, in one step however many copies there are.
     4. Blocks that stand in one record only, next to other blocks of the same unit (the ends of shared
        stretches), are compared run by run with them, one block standing for all with its digest.
-       With origins so are copied blocks with each other, and what an earlier record has goes to all copies.
-    Keys must be whole numbers. Null and empty texts, and texts shorter than least, share nothing; runs
-    repeated inside one record only are not shared. Offsets are code points.
+       With origins so are copied blocks with each other, and what an earlier record has goes to all
+       copies. Only these blocks' texts are read, by joining their places to the records.
+    Blocks and runs are the same if their digests are: 63 bits of the unit and 96 of the block, 96 of a
+    run. Keys must be whole numbers; rows of one key are one record. Null and empty texts, and texts
+    shorter than least, share nothing; runs repeated inside one record only are not shared. Offsets are
+    code points.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    found = source.mapInArrow(_digests(least), "h bigint, id bigint").groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a != b")
-    shared = spark.sparkContext.broadcast(bitmap(found, "h"))
-    kept = Stored(source.mapInArrow(_candidates(least, shared), f"id bigint, {_BLOCK}")).df
-    classes = kept.groupBy("h", "ha", "hb").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    # A unit in one record only passed the bitmap by chance, or repeats inside its record.
+    shared = source.mapInArrow(_digests(least), "h bigint, id bigint").groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a != b").select("h")
+    kept = Stored(source.mapInArrow(_placed(least), _BLOCK).join(shared, "h", "left_semi")).df
+    # One number orders a class's blocks by record and place, another holds the first one's place: no block is longer than a unit's reach.
+    order = F.col("id").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("first")
+    place = F.col("first").cast("bigint") * F.lit(least) + (F.col("last") - F.col("first"))
+    classes = kept.groupBy("h", "w", "x").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min_by(place, order.cast("decimal(38,0)")).alias("place"))
     per_unit = classes.groupBy("h").agg(F.min("a").alias("ua"), F.max("b").alias("ub"), F.max(F.col("a") == F.col("b")).alias("open"), F.count("*").alias("n")).filter("ua != ub")
-    full = classes.filter("a != b").select("h", "ha", "hb", "a")
-    whole = kept.drop("stretch").join(full, ["h", "ha", "hb"]).select("id", "first", "last", F.col("a").alias("earliest"))
+    full = classes.filter("a != b")
+    block = ["h", "w", "x"]
+    whole = kept.join(full.select(*block, "a"), block).select("id", "first", "last", F.col("a").alias("earliest"))
     open_ = per_unit.filter("n > 1" if origins else "open").select("h")
-    alone = kept.join(classes.filter("a = b").select("h", "ha", "hb"), ["h", "ha", "hb"]).join(open_, "h").select(F.col("id").alias("a"), F.col("id").alias("b"), "first", "h", "stretch")
-    copied = kept.join(full.select("h", "ha", "hb").join(open_, "h"), ["h", "ha", "hb"]).groupBy("h", "ha", "hb").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min_by(F.struct("first", "stretch"), F.struct("id", "first")).alias("one"))
     # The class of a block by number; together with its smallest id no two are alike.
-    number = F.xxhash64("h", "ha", "hb").alias("c")
-    edges = Stored(alone.withColumn("c", F.lit(0).cast("bigint")).unionByName(copied.select("a", "b", "one.first", "h", "one.stretch", number))).df
-    runs = "w bigint, a bigint, b bigint, start int"
-    common = edges.mapInArrow(_runs(least), runs).groupBy("w").agg(F.min("a").alias("ea"), F.max("b").alias("eb"), F.max("a").alias("la")).filter("ea != eb").select("w", F.col("ea").alias("earliest"), "la")
+    number = F.xxhash64("h", "w", "x").alias("c")
+    alone = kept.join(classes.filter("a = b").select(*block), block).join(open_, "h").select(F.col("id").alias("a"), F.col("id").alias("b"), "first", "last", "h", F.lit(0).cast("bigint").alias("c"))
+    first = F.call_function("div", F.col("place"), F.lit(least)).cast("int")
+    copied = full.join(open_, "h").select("a", "b", first.alias("first"), (first + F.pmod("place", F.lit(least))).cast("int").alias("last"), "h", number)
+    wanted = alone.unionByName(copied).groupBy("a").agg(F.collect_list(F.struct("b", "first", "last", "h", "c")).alias("wanted"))  # of one record, bounded by its length
+    edges = Stored(source.filter("text is not null").join(wanted, F.col("id") == F.col("a")).select("a", "text", "wanted").mapInArrow(_cut(least), _EDGE)).df
+    parts = ["a", "b", "first", "h", "stretch"]
+    common = edges.select(*parts).mapInArrow(_runs(least), _RUN).groupBy("w", "x").agg(F.min("a").alias("ea"), F.max("b").alias("eb"), F.max("a").alias("la")).filter("ea != eb").select("w", "x", F.col("ea").alias("earliest"), "la")
     common = Stored(common).df
-    hit = spark.sparkContext.broadcast(bitmap(common, "w"))
-    single = edges.filter("a = b").mapInArrow(_runs(least, hit), runs).join(common, "w")
+    single = edges.filter("a = b").select(*parts).mapInArrow(_runs(least), _RUN).join(common, ["w", "x"])
     out = whole.unionByName(single.select(F.col("a").alias("id"), F.col("start").alias("first"), F.col("start").alias("last"), "earliest"))
     if origins:
-        before = common.filter("earliest != la").select("w", "earliest")
-        again = spark.sparkContext.broadcast(bitmap(before, "w"))
-        late = edges.filter("a != b").select("a", F.col("c").alias("b"), F.lit(0).alias("first"), "h", "stretch").mapInArrow(_runs(least, again), runs).join(before, "w").filter("earliest < a")
+        before = common.filter("earliest != la").select("w", "x", "earliest")
+        late = edges.filter("a != b").select("a", F.col("c").alias("b"), F.lit(0).alias("first"), "h", "stretch").mapInArrow(_runs(least), _RUN).join(before, ["w", "x"]).filter("earliest < a")
         # Runs one after another with the same earliest record are one row; there are no more than a block has.
         step = F.col("start") - F.row_number().over(Window.partitionBy("a", "b", "earliest").orderBy("start"))
-        parts = late.withColumn("step", step).groupBy("a", "b", "earliest", "step").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
-        members = kept.select("id", "first", "h", "ha", "hb").join(full, ["h", "ha", "hb"]).select("id", F.col("first").alias("at"), F.col("a"), number)
-        moved = members.join(parts.withColumnRenamed("b", "c"), ["a", "c"])
+        ranges = late.withColumn("step", step).groupBy("a", "b", "earliest", "step").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+        members = kept.select("id", "first", *block).join(full.select(*block, "a"), block).select("id", F.col("first").alias("at"), "a", number)
+        moved = members.join(ranges.withColumnRenamed("b", "c"), ["a", "c"])
         out = out.unionByName(moved.select("id", (F.col("at") + F.col("lo")).alias("first"), (F.col("at") + F.col("hi")).alias("last"), "earliest"))
     return out.withColumnRenamed("id", key)
 
