@@ -1,12 +1,16 @@
 """Quantities recorded in different units, brought to one: a probability between 0 and 1.
 
-The distinct spellings of units are matched to a small dictionary: an inverted index of character
-trigrams proposes known spellings, a weighted edit distance verifies them, and the alias table that
+The distinct spellings of units are matched to a small dictionary of unit names: an inverted index of
+character trigrams proposes names, a weighted edit distance verifies them, and the alias table that
 comes out is joined to all rows. So rows never meet the fuzzy step; only distinct spellings do.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +18,29 @@ from pyspark.sql import types as T
 
 from quotemill.functions.columns import fresh, let
 
-# Known spellings of each unit.
+# Plain names and symbols of each unit, in the singular and without filler words.
 UNITS = {
-    "fraction": ["fraction", "fractions", "probability", "prob", "share price", "share price 0-1", "0-1", "between 0 and 1", "ratio"],
-    "dollar": ["$", "usd", "dollar", "dollars", "usd per share", "dollars per share", "us dollars", "usd_dollar", "per share"],
-    "cent": ["¢", "c", "ct", "cts", "cent", "cents", "us cents", "usd_cent", "usd cents", "c/share", "cents per share", "quoted in cents", "1/100 of a dollar"],
-    "percent": ["%", "pct", "percent", "per cent", "percents", "percentage", "percentage points", "in percent"],
-    "basis_point": ["bp", "bps", "basis point", "basis points", "1/100 of a percent"],
-    "decimal_odds": ["dec", "decimal", "decimal odds", "odds (decimal)", "european odds", "eu odds", "payout per 1 staked", "payout per unit"],
-    "american_odds": ["american", "american odds", "us odds", "moneyline", "money line", "odds (american)"],
+    "fraction": ["fraction", "probability", "ratio", "share price"],
+    "dollar": ["$", "usd", "dollar", "us dollar", "dollar per share", "usd per share"],
+    "cent": ["¢", "c", "ct", "cent", "us cent", "cent per share"],
+    "percent": ["%", "pct", "percent", "per cent", "percentage", "percentage point"],
+    "basis_point": ["bp", "basis point"],
+    "decimal_odds": ["decimal", "decimal odds", "european odds", "payout per unit"],
+    "american_odds": ["american", "american odds", "us odds", "moneyline", "money line"],
 }
-#: A spelling is taken for the nearest known one if their weighted edit distance is at most this share of the longer one's length.
-MOST_APART = 0.34
-#: What an edit costs: changes among spaces, hyphens, underscores and dots are nearly free, those of digits and signs forbidding.
-_CHEAP, _DEAR = set(" -_.()/"), set("0123456789%$¢")
+# Phrases that say what a unit means, which no edit distance to its name could tell.
+PHRASES = {"fraction": ["0-1"], "decimal_odds": ["payout per 1 staked"]}
+#: How many of a unit make a whole; '1/100 of a percent' is found by it.
+WHOLE = {"fraction": 1, "dollar": 1, "cent": 100, "percent": 100, "basis_point": 10_000}
+#: A spelling is taken for the nearest name if their weighted edit distance is at most this share of the longer one's length.
+MOST_APART = 0.28
+#: What a letter costs: that of a filler word, that of a name's end which an abbreviation leaves out, digits and signs (forbidding), others 1.
+FILLER, TAIL, DEAR = 0.1, 0.1, 5.0
+# Words that carry no unit.
+FILLERS = ["a", "an", "as", "each", "for", "in", "of", "per", "quoted", "the", "to"]
+_SIGNS = set("0123456789%$¢")
+_RANGE = re.compile(r"\(?\b(?:between )?0(?:\.0+)?\s*(?:-|–|to|and)\s*1(?:\.0+)?\b\)?")
+_PART = re.compile(r"^1/(\d{1,9}) of (?:an? |the )?(.+)$")
 
 
 def clean(unit: Column) -> Column:
@@ -35,54 +48,109 @@ def clean(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"(?U)\s+", " "))
 
 
+def parts(spelling: str) -> tuple[str, int]:
+    """The words of a cleaned spelling in alphabetical order, and the divisor of one like '1/100 of a percent' (else 1). A range like '0-1' beside other words says nothing more."""
+    m = _PART.match(spelling)
+    by, rest = (int(m[1]), m[2]) if m and int(m[1]) else (1, spelling)
+    bare = _RANGE.sub(" ", rest).strip()
+    words = re.findall(r"[^\s_\-./()]+", bare) if bare else ["0-1"]
+    return " ".join(sorted(words)), by
+
+
+def _cost(ch: str) -> float:
+    return DEAR if ch in _SIGNS else 1.0
+
+
+@lru_cache(maxsize=100_000)
 def weighted_distance(a: str, b: str) -> float:
-    """Edit distance with costs by kind of character: _CHEAP 0.2, _DEAR 5, others 1; neighbours that changed places cost 1."""
-    cost = lambda ch: 0.2 if ch in _CHEAP else 5.0 if ch in _DEAR else 1.0
+    """Edit distance of a word to a name's: digits and signs cost DEAR, other letters 1, neighbours that changed places 1, and the end of the name, where the word abbreviates it, TAIL a letter."""
     rows = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
-        rows[i][0] = rows[i - 1][0] + cost(x)
+        rows[i][0] = rows[i - 1][0] + _cost(x)
     for j, y in enumerate(b, 1):
-        rows[0][j] = rows[0][j - 1] + cost(y)
+        rows[0][j] = rows[0][j - 1] + _cost(y)
     for i, x in enumerate(a, 1):
         for j, y in enumerate(b, 1):
-            best = min(rows[i - 1][j] + cost(x), rows[i][j - 1] + cost(y), rows[i - 1][j - 1] + (0 if x == y else max(cost(x), cost(y))))
+            best = min(rows[i - 1][j] + _cost(x), rows[i][j - 1] + _cost(y), rows[i - 1][j - 1] + (0 if x == y else max(_cost(x), _cost(y))))
             if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and x != y:
-                best = min(best, rows[i - 2][j - 2] + max(1.0, cost(x), cost(y)))
+                best = min(best, rows[i - 2][j - 2] + max(1.0, _cost(x), _cost(y)))
             rows[i][j] = best
-    return rows[-1][-1]
+    end = b[len(a) :]
+    return TAIL * len(end) if a and end and b.startswith(a) and not _SIGNS & set(end) else rows[-1][-1]
+
+
+def _alone(word: str) -> float:
+    return FILLER * len(word) if word in FILLERS else sum(map(_cost, word))
+
+
+def apart(a: str, b: str) -> float:
+    """The least cost of turning the words of a spelling into those of a name, in any order: words are paired by weighted_distance or left alone. b is a name of a few words."""
+    words, names = a.split(" "), b.split(" ")
+    best = {0: 0.0}  # by which names are used up
+    for w in words:
+        after: dict[int, float] = {}
+        for used, cost in best.items():
+            ways = [(used, cost + _alone(w))] + [(used | 1 << i, cost + weighted_distance(w, n)) for i, n in enumerate(names) if not used >> i & 1]
+            for state, c in ways:
+                if c < after.get(state, float("inf")):
+                    after[state] = c
+        best = after
+    return min(cost + sum(_alone(n) for i, n in enumerate(names) if not used >> i & 1) for used, cost in best.items())
+
+
+@F.pandas_udf(T.StructType([T.StructField("words", T.StringType()), T.StructField("divisor", T.IntegerType())]))
+def _parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame([parts(x) for x in batch], columns=["words", "divisor"])
 
 
 @F.pandas_udf(T.DoubleType())
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([weighted_distance(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([apart(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def _grams(text: Column) -> Column:
-    padded = F.concat(F.lit("^"), F.regexp_replace(text, r"[ _().-]+", ""), F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
+    """The trigrams of a text's words written together, and the first letter of each word, which is all that an abbreviation may share."""
+    padded = F.concat(F.lit("^"), F.replace(text, F.lit(" "), F.lit("")), F.lit("$"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3))
+    return F.array_distinct(F.concat(grams, F.transform(F.split(text, " "), lambda w: F.concat(F.lit("^"), F.substring(w, 1, 1)))))
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
-    """The known spellings: known, unit."""
-    return spark.createDataFrame([(s, u) for u, spellings in UNITS.items() for s in spellings], "known string, unit string")
+    """The known names, also in the plural, and phrases, their words in alphabetical order: known, unit."""
+    rows = [(parts(s)[0], u) for names in (UNITS, PHRASES) for u, spellings in names.items() for s in spellings]
+    rows += [(parts(s + "s")[0], u) for u, spellings in UNITS.items() for s in spellings if len(s) > 1 and not s.endswith("s")]
+    return spark.createDataFrame(rows, "known string, unit string")
 
 
-def aliases(spellings: DataFrame, column: str = "spelling") -> DataFrame:
-    """The unit of each distinct spelling (already clean): spelling, unit, distance. Spellings near to none are left out.
+def proposals(spellings: DataFrame, column: str = "spelling") -> DataFrame:
+    """Each distinct spelling (already clean) beside the names that share a trigram or a word's first letter with it: spelling, words, divisor, known, unit, shared, distance. Null and blank spellings have none.
 
-    A spelling that the dictionary has needs no index. Ties of distance go to the alphabetically first unit.
+    All spellings go through the index and the distance, those that the dictionary holds too (their distance is 0).
     """
     spark = spellings.sparkSession
-    known = F.broadcast(dictionary(spark))  # UNITS is fixed
     distinct = spellings.select(F.col(column).alias("spelling")).filter("spelling is not null and spelling != ''").distinct()
-    exact = distinct.join(known, F.col("spelling") == F.col("known")).select("spelling", "unit", F.lit(0.0).alias("distance"))
-    rest = distinct.join(known, F.col("spelling") == F.col("known"), "left_anti")
-    index = known.select("known", "unit", F.explode(_grams(F.col("known"))).alias("gram"))
-    proposed = rest.select("spelling", F.explode(_grams(F.col("spelling"))).alias("gram")).join(F.broadcast(index), "gram").groupBy("spelling", "known", "unit").agg(F.count("*").alias("shared"))
-    # Two texts that are near enough share at least one trigram; more than one edit in four letters is too far anyway.
-    near = proposed.withColumn("distance", _distance("spelling", "known")).filter(F.col("distance") <= MOST_APART * F.greatest(F.length("spelling"), F.length("known")))
-    best = near.groupBy("spelling").agg(F.min(F.struct("distance", "unit")).alias("b")).select("spelling", "b.unit", "b.distance")
-    return exact.unionByName(best)
+    read = distinct.select("spelling", _parts("spelling").alias("p")).select("spelling", "p.words", "p.divisor")
+    index = dictionary(spark).select("known", "unit", F.explode(_grams(F.col("known"))).alias("gram"))
+    met = read.select("*", F.explode(_grams(F.col("words"))).alias("gram")).join(F.broadcast(index), "gram")  # the names are fixed
+    found = met.groupBy("spelling", "words", "divisor", "known", "unit").agg(F.count("*").alias("shared"))
+    return found.withColumn("distance", _distance("words", "known"))
+
+
+def aliases(spellings: DataFrame, column: str = "spelling") -> DataFrame:
+    """The unit of each distinct spelling (already clean): spelling, unit, distance, shared (what it shares with the name taken). Spellings near to no name are left out.
+
+    A name is near if its distance is at most MOST_APART of the longer text. Ties go to the name that
+    shares more, then to the alphabetically first unit. A part of a unit ('1/100 of a cent') is
+    the unit of that size, or none.
+    """
+    near = proposals(spellings, column).filter(F.col("distance") <= MOST_APART * F.greatest(F.length("words"), F.length("known")))
+    best = near.groupBy("spelling", "divisor").agg(F.min(F.struct("distance", (-F.col("shared")).alias("fewer"), "unit")).alias("b")).select("spelling", "divisor", "b.*")
+    size = F.try_element_at(F.create_map(*[F.lit(x) for pair in WHOLE.items() for x in pair]), F.col("unit"))
+    whole = F.when(F.col("divisor") == 1, F.col("unit"))
+    for unit in ("cent", "basis_point"):
+        whole = whole.when(size * F.col("divisor") == WHOLE[unit], F.lit(unit))
+    return best.withColumn("unit", whole).filter("unit is not null").select("spelling", "unit", "distance", (-F.col("fewer")).alias("shared"))
 
 
 def quantity(text: Column) -> Column:
@@ -92,6 +160,11 @@ def quantity(text: Column) -> Column:
     return let(groups, lambda g: F.when(g[0].rlike(r"\d"), F.struct(F.replace(g[0], F.lit(","), F.lit("")).try_cast("double").alias("value"), clean(F.concat(g[1], g[2])).alias("unit"))))
 
 
+def millionths(p: Column) -> Column:
+    """A probability times 1,000,000 as a whole number; a half goes to the even one, as 1/5.12 (195312.5) does."""
+    return F.rint(p * 1_000_000).cast("bigint")
+
+
 def to_probability(value: Column, unit: Column) -> Column:
     """The probability that a value in a unit of UNITS stands for: odds as 1 over the payout, margin left in. Null outside [0, 1] and where undefined."""
     p = (

@@ -96,13 +96,37 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     implied = quotes.select(F.lit("market_quotes").alias("table_name"), F.col("row_id").alias("rec_id"), F.lit("implied_prob").alias("field_name"), F.lit(1).alias("pos"), F.col("implied_prob").alias("value"), scale.alias("unit")).filter("unit in ('percent', 'basis_point')")
 
     every = texts.unionByName(prices).unionByName(implied)
-    millionths = F.round(units.to_probability(F.col("value"), F.col("unit")) * 1_000_000).cast("bigint")
-    return every.select("table_name", "rec_id", "field_name", "pos", millionths.alias("prob_millionths")).filter("prob_millionths is not null")
+    chance = units.to_probability(F.col("value"), F.col("unit"))
+    return every.select("table_name", "rec_id", "field_name", "pos", units.millionths(chance).alias("prob_millionths")).filter("prob_millionths is not null")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_kept, p3_found, p3_formats, p4_found, p7_found)}
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes, markets, listed = table(spark, sf_dir, "market_quotes"), table(spark, sf_dir, "kalshi_markets"), table(spark, sf_dir, "polymarket_markets")
+    item = packed.unpack(listed.select("outcomeprices"), F.col("outcomeprices"))
+    return quotes.select(units.clean(F.col("price_unit")).alias("spelling")).unionByName(markets.select(units.quantity(F.col("yes_bid_dollars"))["unit"].alias("spelling"))).unionByName(item.select(units.quantity(F.col("item"))["unit"].alias("spelling")))
 
-_SPELT = ", ".join(f"('{spelling}', '{unit}')" for unit, spellings in units.UNITS.items() for spelling in spellings)
+
+def p7_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unit that each distinct spelling in price_unit and in the texts of bids and outcome prices was taken for."""
+    return units.aliases(_spellings(spark, sf_dir)).select("spelling", "unit")
+
+
+def p7_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of those spellings beside all names that the index proposes for it, with the trigrams and first letters they share and their weighted distance."""
+    return units.proposals(_spellings(spark, sf_dir)).select("spelling", "known", "unit", "shared", F.round("distance", 4).alias("distance"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_kept, p3_found, p3_formats, p4_found, p7_found, p7_aliases, p7_distances)}
+
+# The twin knows spellings only, by a list of its own.
+_SPELT = """
+            ('fraction', 'fraction'), ('fractions', 'fraction'), ('probability', 'fraction'), ('prob', 'fraction'), ('share price', 'fraction'), ('share price 0-1', 'fraction'), ('0-1', 'fraction'), ('between 0 and 1', 'fraction'), ('ratio', 'fraction'),
+            ('$', 'dollar'), ('usd', 'dollar'), ('dollar', 'dollar'), ('dollars', 'dollar'), ('usd per share', 'dollar'), ('dollars per share', 'dollar'), ('us dollars', 'dollar'), ('usd_dollar', 'dollar'), ('per share', 'dollar'),
+            ('¢', 'cent'), ('c', 'cent'), ('ct', 'cent'), ('cts', 'cent'), ('cent', 'cent'), ('cents', 'cent'), ('us cents', 'cent'), ('usd_cent', 'cent'), ('usd cents', 'cent'), ('c/share', 'cent'), ('cents per share', 'cent'), ('quoted in cents', 'cent'), ('1/100 of a dollar', 'cent'),
+            ('%', 'percent'), ('pct', 'percent'), ('percent', 'percent'), ('per cent', 'percent'), ('percents', 'percent'), ('percentage', 'percent'), ('percentage points', 'percent'), ('in percent', 'percent'),
+            ('bp', 'basis_point'), ('bps', 'basis_point'), ('basis point', 'basis_point'), ('basis points', 'basis_point'), ('1/100 of a percent', 'basis_point'),
+            ('dec', 'decimal_odds'), ('decimal', 'decimal_odds'), ('decimal odds', 'decimal_odds'), ('odds (decimal)', 'decimal_odds'), ('european odds', 'decimal_odds'), ('eu odds', 'decimal_odds'), ('payout per 1 staked', 'decimal_odds'), ('payout per unit', 'decimal_odds'),
+            ('american', 'american_odds'), ('american odds', 'american_odds'), ('us odds', 'american_odds'), ('moneyline', 'american_odds'), ('money line', 'american_odds'), ('odds (american)', 'american_odds')"""
 
 _ABBREVIATED = ", ".join(f"('{name.upper()}', {minutes})" for name, minutes in instants.ABBREVIATIONS.items())
 _READ = r"""
@@ -131,6 +155,12 @@ _READ = r"""
         u AS (SELECT *, timezone(place, wall) AS later FROM l)"""
 
 ORACLE = {
+    # Units by the list of spellings; how far each is from a name no SQL tells (tests compare with all names).
+    "p7_aliases": rf"""
+        WITH u(spelling, unit) AS (VALUES {_SPELT}),
+        item AS (SELECT yes_bid_dollars AS t FROM kalshi_markets UNION ALL SELECT unnest(regexp_extract_all(outcomeprices, '[^\],;|\t\r\n\["''\\]+')) FROM polymarket_markets),
+        found AS (SELECT lower(trim(price_unit)) AS spelling FROM market_quotes UNION SELECT lower(trim(regexp_replace(t, '[0-9]*[.]?[0-9]+', ''))) FROM item)
+        SELECT spelling, unit FROM found JOIN u USING (spelling)""",
     # Where an hour repeats, timezone() gives its second pass; the first one is an hour earlier if that shows the same clock face.
     "p3_found": f"""
         WITH b(name, minutes) AS (VALUES {_ABBREVIATED}), {_READ}
@@ -146,7 +176,7 @@ ORACLE = {
             UNION ALL SELECT 'market_quotes', row_id, 'price', 1, price, u.unit FROM market_quotes q JOIN venue_defaults d ON d.source = q.source JOIN u ON u.spelling = lower(trim(coalesce(q.price_unit, d.price_unit))) WHERE u.unit NOT IN ('fraction', 'dollar') AND price IS NOT NULL
             UNION ALL SELECT 'market_quotes', row_id, 'implied_prob', 1, implied_prob, CASE WHEN implied_prob BETWEEN 2 AND 98 THEN 'percent' ELSE 'basis_point' END FROM market_quotes WHERE implied_prob BETWEEN 2 AND 98 OR implied_prob BETWEEN 200 AND 9800),
         p AS (SELECT *, CASE WHEN unit IN ('fraction', 'dollar') THEN v WHEN unit IN ('cent', 'percent') THEN v / 100 WHEN unit = 'basis_point' THEN v / 10000 WHEN unit = 'decimal_odds' AND v >= 1 THEN 1 / v WHEN unit = 'american_odds' AND v > 0 THEN 100 / (v + 100) WHEN unit = 'american_odds' AND v < 0 THEN v / (v - 100) END AS p FROM every)
-        SELECT table_name, rec_id, field_name, pos, CAST(round(p * 1000000) AS BIGINT) AS prob_millionths FROM p WHERE p BETWEEN 0 AND 1""",
+        SELECT table_name, rec_id, field_name, pos, CAST(round_even(p * 1000000, 0) AS BIGINT) AS prob_millionths FROM p WHERE p BETWEEN 0 AND 1""",
     "p1_found": """
         WITH b AS (SELECT load_id, source, count(*) AS n, count(price) AS np, count(implied_prob) AS ni, count(close_ts) AS nc, count(outcome) AS no, count(*) FILTER (WHERE implied_prob < 0 OR implied_prob > 1) AS bad,
                           count(*) FILTER (WHERE trim(outcome) = '' OR regexp_matches(outcome, '[^A-Za-z0-9 .''-]')) AS off, count(DISTINCT lower(quote_key)) AS nk, median(price) AS m FROM market_quotes GROUP BY load_id, source),

@@ -56,6 +56,25 @@ def test_spellings_find_their_unit(spark):
     assert {s: found.get(" ".join(s.lower().split())) for s in spelt} == spelt
 
 
+def test_index_loses_no_near_name(spark):
+    spelt = ["cnets", "odds decimal", "c/share", "prob", "us cent", "usd_cent", "dec", "quoted in cents", "1/100 of a percent", "1/3 of a cent", "basis ponits", "dollras", "moneylin", "pctt", "b p", "(0-1)", "share price (0 to 1)", "x" * 300, "a b c " * 40]
+    df = spark.createDataFrame([(s,) for s in spelt], "s string").select(units.clean(F.col("s")).alias("spelling"))
+    found = {r["spelling"]: r["distance"] for r in units.aliases(df).collect()}
+    names = [(r["known"], r["unit"]) for r in units.dictionary(spark).collect()]
+    for s in spelt:
+        s = " ".join(s.split())
+        words, by = units.parts(s)
+        least = min(((units.apart(words, k), k) for k, _ in names), key=lambda x: x[0])
+        near = least[0] <= units.MOST_APART * max(len(words), len(least[1])) and s != "1/3 of a cent"
+        assert (s in found) == near and (not near or found[s] == pytest.approx(least[0])), s
+
+
+def test_halves_go_to_the_even_millionth(spark):
+    p = units.millionths(units.to_probability(F.col("v"), F.col("u")))
+    rows = spark.createDataFrame([(5.12, "decimal_odds"), (412.0, "american_odds"), (-412.0, "american_odds"), (55.63, "cent")], "v double, u string").select("v", p.alias("m")).collect()
+    assert {r["v"]: r["m"] for r in rows} == {5.12: 195312, 412.0: 195312, -412.0: 804688, 55.63: 556300}
+
+
 def test_with_unit_keeps_rows_and_takes_defaults(spark):
     df = spark.createDataFrame([(1, "pct", "x"), (2, None, "x"), (3, " ", "x"), (4, "furlongs", "x"), (4, "furlongs", "x")], "id int, u string, _key string")
     out = units.with_unit(df, "u", F.lit("cent"))
