@@ -9,7 +9,7 @@ import sys
 
 from quotemill import __version__
 from quotemill.plans import catalog
-from quotemill.session import session
+from quotemill.session import scope, session
 
 
 def _queries() -> dict:
@@ -55,13 +55,14 @@ def main(argv: list[str] | None = None) -> int:
     if args.query not in queries:
         print(f"no query {args.query}", file=sys.stderr)
         return 2
-    df = queries[args.query](session(), args.folder)
-    if args.command == "explain":
-        df.explain("formatted")
-    elif args.out:
-        df.write.mode("overwrite").parquet(args.out)
-    else:
-        df.show(50, truncate=80)
+    with scope():
+        df = queries[args.query](session(), args.folder)
+        if args.command == "explain":
+            df.explain("formatted")
+        elif args.out:
+            df.write.mode("overwrite").parquet(args.out)
+        else:
+            df.show(50, truncate=80)
     return 0
 
 

@@ -9,6 +9,7 @@ declared date order gives; posteriors choose the reading, or leave the value mar
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.functions.columns import let, stripped, without
+from quotemill.session import Stored
 
 # Zone abbreviations with their offset from UTC in minutes.
 ABBREVIATIONS = {
@@ -142,11 +144,12 @@ class Signature:
     n: int
 
 
-def mixture(signatures: Iterable[Signature], rounds: int = 50) -> dict[tuple[str, str, tuple[tuple[str, int], ...]], list[float]]:
+def mixture(signatures: Iterable[Signature], rounds: int = 10_000) -> dict[tuple[str, str, tuple[tuple[str, int], ...]], list[float]]:
     """The posteriors of each signature's readings, by (source, order, readings), after EM over a source's format weights and months.
 
     Its input is one row for each different set of readings, so its size is bounded by the layouts
-    and the months of PLAUSIBLE and doesn't grow with the rows.
+    and the months of PLAUSIBLE and doesn't grow with the rows. EM ends when no weight moves any more; a
+    source that hasn't settled after `rounds` is named in a warning.
     """
     out = {}
     by_source: dict[str, list[Signature]] = {}
@@ -173,6 +176,8 @@ def mixture(signatures: Iterable[Signature], rounds: int = 50) -> dict[tuple[str
             weight, usual = {f: x / tw for f, x in new_w.items()}, {m: x / tu for m, x in new_u.items()}
             if change < 1e-9:
                 break
+        else:
+            warnings.warn(f"format mixture of {source!r} not settled after {rounds} rounds", stacklevel=2)
         out |= {(source, s.order, s.readings): p for s, p in zip(group, post)}
     return out
 
@@ -191,6 +196,7 @@ def normalise(df: DataFrame, text: Column, source: Column, default_zone: Column,
     kept = without(df, "utc_micros", "time_format", "posterior", "time_status").columns
     read = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), readings(text).alias("_r"), F.coalesce(source, F.lit("")).alias("_source"), default_zone.alias("_zone"), F.coalesce(date_order if date_order is not None else F.lit(None), F.lit("")).alias("_order"))
     read = read.withColumn("_sig", F.transform("_r", lambda r: F.struct(r["format"].alias("format"), month(r).alias("month"))))
+    read = Stored(read).df  # every text is read once, for the mixture and for the result
     open_ = F.size("_r") > 1
     # Values with one reading only say how usual formats and months are; both tables are bounded.
     found = read.filter(F.size("_r") > 0).groupBy("_source", "_order", "_sig").agg(F.count("*").alias("n")).collect()

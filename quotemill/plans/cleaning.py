@@ -38,22 +38,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages of raw_records, one copy each, the first delivered kept."""
     _, df, identity, key = _copies(spark, sf_dir)[0]
-    return dedup.keep_one(df, identity, ["delivered_ts", key])
+    return dedup.keep_one(df, identity, ["delivered_ts", key], key)
 
 
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    defaults = F.broadcast(table(spark, sf_dir, "venue_defaults").select("source", "zone_name", "date_order"))  # a row a venue
-    parts = []
-    for name, field, venue in (("kalshi_markets", "close_time", "kalshi"), ("manifold_markets", "closetime", "manifold"), ("odds_events", "commence_time", "oddsapi")):
-        rows = table(spark, sf_dir, name).select(F.lit(name).alias("table_name"), "rec_id", F.lit(field).alias("field_name"), F.col(field).alias("text"), F.lit(venue).alias("source"))
-        parts.append(rows.join(defaults, "source", "left"))
-    stations = F.broadcast(table(spark, sf_dir, "forecast_stations").select("station", "zone_name").dropDuplicates(["station"]))  # fixed list
-    rows = table(spark, sf_dir, "forecast_periods").select(F.lit("forecast_periods").alias("table_name"), "rec_id", F.lit("starttime").alias("field_name"), F.col("starttime").alias("text"), F.lit("forecast").alias("source"), "station")
-    parts.append(rows.join(stations, "station", "left").drop("station").withColumn("date_order", F.lit("mdy")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return instants.normalise(out, F.col("text"), F.col("source"), F.col("zone_name"), F.col("date_order"))
+    defaults = table(spark, sf_dir, "venue_defaults").groupBy("source").agg(F.min("zone_name").alias("venue_zone"), F.min("date_order").alias("date_order"))  # a row a venue
+    stations = table(spark, sf_dir, "forecast_stations").groupBy("station").agg(F.min("zone_name").alias("station_zone"))
+    out = None
+    for name, field, venue in (("kalshi_markets", "close_time", "kalshi"), ("manifold_markets", "closetime", "manifold"), ("odds_events", "commence_time", "oddsapi"), ("forecast_periods", "starttime", "forecast")):
+        station = F.col("station") if venue == "forecast" else F.lit(None).cast("string").alias("station")
+        rows = table(spark, sf_dir, name).select(F.lit(name).alias("table_name"), "rec_id", F.lit(field).alias("field_name"), F.col(field).alias("text"), F.lit(venue).alias("source"), station)
+        out = rows if out is None else out.unionByName(rows)
+    out = out.join(F.broadcast(defaults), "source", "left").join(F.broadcast(stations), "station", "left")  # both fixed lists
+    return instants.normalise(out.drop("station"), F.col("text"), F.col("source"), F.coalesce("station_zone", "venue_zone"), F.coalesce("date_order", F.lit("mdy")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,12 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs and tests)."""
+    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder, else one of our own on a single machine.
+
+    Raises ValueError on a cluster that names none: a machine's own folder would lose rows there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quotemill-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -67,6 +75,19 @@ class Stored:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """What Stored writes inside goes at the end; a result that reads it must be written or collected before."""
+    before = set(_left)
+    try:
+        yield
+    finally:
+        for path in set(_left) - before:
+            stored = Stored.__new__(Stored)
+            stored.spark, stored.path = _left[path], path
+            stored.drop()
+
+
 @atexit.register
 def _clear() -> None:
     for path, spark in list(_left.items()):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotemill.operators.dedup import keep_one
 from quotemill.operators.latest import keep_last
@@ -54,15 +57,24 @@ def write_quotes(rows: DataFrame, root: str) -> None:
     _write(rows, f"{root}/clean", QUOTE_KEY, ["price"])
 
 
+def _merged(rows: DataFrame, path: str, key: list[str], order: str) -> DataFrame:
+    """rows together with what is there of the snapshots they touch, one copy of each key, the new one winning."""
+    old = _read(rows.sparkSession, path)
+    if old is None:
+        return rows
+    kept = _same(old, _stamped(rows), SNAPSHOT, "left_semi").drop("date", "snapshot")
+    # What is replaced is read first, so it goes by way of the shared folder.
+    return Stored(keep_last([kept, rows], key, [F.col(order).asc_nulls_last()])).df
+
+
 def merge_quotes(rows: DataFrame, root: str) -> None:
     """Adds quotes to the snapshots they belong to without losing what is there: touched snapshots are read, joined with the new rows and replaced."""
-    spark = rows.sparkSession
-    old = _read(spark, f"{root}/clean")
-    if old is not None:
-        kept = _same(old, _stamped(rows), SNAPSHOT, "left_semi").drop("date", "snapshot")
-        # What is replaced is read first, so it goes by way of the shared folder.
-        rows = Stored(keep_last([kept, rows], QUOTE_KEY, [F.col("price").asc_nulls_last()])).df
-    write_quotes(rows, root)
+    write_quotes(_merged(rows, f"{root}/clean", QUOTE_KEY, "price"), root)
+
+
+def merge_raw(records: DataFrame, root: str) -> None:
+    """Raw records likewise."""
+    write_raw(_merged(records, f"{root}/raw", RAW_KEY, "payload"), root)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -73,17 +85,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     if not exists(spark, path):
         return None
-    # Partition values stay text, so that stamps don't turn into numbers.
-    before = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
+        found = spark.read.option("mergeSchema", "true").parquet(path).schema
     except AnalysisException as e:
         if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # a zone that only empty batches were written to
             return None
         raise
-    finally:
-        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", before)
+    # Partition values stay text, whatever they look like.
+    texts = T.StructType([T.StructField(f.name, T.StringType() if f.name in PARTS else f.dataType) for f in found.fields])
+    return spark.read.schema(texts).parquet(path)
 
 
 def read_quotes(spark: SparkSession, root: str, source: str | None = None) -> DataFrame | None:
@@ -116,40 +126,58 @@ def sources(spark: SparkSession, root: str) -> list[str]:
 
 def resolutions(spark: SparkSession, *paths: str) -> DataFrame:
     """Outcomes from CSV files (market_id, outcome), a later file's winning over an earlier one's."""
-    parts = [spark.read.csv(p, header=True, schema="market_id string, outcome int, note string").select("market_id", "outcome").filter("market_id is not null and outcome is not null") for p in paths]
+    parts = [spark.read.csv(_current(spark, p) or p, header=True, schema="market_id string, outcome int, note string").select("market_id", "outcome").filter("market_id is not null and outcome is not null") for p in paths]
     return keep_last(parts, ["market_id"], [F.desc("outcome")])
 
 
 def upsert_outcomes(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Outcomes (market_id, outcome) put into a CSV file's folder: a new one wins over what is there. Written beside it and then swapped in, so a reader never meets half a file."""
+    """Outcomes (market_id, outcome) put into a folder of CSV files: a new one wins over what is there. Each time is a version of its own, so a reader meets the last whole one."""
     parts = [new.select("market_id", F.col("outcome").cast("int").alias("outcome")).filter("market_id is not null and outcome is not null")]
     if exists(spark, path):
         parts.insert(0, resolutions(spark, path))
-    fresh = f"{path}.new"
-    keep_last(parts, ["market_id"], [F.desc("outcome")]).withColumn("note", F.lit("")).coalesce(1).write.mode("overwrite").csv(fresh, header=True)
-    _swap(spark, fresh, path)
+    rows = keep_last(parts, ["market_id"], [F.desc("outcome")]).withColumn("note", F.lit(""))
+    _next(spark, path, lambda version: rows.coalesce(1).write.csv(version, header=True))
 
 
 def write_state(spark: SparkSession, path: str, **values: float | int | str) -> None:
-    """A handful of named values as one row of JSON, swapped in whole."""
-    spark.createDataFrame([tuple(values.values())], list(values)).coalesce(1).write.mode("overwrite").json(f"{path}.new")
-    _swap(spark, f"{path}.new", path)
+    """A handful of named values as one row of JSON, a version of its own."""
+    row = spark.createDataFrame([tuple(values.values())], list(values))
+    _next(spark, path, lambda version: row.coalesce(1).write.json(version))
 
 
 def read_state(spark: SparkSession, path: str, name: str, default: float) -> float:
     """A named value of a state, or the default where there is none yet."""
     if not exists(spark, path):
         return default
-    row = spark.read.schema(f"{name} double").json(path).first()
+    row = spark.read.schema(f"{name} double").json(_current(spark, path) or path).first()
     return default if row is None or row[name] is None else row[name]
 
 
-def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The whole versions below a path, the oldest first."""
     at = spark._jvm.org.apache.hadoop.fs.Path
     files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(at(path)):
-        files.delete(at(path), True)
-    files.rename(at(fresh), at(path))
+    if not files.exists(at(path)) or not files.getFileStatus(at(path)).isDirectory():
+        return []
+    names = sorted(s.getPath().getName() for s in files.listStatus(at(path)))
+    return [f"{path}/{n}" for n in names if n.startswith("version-") and files.exists(at(f"{path}/{n}/_SUCCESS"))]
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    found = _versions(spark, path)
+    return found[-1] if found else None
+
+
+def _next(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Writes the next version; it counts once it is whole. The one before stays for readers that have begun, older ones go."""
+    found = _versions(spark, path)
+    number = int(found[-1].rpartition("-")[2]) + 1 if found else 1
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files, fresh = at(path).getFileSystem(spark._jsc.hadoopConfiguration()), f"{path}/version-{number:012d}"
+    files.delete(at(fresh), True)  # half written by one that failed
+    write(fresh)
+    for old in found[:-1]:
+        files.delete(at(old), True)
 
 
 def overrides(spark: SparkSession, path: str) -> DataFrame:

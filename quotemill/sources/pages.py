@@ -15,19 +15,20 @@ class Series(InputPartition):
 
 
 class PagedReader(DataSourceReader):
-    """Follows the cursors of each series, max_pages at most, one task a series."""
+    """Follows the cursors of each series to the end, or max_pages at most where that is set, one task a series. A cursor that comes again ends a series."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.folder, self.items = options["path"], options.get("items", "markets")
-        self.most = int(options.get("max_pages", "3"))
+        self.most = int(options.get("max_pages", "0"))
         self.series = [s for s in options.get("series", "").split(",") if s]
 
     def partitions(self) -> list[Series]:
         return [Series(s) for s in dict.fromkeys(self.series or sorted(os.listdir(self.folder)))]
 
     def read(self, partition: Series) -> Iterator[tuple[str, str, str]]:
-        page, seen = "first", 0
-        while page and seen < self.most:
+        page, seen = "first", set()
+        while page and page not in seen and (not self.most or len(seen) < self.most):
+            seen.add(page)
             path = os.path.join(self.folder, partition.name, f"{page}.json")
             if not os.path.exists(path):
                 return
@@ -35,11 +36,11 @@ class PagedReader(DataSourceReader):
                 body = json.load(f)
             for item in body.get(self.items) or []:
                 yield partition.name, page, json.dumps(item)
-            page, seen = body.get("cursor") or "", seen + 1
+            page = body.get("cursor") or ""
 
 
 class PagedJson(DataSource):
-    """Options: path (a folder of series, each a folder of <cursor>.json from first.json on), series (comma-separated, default all), items (the list's name), max_pages."""
+    """Options: path (a folder of series, each a folder of <cursor>.json from first.json on), series (comma-separated, default all), items (the list's name), max_pages (default all)."""
 
     @classmethod
     def name(cls) -> str:

@@ -43,7 +43,9 @@ def land_quotes(root: str) -> Callable[[DataFrame, int], None]:
         batch = batch.persist()  # several passes over one micro-batch, whose size the source's limits bound
         try:
             batch.filter("damaged is not null").select("damaged").write.mode("overwrite").parquet(f"{root}/damaged/batch={number}")
-            lake.merge_quotes(venues.quotes(batch.filter("damaged is null").drop("damaged")), root)
+            whole = batch.filter("damaged is null").drop("damaged")
+            lake.merge_raw(whole, root)
+            lake.merge_quotes(venues.quotes(whole), root)
         finally:
             batch.unpersist()
 

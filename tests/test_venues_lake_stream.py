@@ -228,3 +228,65 @@ def test_data_tests_and_lookup(spark):
     assert {r["i"]: r["found"]["v"] if r["found"] else None for r in measures.lookup_or_first(left, right, "g", "d", "o").collect()} == {1: 11, 2: 10, 3: None}
     blocks = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "c")], "category string, source string")
     assert [(r["source"], r["categories"]) for r in measures.coverage_gaps(blocks).collect()] == [("c", ["y"])]
+
+
+def test_scope_drops_what_it_stored(spark):
+    import os
+
+    from quotemill.session import Stored, scope
+
+    with scope():
+        kept = Stored(spark.range(3))
+        where = kept.path.removeprefix("file:").replace("//", "/")
+        assert kept.df.count() == 3 and os.path.exists(where)
+    assert not os.path.exists(where)
+
+
+def test_a_cluster_must_name_a_shared_folder(spark):
+    from types import SimpleNamespace as N
+
+    from quotemill.session import shared_folder
+
+    undefined = N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))
+    cluster = N(conf=N(get=lambda *a: None), sparkContext=N(master="spark://head:7077", _jsc=undefined))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
+    cluster.conf = N(get=lambda *a: "/shared")
+    assert shared_folder(cluster) == "/shared"
+
+
+def test_versions_are_met_whole(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "outcomes")
+    for i in range(4):
+        lake.upsert_outcomes(spark, spark.createDataFrame([("m", i % 2), (f"x{i}", 1)], "market_id string, outcome int"), path)
+    assert {r["market_id"]: r["outcome"] for r in lake.resolutions(spark, path).collect()} == {"m": 1, "x0": 1, "x1": 1, "x2": 1, "x3": 1}
+    os.makedirs(f"{path}/version-{99:012d}")  # one that failed half way
+    assert lake.resolutions(spark, path).count() == 5 and len([n for n in os.listdir(path) if n.startswith("version-")]) == 3
+
+
+def test_pages_go_to_the_end_and_stop_at_a_loop(spark, tmp_path):
+    import json
+
+    from quotemill.sources import pages
+
+    spark.dataSource.register(pages.PagedJson)
+    for series, cursors in {"long": ["first", "b", "c", "d", "e", ""], "loop": ["first", "b", "first"]}.items():
+        (tmp_path / series).mkdir()
+        for here, after in zip(cursors, cursors[1:]):
+            (tmp_path / series / f"{here}.json").write_text(json.dumps({"markets": [{"at": here}], "cursor": after}))
+    read = lambda **o: sorted((r["series"], r["page"]) for r in spark.read.format("paged_json").options(path=str(tmp_path), **o).load().collect())
+    assert read() == [("long", x) for x in ("b", "c", "d", "e", "first")] + [("loop", "b"), ("loop", "first")]
+    assert len(read(max_pages="2")) == 4
+
+
+def test_landing_keeps_raw_records(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    rows = [("manifold", f"m{i}", "2024-01-01T00:00:00Z", '{"outcomeType": "BINARY", "probability": 0.5, "question": "q"}', None) for i in range(3)] + [(None, None, None, None, "junk")]
+    decoded = spark.createDataFrame(rows, "source string, market_id string, snapshot_ts string, payload string, damaged string").withColumn("snapshot_ts", F.to_timestamp("snapshot_ts"))
+    land = topic.land_quotes(root)
+    land(decoded.limit(2), 0)
+    land(decoded, 1)
+    land(decoded, 1)
+    assert lake.read_raw(spark, root).count() == 3 and lake.read_quotes(spark, root).count() == 3 and spark.read.parquet(f"{root}/damaged").count() == 1
