@@ -109,14 +109,40 @@ def medians(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return at.groupBy(*keys).agg(((ends[0] + ends[1]) / 2).alias("median"))
 
 
-def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, ranges: dict[str, tuple[float, float]] | None = None, patterns: dict[str, str] | None = None, sketch: bool = True) -> DataFrame:
-    """One row for each group and column: keys, column_name, n_rows, n_null, n_values, null_rate, approx_distinct, min_value, max_value, n_out_of_range, n_blank, n_off_pattern, s1..s4, sum1..sum4 (see power_sums), mean, stddev, skewness, kurtosis.
-
-    One pass and one shuffle of a row a task and group: everything is a mergeable aggregate
-    (distincts by a mergeable sketch, relative deviation 1 %, left out without sketch). ranges gives closed bounds of numbers,
-    patterns the regex that a whole text must match; violations are counted among non-null values,
-    blank texts also count as off pattern. NaN is missing. Arrays and structs get nulls and counts
-    only. An empty table gives no rows.
+def _identity(v: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """A value as two whole numbers of fixed width that are the same for the same values only: exact up to 8 bytes, 128 bits of digests for longer ones."""
+    fixed = isinstance(kind, (T.IntegralType, T.DoubleType, T.FloatType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        v = v + F.lit(0.0)  # both zeros are one
+    return F.xxhash64(v), F.lit(0).cast("bigint") if fixed else F.xxhash64(F.lit("second"), v)
+
+
+def distincts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """How many different non-null values each group has by column: keys, column_name, n_distinct; columns without a value have no row.
+
+    Grouped distincts: every value of every column is one narrow row (_identity), repeats go map-side
+    before the shuffle, and what is shuffled is the distinct values, spread by their digests, so a group
+    that holds a third of all rows is no hot task.
+    """
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    values = []
+    for c in columns:
+        v = present(F.col(f"`{c}`"), fields[c])
+        x, y = _identity(v, fields[c])
+        values.append(F.when(v.isNotNull(), F.struct(F.lit(c).alias("column_name"), x.alias("_x"), y.alias("_y"))))
+    rows = df.select(*keys, F.inline(F.array_compact(F.array(*values))))
+    return rows.groupBy(*keys, "column_name", "_x", "_y").agg(F.lit(1).alias("one")).groupBy(*keys, "column_name").agg(F.count("*").alias("n_distinct"))
+
+
+def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, ranges: dict[str, tuple[float, float]] | None = None, patterns: dict[str, str] | None = None, distinct: Sequence[str] | None = None) -> DataFrame:
+    """One row for each group and column: keys, column_name, n_rows, n_null, n_values, null_rate, n_distinct, min_value, max_value, n_out_of_range, n_blank, n_off_pattern, s1..s4, sum1..sum4 (see power_sums), mean, stddev, skewness, kurtosis.
+
+    Two passes: one of mergeable aggregates, which shuffles a row a task and group, and grouped
+    distincts (see distincts), of the columns in distinct (default all that are no arrays, maps or
+    structs; the others' n_distinct is null). ranges gives closed bounds of numbers, patterns the regex
+    that a whole text must match; violations are counted among non-null values, blank texts also count
+    as off pattern. NaN is missing. Arrays and structs get nulls and counts only. An empty table gives
+    no rows.
     """
     ranges, patterns = ranges or {}, patterns or {}
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -128,7 +154,7 @@ def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None =
         number, text, plain = isinstance(kind, T.NumericType), isinstance(kind, T.StringType), isinstance(kind, T.AtomicType)
         null = F.lit(None)
         parts = {
-            "n_rows": F.count("*"), "n_values": F.count(v), "approx_distinct": F.approx_count_distinct(v, 0.01) if plain and sketch else null.cast("bigint"),
+            "n_rows": F.count("*"), "n_values": F.count(v),
             "min_value": F.min(v).cast("string") if plain else null.cast("string"), "max_value": F.max(v).cast("string") if plain else null.cast("string"),
             "n_out_of_range": F.count_if((v < ranges[c][0]) | (v > ranges[c][1])) if c in ranges else null.cast("bigint"),
             "n_blank": F.count_if(F.trim(v) == "") if text else null.cast("bigint"),
@@ -136,35 +162,62 @@ def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None =
         }
         sums = power_sums(v.cast("double")) if number else [null.cast("decimal(38,0)")] * 4 + [null.cast("double")] * 4
         aggregates += [x.alias(f"{n}_{i}") for n, x in parts.items()] + [x.alias(f"{n}_{i}") for n, x in zip(SUMS, sums)]
-    names = ["n_rows", "n_values", "approx_distinct", "min_value", "max_value", "n_out_of_range", "n_blank", "n_off_pattern", *SUMS]
+    names = ["n_rows", "n_values", "min_value", "max_value", "n_out_of_range", "n_blank", "n_off_pattern", *SUMS]
     wide = df.groupBy(*keys).agg(*aggregates)
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{n}_{i}").alias(n) for n in names]) for i, c in enumerate(columns)])
     long = wide.select(*keys, F.inline(rows))
+    plain = [c for c in columns if isinstance(fields[c], T.AtomicType)]
+    counted = [c for c in (plain if distinct is None else distinct) if c in columns]
+    if counted:
+        per = distincts(df, keys, counted).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("column_name").alias("_column"), "n_distinct")
+        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("column_name") == F.col("_column")]
+        long = long.join(per, on, "left").drop("_column", *[f"_{k}" for k in keys])
+        long = long.withColumn("n_distinct", F.when(F.col("column_name").isin(counted), F.coalesce("n_distinct", F.lit(0))))
+    else:
+        long = long.withColumn("n_distinct", null.cast("bigint"))
     out = long.withColumns({"n_null": F.col("n_rows") - F.col("n_values"), "null_rate": (F.col("n_rows") - F.col("n_values")) / F.col("n_rows")})
     return moments(out)
 
 
+def shift_in_doubt(moments: DataFrame, load: str, source: str, limit: float = 3.0) -> DataFrame:
+    """The sources with a load that the moments alone can't clear of a shift: source.
+
+    A median lies within one deviation of the mean, so the median of a source's load medians lies
+    between the medians of the loads' lower and upper bounds; a load whose own bounds stay within
+    1/limit and limit times of those isn't shifted whatever its values are. One row a load goes in.
+    """
+    low, high = F.col("mean") - F.col("stddev"), F.col("mean") + F.col("stddev")
+    w = Window.partitionBy(source)
+    rows = moments.select(load, source, low.alias("low"), high.alias("high")).withColumns({"least": F.median("low").over(w), "most": F.median("high").over(w)})
+    clear = (F.col("least") > 0) & (F.col("low") * limit >= F.col("most") * (1 + 1e-9)) & (F.col("high") * (1 + 1e-9) <= F.col("least") * limit)
+    return rows.filter(F.col("low").isNotNull() & ~F.coalesce(clear, F.lit(False))).select(source).distinct()
+
+
 def out_of_line(quotes: DataFrame, health: DataFrame, load: str = "load_id", source: str = "source") -> DataFrame:
     """What is out of line in market quotes, by load and source: load_id, source, column_name, issue.
 
     The issues are those of problem 1 in TESTDATA.md: null_rate, duplicates, range, pattern,
-    constant, shift, report. Shares are compared with the median of the source's loads. Two shuffles
-    follow the input: distinct (group, quote key) and distinct (group, price), both reduced map-side;
-    all else is one row a group and task. Null or NaN values are missing; a null outcome is no
+    constant, shift, report. All counts are those of `profile`, the key's distincts too; shares are
+    compared with the median of the source's loads. A shift is defined by medians: the power sums clear
+    the sources where no load can be shifted, the exact medians of the others follow as a check.
+    Two shuffles follow the input: distinct (group, quote key) and distinct (group, price),
+    both reduced map-side; all else is one row a group and task. Null or NaN values are missing; a null outcome is no
     pattern violation; a group with no values at all has no range, constant or shift issue. An empty
     table gives no rows.
     """
     keys = [load, source]
     price = present(F.col("price"), quotes.schema["price"].dataType)
-    long = profile(quotes, keys, ["price", "implied_prob", "close_ts", "outcome"], {"implied_prob": (0.0, 1.0)}, {"outcome": "[A-Za-z0-9 .'-]*"}, sketch=False)
+    folded = quotes.select(*keys, "price", "implied_prob", "close_ts", "outcome", F.lower("quote_key").alias("quote_key"))
+    long = profile(folded, keys, ranges={"implied_prob": (0.0, 1.0)}, patterns={"outcome": "[A-Za-z0-9 .'-]*"}, distinct=["quote_key"])
     of = lambda column, value: F.max(F.when(F.col("column_name") == column, F.col(value)))
     base = long.groupBy(*keys).agg(
         F.max("n_rows").alias("n"), of("price", "n_values").alias("n_price"), of("implied_prob", "n_values").alias("n_prob"), of("close_ts", "n_values").alias("n_close"), of("outcome", "n_values").alias("n_outcome"),
-        of("implied_prob", "n_out_of_range").alias("n_range"), of("outcome", "n_off_pattern").alias("n_off"),
+        of("implied_prob", "n_out_of_range").alias("n_range"), of("outcome", "n_off_pattern").alias("n_off"), of("quote_key", "n_distinct").alias("n_keys"),
     )
-    ids = quotes.select(*keys, F.lower("quote_key").alias("k")).filter("k is not null").groupBy(*keys, "k").agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count("*").alias("n_keys"))
     counts = value_counts(quotes, keys, price)
-    base = base.join(ids, keys, "left").join(top_share(counts, keys), keys, "left").join(medians(counts, keys), keys, "left")
+    doubt = shift_in_doubt(long.filter("column_name = 'price'"), load, source)
+    middle = medians(counts.join(F.broadcast(doubt), source, "left_semi"), keys)  # a row a source
+    base = base.join(top_share(counts, keys), keys, "left").join(middle, keys, "left")
     reported = health.select(*keys, F.col("null_rate").alias("h_null"), F.col("duplicate_rate").alias("h_dup"), F.col("prob_violations").alias("h_range"))
     shares = base.join(reported, keys, "left").select(
         *keys, "top_share", "median", "h_null", "h_dup", "h_range", "n_range",
@@ -183,3 +236,9 @@ def out_of_line(quotes: DataFrame, health: DataFrame, load: str = "load_id", sou
     ]
     flagged = shares.select(*keys, F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("issue"))) for c, i, rule in rules])).alias("found"))
     return flagged.select(*keys, F.inline("found"))
+
+
+def price_shift(quotes: DataFrame, load: str = "load_id", source: str = "source", column: str = "price") -> DataFrame:
+    """How far each load's values lie from the source's other loads: load, source, n_values, mean, stddev, std_diff (6 places), from the power sums of profile; all null without values."""
+    found = standardised_difference(profile(quotes.select(load, source, column), [load, source], distinct=[]), load, [source])
+    return found.select(load, source, "n_values", *[F.round(c, 6).alias(c) for c in ("mean", "stddev", "std_diff")])

@@ -22,6 +22,16 @@ def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.standardised_difference(found, "load_id", ["source", "column_name"])
 
 
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of p1_profile: rows, nulls, distincts, values out of range, blank or off pattern, by load, source and column."""
+    return p1_profile(spark, sf_dir).select("load_id", "source", "column_name", "n_rows", "n_null", "n_distinct", "n_out_of_range", "n_blank", "n_off_pattern")
+
+
+def p1_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each load's mean price, its deviation, and its standardised difference from the source's other loads."""
+    return profile.price_shift(table(spark, sf_dir, "market_quotes"))
+
+
 def _copies(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, dict, str]]:
     return [
         ("raw_records", table(spark, sf_dir, "raw_records"), {"source": F.lower("source"), "market_id": stripped(F.col("market_id")), "snapshot_ts": F.col("snapshot_ts")}, "rec_id"),
@@ -113,7 +123,7 @@ def p7_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.proposals(_spellings(spark, sf_dir)).select("spelling", "known", "unit", "shared", F.round("distance", 4).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_kept, p3_found, p3_formats, p4_found, p7_found, p7_aliases, p7_distances)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_counts, p1_shift, p2_found, p2_kept, p3_found, p3_formats, p4_found, p7_found, p7_aliases, p7_distances)}
 
 # The twin knows spellings only, by a list of its own.
 _SPELT = """
@@ -151,7 +161,26 @@ _READ = r"""
             SELECT w.*, CASE WHEN regexp_matches(z, '^[+-]') THEN CAST(substr(z, 1, 1) || '1' AS INTEGER) * (CAST(substr(z, 2, 2) AS INTEGER) * 60 + CAST(right(z, 2) AS INTEGER)) ELSE b.minutes END AS shift, CASE WHEN contains(z, '/') THEN g['z'] ELSE zone END AS place FROM w LEFT JOIN b ON b.name = w.z),
         u AS (SELECT *, timezone(place, wall) AS later FROM l)"""
 
+_TEXTS = ("quote_key", "market_id", "outcome", "title", "price_unit")
+_OTHERS = ("row_id", "price", "implied_prob", "fee_adj_prob", "spread", "trade_cost", "price_is_stale", "snapshot_ts", "close_ts", "arrived_ts")
+
+
+def _column_counts(c: str) -> str:
+    beyond = f"count(*) FILTER (WHERE {c} < 0 OR {c} > 1)" if c in ("implied_prob", "fee_adj_prob") else "NULL"
+    blank = f"count(*) FILTER (WHERE trim({c}) = '')" if c in _TEXTS else "NULL"
+    off = {"outcome": "[A-Za-z0-9 .''-]*", "quote_key": "[0-9A-Fa-f]{32}"}.get(c)
+    off = f"count(*) FILTER (WHERE trim({c}) = '' OR NOT regexp_full_match({c}, '{off}'))" if off else "NULL"
+    return f"SELECT load_id, source, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, CAST({beyond} AS BIGINT) AS n_out_of_range, CAST({blank} AS BIGINT) AS n_blank, CAST({off} AS BIGINT) AS n_off_pattern FROM market_quotes GROUP BY load_id, source"
+
+
 ORACLE = {
+    "p1_counts": " UNION ALL ".join(_column_counts(c) for c in (*_TEXTS, *_OTHERS)),
+    # Sums by load as decimals, those of the other loads as differences.
+    "p1_shift": """
+        WITH b AS (SELECT load_id, source, count(price) AS n, CAST(sum(CAST(price AS DECIMAL(18, 4))) AS DECIMAL(38, 8)) AS s, sum(CAST(CAST(price AS DECIMAL(18, 4)) * CAST(price AS DECIMAL(18, 4)) AS DECIMAL(38, 8))) AS q FROM market_quotes GROUP BY load_id, source),
+        o AS (SELECT *, sum(n) OVER w - n AS on_, CAST(sum(s) OVER w - s AS DOUBLE) AS os, CAST(sum(q) OVER w - q AS DOUBLE) AS oq FROM b WINDOW w AS (PARTITION BY source))
+        SELECT load_id, source, n AS n_values, round(CAST(s AS DOUBLE) / nullif(n, 0), 6) AS mean, round(sqrt(greatest(CAST(q AS DOUBLE) / nullif(n, 0) - pow(CAST(s AS DOUBLE) / nullif(n, 0), 2), 0)), 6) AS stddev,
+               round((CAST(s AS DOUBLE) / nullif(n, 0) - os / nullif(on_, 0)) / nullif(sqrt(greatest(oq / nullif(on_, 0) - pow(os / nullif(on_, 0), 2), 0)), 0), 6) AS std_diff FROM o""",
     # Units by the list of spellings; how far each is from a name no SQL tells (tests compare with all names).
     "p7_aliases": rf"""
         WITH u(spelling, unit) AS (VALUES {_SPELT}),

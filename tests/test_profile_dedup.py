@@ -122,3 +122,33 @@ def test_surplus_is_what_keep_one_drops(spark):
     assert {r["id"] for r in dedup.surplus_copies(df, identity, "id", ["t", "id"]).collect()} == every - kept
     assert {r["id"] for r in dedup.surplus_copies(df, identity, "id").collect()} == {2, 3, 7}
     assert dedup.surplus_copies(df.limit(0), identity, "id").count() == 0
+
+
+def test_moments_clear_only_what_medians_clear(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    loads = {("tight", i): [rng.uniform(0.4, 0.6) for _ in range(40)] for i in range(5)}
+    loads |= {("wide", i): [rng.choice([0.1, 9.0, 50.0]) for _ in range(40)] for i in range(5)}
+    loads |= {("moved", i): [rng.uniform(0.4, 0.6) * (8 if i == 2 else 1) for _ in range(40)] for i in range(5)} | {("none", 0): []}
+    rows = [(i, s, v) for (s, i), vs in loads.items() for v in vs] + [(0, "none", None)]
+    df = spark.createDataFrame(rows, "load_id int, source string, price double")
+    found = {r["source"] for r in profile.shift_in_doubt(profile.profile(df, ["load_id", "source"], distinct=[]), "load_id", "source").collect()}
+    assert "tight" not in found and {"moved", "wide"} <= found
+    for s in ("tight", "wide", "moved"):
+        own = [statistics.median(vs) for (x, _), vs in loads.items() if x == s]
+        assert s in found or all(1 / 3 <= m / statistics.median(own) <= 3 for m in own)
+
+
+def test_distincts_are_exact(spark):
+    nan, many = float("nan"), [f"text {i % 700} {'long' * 40}" for i in range(2000)]
+    rows = [(i % 3 == 0, t, float(i % 50) if i % 7 else nan, -0.0 if i % 2 else 0.0, i % 11) for i, t in enumerate(many)] + [(True, None, None, None, None)]
+    df = spark.createDataFrame(rows, "g boolean, t string, d double, z double, n int")
+    found = {(r["g"], r["column_name"]): r["n_distinct"] for r in profile.distincts(df, ["g"], ["t", "d", "z", "n"]).collect()}
+    for g in (True, False):
+        mine = [r for r in rows if r[0] == g]
+        for k, c in enumerate("tdzn", 1):
+            assert found[g, c] == len({r[k] for r in mine if r[k] is not None and r[k] == r[k]}), (g, c)
+    whole = profile.profile(df.withColumn("g", F.lit(None).cast("string")), ["g"])
+    assert {r["column_name"]: r["n_distinct"] for r in whole.collect()}["n"] == 11
