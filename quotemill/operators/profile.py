@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quotemill.session import Stored
+
 #: Decimal places that the exact power sums keep of a value.
 PLACES = 4
 #: Columns of power_sums.
@@ -134,14 +136,15 @@ def distincts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
     return rows.groupBy(*keys, "column_name", "_x", "_y").agg(F.lit(1).alias("one")).groupBy(*keys, "column_name").agg(F.count("*").alias("n_distinct"))
 
 
-def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, ranges: dict[str, tuple[float, float]] | None = None, patterns: dict[str, str] | None = None, distinct: Sequence[str] | None = None) -> DataFrame:
+def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, ranges: dict[str, tuple[float, float]] | None = None, patterns: dict[str, str] | None = None, distinct: Sequence[str] | None = None, text_bounds: bool = True) -> DataFrame:
     """One row for each group and column: keys, column_name, n_rows, n_null, n_values, null_rate, n_distinct, min_value, max_value, n_out_of_range, n_blank, n_off_pattern, s1..s4, sum1..sum4 (see power_sums), mean, stddev, skewness, kurtosis.
 
     Two passes: one of mergeable aggregates, which shuffles a row a task and group, and grouped
     distincts (see distincts), of the columns in distinct (default all that are no arrays, maps or
     structs; the others' n_distinct is null). ranges gives closed bounds of numbers, patterns the regex
     that a whole text must match; violations are counted among non-null values, blank texts also count
-    as off pattern. NaN is missing. Arrays and structs get nulls and counts only. An empty table gives
+    as off pattern. Without text_bounds texts have no min_value and max_value, which keeps the pass a
+    hash aggregate. NaN is missing. Arrays and structs get nulls and counts only. An empty table gives
     no rows.
     """
     ranges, patterns = ranges or {}, patterns or {}
@@ -152,10 +155,10 @@ def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None =
         kind = fields[c]
         v = present(F.col(f"`{c}`"), kind)
         number, text, plain = isinstance(kind, T.NumericType), isinstance(kind, T.StringType), isinstance(kind, T.AtomicType)
-        null = F.lit(None)
+        bounded, null = plain and (text_bounds or not text), F.lit(None)
         parts = {
             "n_rows": F.count("*"), "n_values": F.count(v),
-            "min_value": F.min(v).cast("string") if plain else null.cast("string"), "max_value": F.max(v).cast("string") if plain else null.cast("string"),
+            "min_value": F.min(v).cast("string") if bounded else null.cast("string"), "max_value": F.max(v).cast("string") if bounded else null.cast("string"),
             "n_out_of_range": F.count_if((v < ranges[c][0]) | (v > ranges[c][1])) if c in ranges else null.cast("bigint"),
             "n_blank": F.count_if(F.trim(v) == "") if text else null.cast("bigint"),
             "n_off_pattern": F.count_if((F.trim(v) == "") | ~v.rlike(f"^(?:{patterns[c]})\\z")) if c in patterns else null.cast("bigint"),
@@ -208,7 +211,8 @@ def out_of_line(quotes: DataFrame, health: DataFrame, load: str = "load_id", sou
     keys = [load, source]
     price = present(F.col("price"), quotes.schema["price"].dataType)
     folded = quotes.select(*keys, "price", "implied_prob", "close_ts", "outcome", F.lower("quote_key").alias("quote_key"))
-    long = profile(folded, keys, ranges={"implied_prob": (0.0, 1.0)}, patterns={"outcome": "[A-Za-z0-9 .'-]*"}, distinct=["quote_key"])
+    found = profile(folded, keys, ranges={"implied_prob": (0.0, 1.0)}, patterns={"outcome": "[A-Za-z0-9 .'-]*"}, distinct=["quote_key"], text_bounds=False)
+    long = Stored(found).df  # a row a group and column, read twice
     of = lambda column, value: F.max(F.when(F.col("column_name") == column, F.col(value)))
     base = long.groupBy(*keys).agg(
         F.max("n_rows").alias("n"), of("price", "n_values").alias("n_price"), of("implied_prob", "n_values").alias("n_prob"), of("close_ts", "n_values").alias("n_close"), of("outcome", "n_values").alias("n_outcome"),
