@@ -42,3 +42,27 @@ def freshness(age_minutes: Column) -> Column:
 
 def grade(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
+
+
+# Weights of the reliability score, and the Brier score of a forecaster without skill.
+FRESH, COMPLETE, CALIBRATED = 0.4, 0.4, 0.2
+NO_SKILL = 0.25
+
+
+def calibration_score(brier: Column) -> Column:
+    """1 for a perfect Brier score, falling evenly to 0 at that of no skill or worse; null if unknown."""
+    return clamp(1 - brier / NO_SKILL, 0.0, 1.0)
+
+
+def reliability(fresh: Column, complete: Column, calibrated: Column | None = None) -> Column:
+    """The blended score out of 100, one place; where calibration is unknown its weight goes to the other two in proportion."""
+    known = FRESH * fresh + COMPLETE * complete
+    bare = known / (FRESH + COMPLETE)
+    return F.round(100 * (bare if calibrated is None else F.when(calibrated.isNull(), bare).otherwise(known + CALIBRATED * calibrated)), 1)
+
+
+def match_tier(confidence: Column, overridden: Column | None = None) -> Column:
+    """'strong' from 0.80 or by hand, 'probable' from 0.60, else 'weak'; an unknown confidence is weak."""
+    c = F.coalesce(clamp(confidence, 0.0, 1.0), F.lit(0.0))
+    by_score = F.when(c >= 0.80, "strong").when(c >= 0.60, "probable").otherwise("weak")
+    return by_score if overridden is None else F.when(F.coalesce(overridden, F.lit(False)), "strong").otherwise(by_score)

@@ -54,12 +54,31 @@ def best_sigma(df: DataFrame, margin: str, outcome: str, start: float = 4.0, lea
     return fine.agg(F.max("n").alias("n"), F.round(F.min(F.struct("loss", "sigma"))["sigma"], 3).alias("sigma"))
 
 
-def feed_quality(quotes: DataFrame, now: Column, keys: Sequence[str], source: str = "source", snapshot: str = "snapshot_ts", field: str = "implied_prob", stale: str = "price_is_stale", market: str = "market_id") -> DataFrame:
-    """One health row a source: n_quotes, n_markets, last_snapshot, age_minutes, null_rate, duplicate_rate, prob_violations, partial_ingest, stale_price_rate, reliability_score, reliability_grade, issues.
+# What a health row says of each issue, as text that readers of the report compare.
+ISSUES = {
+    "age": "stale: last snapshot %.0f min ago",
+    "repeats": "%.1f%% duplicate rows (idempotency broken)",
+    "nulls": "%.0f%% of {field} is null",
+    "bounds": "%d probability values outside [0,1]",
+    "partial": "latest snapshot is unusually small (possible partial ingest)",
+    "stale": "%.0f%% of prices are stale-fallback, not live quotes",
+    "combo": "%.0f%% of raw payloads were excluded combo/parlay markets",
+    "only combo": "%.0f%% of raw payloads were excluded combo/parlay markets, leaving 0 usable quotes",
+    "none": "no data for this source",
+}
+
+
+def feed_quality(
+    quotes: DataFrame, now: Column, keys: Sequence[str], source: str = "source", snapshot: str = "snapshot_ts", field: str = "implied_prob", stale: str = "price_is_stale", market: str = "market_id", combos: DataFrame | None = None, brier: DataFrame | None = None
+) -> DataFrame:
+    """One health row a source: n_quotes, n_markets, last_snapshot, age_minutes, null_rate, duplicate_rate, prob_violations, partial_ingest, stale_price_rate, combo_excluded_rate, reliability_score, reliability_grade, issues.
 
     Nulls, bounds, stale prices and counts are of the latest snapshot, duplicates (repeats of keys) and
-    the median volume of a snapshot of all rows. Each is a mergeable aggregate by source, or by source
-    and snapshot before that; sources meet only as single rows. The score is half freshness, half completeness.
+    the median volume of a snapshot of all rows. combos (source, combo_rate) tells how many of a source's
+    latest raw payloads were baskets, brier (source, brier) how well its markets are calibrated; without
+    them the rate is 0 and the score half freshness, half completeness. A source that only combos knows
+    has no quotes, null rate 1, score 0. Each figure is a mergeable aggregate by source, or by source and
+    snapshot before that; sources meet only as single rows.
     """
     v = F.when(~F.isnan(field), F.col(field))
     top = quotes.groupBy(source).agg(F.max(snapshot).alias("last_snapshot"))
@@ -69,26 +88,40 @@ def feed_quality(quotes: DataFrame, now: Column, keys: Sequence[str], source: st
     markets = quotes.select(source, snapshot, market).join(top.withColumnRenamed("last_snapshot", snapshot), [source, snapshot], "left_semi").distinct().groupBy(source).agg(F.count(market).alias("n_markets"))
     different = quotes.groupBy(*dict.fromkeys([source, *keys])).agg(F.lit(1).alias("one")).groupBy(source).agg(F.count("*").alias("different"))
     rows = at.join(per, source).join(markets, source).join(different, source)
+    rows = rows.withColumn("combo_rate", F.lit(0.0)) if combos is None else rows.join(combos.select(source, "combo_rate"), source, "full")
+    rows = rows.withColumn("brier", F.lit(None).cast("double")) if brier is None else rows.join(brier.select(source, "brier"), source, "left")
+    empty = F.col("n").isNull()
     age = F.greatest((F.unix_micros(now) - F.unix_micros(snapshot)) / 6e7, F.lit(0.0))
-    nulls, repeats, stales = 1 - F.col("there") / F.col("n"), 1 - F.col("different") / F.col("all_rows"), F.col("stale") / F.col("n")
-    rows = rows.withColumns({"age_minutes": age, "_nr": nulls, "_dup": repeats, "_stale": stales, "partial_ingest": F.col("n") < 0.5 * F.col("usual")})
-    score = F.round(100 * (0.5 * stats.freshness(F.col("age_minutes")) + 0.5 * stats.clamp(1 - F.col("_nr"), 0.0, 1.0)), 1)
-    rows = rows.withColumn("reliability_score", score)
-    percent = lambda x, places: F.format_string(f"%.{places}f%%", x * 100)
+    nulls, repeats, stales = F.when(empty, 1.0).otherwise(1 - F.col("there") / F.col("n")), 1 - F.col("different") / F.col("all_rows"), F.col("stale") / F.col("n")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    rows = rows.withColumns({"age_minutes": age, "_nr": nulls, "_dup": zero(repeats), "_stale": zero(stales), "_combo": zero(F.col("combo_rate")), "partial_ingest": F.coalesce(F.col("n") < 0.5 * F.col("usual"), F.lit(False))})
+    score = stats.reliability(stats.freshness(F.col("age_minutes")), stats.clamp(1 - F.col("_nr"), 0.0, 1.0), stats.calibration_score(F.col("brier")))
+    rows = rows.withColumn("reliability_score", F.when(empty, 0.0).otherwise(score))
+    said = lambda k, x: F.format_string(ISSUES[k].format(field=field), x)
     issues = F.array_compact(F.array(
-        F.when(F.col("age_minutes") > 60, F.concat(F.lit("stale: last snapshot "), F.format_string("%.0f", "age_minutes"), F.lit(" min ago"))),
-        F.when(F.col("_dup") > 0, F.concat(percent(F.col("_dup"), 1), F.lit(" duplicate rows"))),
-        F.when(F.col("_nr") > 0.1, F.concat(percent(F.col("_nr"), 0), F.lit(f" of {field} is null"))),
-        F.when(F.col("violations") > 0, F.concat(F.col("violations").cast("string"), F.lit(" probability values outside [0,1]"))),
-        F.when(F.col("partial_ingest"), F.lit("latest snapshot is unusually small")),
-        F.when(F.col("_stale") > 0.05, F.concat(percent(F.col("_stale"), 0), F.lit(" of prices are stale"))),
+        F.when(F.col("age_minutes") > 60, said("age", F.col("age_minutes"))),
+        F.when(F.col("_dup") > 0, said("repeats", F.col("_dup") * 100)),
+        F.when(F.col("_nr") > 0.1, said("nulls", F.col("_nr") * 100)),
+        F.when(F.col("violations") > 0, said("bounds", F.col("violations"))),
+        F.when(F.col("partial_ingest"), F.lit(ISSUES["partial"])),
+        F.when(F.col("_stale") > 0.05, said("stale", F.col("_stale") * 100)),
+        F.when(F.col("_combo") > 0, said("combo", F.col("_combo") * 100)),
     ))
+    told = F.when(empty & (F.col("_combo") > 0), said("only combo", F.col("_combo") * 100)).when(empty, ISSUES["none"]).when(F.size(issues) == 0, "healthy").otherwise(F.array_join(issues, "; "))
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return rows.select(
-        source, F.col("n").alias("n_quotes"), "n_markets", F.col(snapshot).alias("last_snapshot"), "age_minutes", F.round("_nr", 4).alias("null_rate"), F.round("_dup", 4).alias("duplicate_rate"), F.col("violations").alias("prob_violations"),
-        "partial_ingest", F.round("_stale", 4).alias("stale_price_rate"), "reliability_score", stats.grade(F.col("reliability_score")).alias("reliability_grade"), F.when(F.size(issues) == 0, "healthy").otherwise(F.array_join(issues, "; ")).alias("issues"),
+        source, whole("n").alias("n_quotes"), whole("n_markets").alias("n_markets"), F.col(snapshot).alias("last_snapshot"), "age_minutes", F.round("_nr", 4).alias("null_rate"), F.round("_dup", 4).alias("duplicate_rate"), whole("violations").alias("prob_violations"),
+        "partial_ingest", F.round("_stale", 4).alias("stale_price_rate"), F.round("_combo", 4).alias("combo_excluded_rate"), "reliability_score", stats.grade(F.col("reliability_score")).alias("reliability_grade"), told.alias("issues"),
     )
 
 
+def score_summary(log: DataFrame, scored: DataFrame, hit: str = "hit") -> DataFrame:
+    """One row: n_logged, n_resolved (rows that have an outcome), hit_rate (4 places; null with none)."""
+    one = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731 - single rows side by side
+    told = scored.agg(F.count("*").alias("n_resolved"), F.round(F.avg(F.col(hit).cast("double")), 4).alias("hit_rate"))
+    return one(log.agg(F.count("*").alias("n_logged"))).join(one(told), "one").drop("one")
+
+
 def match_diagnostics(pairs: DataFrame) -> DataFrame:
     """One row on scored pairs: n_pairs_scored, n_pairs_matched, n_near_miss, near_miss_mean, near_miss_max (4 places)."""
     miss = F.col("decision") == "no-match"

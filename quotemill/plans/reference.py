@@ -13,7 +13,7 @@ from quotemill.operators import consensus, graph, instants, latest, measures, re
 from quotemill.operators.dedup import keep_one
 from quotemill.plans import cleaning
 from quotemill.session import shared_folder, table
-from quotemill.sources import lake, venues
+from quotemill.sources import feeds, forecasts, lake, venues
 from quotemill.streaming import topic
 
 QUERIES, ORACLE = {}, {}
@@ -181,10 +181,10 @@ def odds_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "kalshi_markets").filter("market_type = 'binary' and settle_result in ('yes', 'no')")
-    return rows.select("ticker", F.regexp_extract("ticker", "^KX[A-Z]{3}", 0).alias("series"), F.col("last_price_dollars").try_cast("double").alias("predicted"), (F.col("settle_result") == "yes").cast("int").alias("outcome")).filter("predicted > 0 and predicted < 1")
+    return rows.select("ticker", F.regexp_extract("ticker", "^KX[A-Z]{3}", 0).alias("series"), F.col("last_price_dollars").try_cast("double").alias("predicted"), (F.col("settle_result") == "yes").cast("int").alias("outcome"), F.col("volume_fp").try_cast("double").alias("volume")).filter("predicted > 0 and predicted < 1 and volume > 0").drop("volume")
 
 
-_SETTLED = "SELECT regexp_extract(ticker, '^KX[A-Z]{3}') AS series, try_cast(last_price_dollars AS DOUBLE) AS predicted, CASE WHEN settle_result = 'yes' THEN 1 ELSE 0 END AS outcome FROM kalshi_markets WHERE market_type = 'binary' AND settle_result IN ('yes', 'no')"
+_SETTLED = "SELECT regexp_extract(ticker, '^KX[A-Z]{3}') AS series, try_cast(last_price_dollars AS DOUBLE) AS predicted, CASE WHEN settle_result = 'yes' THEN 1 ELSE 0 END AS outcome FROM kalshi_markets WHERE market_type = 'binary' AND settle_result IN ('yes', 'no') AND try_cast(volume_fp AS DOUBLE) > 0"
 
 
 @_query(f"SELECT round_even(predicted * 10, 0) / 10 AS prob_bucket, count(*) AS n, round(avg(predicted), 4) AS predicted_mean, round(avg(outcome), 4) AS realized_rate FROM ({_SETTLED}) WHERE predicted > 0 AND predicted < 1 GROUP BY 1")
@@ -226,10 +226,65 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "n_quotes", "n_markets", "null_rate", "duplicate_rate", "prob_violations", "partial_ingest", "stale_price_rate")
 
 
-@_query()
+_COMBOS = """
+    SELECT source, n_raw, n / n_raw AS combo_rate FROM (SELECT source, arg_max(struct_pack(a := n_raw, b := n), snapshot_ts) AS x, x['a'] AS n_raw, x['b'] AS n FROM (
+        SELECT lower(trim(source)) AS source, snapshot_ts, count(*) AS n_raw, count(*) FILTER (WHERE coalesce(t LIKE 'KXMVE%' OR c <> '' OR l > 0, false)) AS n
+        FROM (SELECT *, json_extract_string(j, '$.ticker') AS t, json_extract_string(j, '$.mve_collection_ticker') AS c, json_array_length(j, '$.mve_selected_legs') AS l FROM (SELECT *, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM raw_records)) GROUP BY 1, 2) GROUP BY source)"""
+
+
+@_query(_COMBOS)
+def combo_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of baskets among each source's latest raw messages."""
+    return venues.combo_rates(table(spark, sf_dir, "raw_records"))
+
+
+@_query("""
+    SELECT market_type, count(*) AS n_raw, round(avg(CASE WHEN coalesce(mve_collection_ticker <> '' OR len(mve_selected_legs) > 0 OR ticker LIKE 'KXMVE%', false) THEN 1.0 ELSE 0.0 END), 6) AS combo_rate FROM kalshi_markets GROUP BY market_type""")
+def combo_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of baskets among the exchange's markets, by declared type, read from payloads as they come."""
+    rows = table(spark, sf_dir, "kalshi_markets").select("market_type", F.from_json(F.to_json(F.struct("ticker", "mve_collection_ticker", "mve_selected_legs")), venues.PAYLOADS["kalshi"]).alias("p"))
+    return rows.groupBy("market_type").agg(F.count("*").alias("n_raw"), F.round(F.avg(venues.is_combo(F.col("p")).cast("double")), 6).alias("combo_rate"))
+
+
+@_query(f"""
+    WITH top AS (SELECT source, max(snapshot_ts) AS t FROM market_quotes GROUP BY source),
+    vol AS (SELECT source, snapshot_ts, count(*) AS n, count(implied_prob) AS there, count(*) FILTER (WHERE implied_prob < 0 OR implied_prob > 1) AS bad, count(*) FILTER (WHERE price_is_stale) AS stale FROM market_quotes GROUP BY source, snapshot_ts),
+    per AS (SELECT source, median(n) AS usual, sum(n) AS all_rows FROM vol GROUP BY source),
+    mk AS (SELECT q.source, count(DISTINCT market_id) AS n_markets FROM market_quotes q JOIN top ON q.source = top.source AND q.snapshot_ts = top.t GROUP BY q.source),
+    diff AS (SELECT source, count(*) AS d FROM (SELECT DISTINCT source, market_id, outcome, snapshot_ts FROM market_quotes) GROUP BY source),
+    c AS ({_COMBOS}), b AS (SELECT 'kalshi' AS source, avg((predicted - outcome) * (predicted - outcome)) AS brier FROM ({_SETTLED}) WHERE predicted > 0 AND predicted < 1),
+    r AS (SELECT vol.*, n_markets, epoch_us(TIMESTAMPTZ '{_NOW}+00') AS now_us, 1 - there / n AS nr, 1 - d / all_rows AS dup, stale / n AS st, coalesce(combo_rate, 0) AS combo, n < 0.5 * usual AS partial, brier
+          FROM vol JOIN top ON top.source = vol.source AND top.t = vol.snapshot_ts JOIN per ON per.source = vol.source JOIN mk ON mk.source = vol.source JOIN diff ON diff.source = vol.source LEFT JOIN c ON c.source = vol.source LEFT JOIN b ON b.source = vol.source),
+    a AS (SELECT *, greatest((now_us - epoch_us(snapshot_ts)) / 6e7, 0) AS age FROM r),
+    f AS (SELECT *, greatest(0, least(1, 1 - (age - 15) / 1425.0)) AS fresh, greatest(0, least(1, 1 - brier / 0.25)) AS calib FROM a),
+    g AS (SELECT *, round(100 * CASE WHEN brier IS NULL THEN (0.4 * fresh + 0.4 * (1 - nr)) / 0.8 ELSE 0.4 * fresh + 0.4 * (1 - nr) + 0.2 * calib END, 1) AS score FROM f)
+    SELECT source, n AS n_quotes, n_markets, snapshot_ts AS last_snapshot, age AS age_minutes, round(nr, 4) AS null_rate, round(dup, 4) AS duplicate_rate, bad AS prob_violations, partial AS partial_ingest, round(st, 4) AS stale_price_rate, round(combo, 4) AS combo_excluded_rate,
+           score AS reliability_score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS reliability_grade,
+           coalesce(nullif(concat_ws('; ', CASE WHEN age > 60 THEN printf('stale: last snapshot %.0f min ago', age) END, CASE WHEN dup > 0 THEN printf('%.1f%% duplicate rows (idempotency broken)', dup * 100) END, CASE WHEN nr > 0.1 THEN printf('%.0f%% of implied_prob is null', nr * 100) END,
+               CASE WHEN bad > 0 THEN bad || ' probability values outside [0,1]' END, CASE WHEN partial THEN 'latest snapshot is unusually small (possible partial ingest)' END, CASE WHEN st > 0.05 THEN printf('%.0f%% of prices are stale-fallback, not live quotes', st * 100) END,
+               CASE WHEN combo > 0 THEN printf('%.0f%% of raw payloads were excluded combo/parlay markets', combo * 100) END), ''), 'healthy') AS issues
+    FROM g""")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole health row, with age, score, grade and issues in words."""
-    return measures.feed_quality(table(spark, sf_dir, "market_quotes"), F.to_timestamp(F.lit(_NOW)), ["source", "market_id", "outcome", "snapshot_ts"])
+    """The whole health row, with age, baskets, score, grade and issues in words; the exchange's calibration counts in its score."""
+    brier = _settled(spark, sf_dir).agg(F.avg((F.col("predicted") - F.col("outcome")) ** 2).alias("brier")).withColumn("source", F.lit("kalshi"))
+    quotes = table(spark, sf_dir, "market_quotes")
+    combos = venues.combo_rates(table(spark, sf_dir, "raw_records"))
+    return measures.feed_quality(quotes, F.to_timestamp(F.lit(_NOW)), ["source", "market_id", "outcome", "snapshot_ts"], combos=combos, brier=brier)
+
+
+@_query("""
+    SELECT load_id, source, round(100 * (0.4 * f + 0.4 * c) / 0.8, 1) AS uncalibrated, round(100 * (0.4 * f + 0.4 * c + 0.2 * k), 1) AS calibrated, round(k, 6) AS calibration
+    FROM (SELECT load_id, source, CASE WHEN age_minutes IS NULL THEN 0 ELSE greatest(0, least(1, 1 - (age_minutes - 15) / 1425.0)) END AS f, greatest(0, least(1, 1 - null_rate)) AS c, greatest(0, least(1, 1 - stale_price_rate / 0.25)) AS k FROM source_health)""")
+def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reported health as scores, without a calibration and with one (the stale rate stands for a Brier score)."""
+    fresh, complete, calibrated = stats.freshness(F.col("age_minutes")), stats.clamp(1 - F.col("null_rate"), 0.0, 1.0), stats.calibration_score(F.col("stale_price_rate"))
+    return table(spark, sf_dir, "source_health").select("load_id", "source", stats.reliability(fresh, complete).alias("uncalibrated"), stats.reliability(fresh, complete, calibrated).alias("calibrated"), F.round(calibrated, 6).alias("calibration"))
+
+
+@_query("SELECT pair_id, CASE WHEN decision LIKE 'manual%' THEN 'strong' WHEN confidence >= 0.8 THEN 'strong' WHEN confidence >= 0.6 THEN 'probable' ELSE 'weak' END AS tier FROM candidate_pairs")
+def match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each scored pair can be trusted."""
+    return table(spark, sf_dir, "candidate_pairs").select("pair_id", stats.match_tier(F.col("confidence"), F.col("decision").startswith("manual")).alias("tier"))
 
 
 @_query("""
@@ -302,6 +357,14 @@ def topk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.nearest(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding", 5).select("query", "neighbour", "rank")
 
 
+@_query(ORACLE["topk_neighbours"].replace("SELECT query, neighbour, rank FROM", "SELECT DISTINCT least(query, neighbour) AS a, greatest(query, neighbour) AS b FROM").replace("q.vec_id % 100 = 0)", "q.vec_id % 100 = 0 AND list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) >= 0.15)"))
+def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that the five nearest vectors of at least 0.15 similarity make, each once, for every vector whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = similarity.nearest(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding", 5, least=0.15)
+    return found.select(F.least("query", "neighbour").alias("a"), F.greatest("query", "neighbour").alias("b")).distinct()
+
+
 @_query()
 def seq_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike the titles of each scored pair are, by sorted tokens and matching blocks."""
@@ -310,7 +373,30 @@ def seq_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pair_id", F.round(titles.sequence_ratio("a", "b"), 6).alias("ratio"))
 
 
-@_query()
+def _listing(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_FOLD = "'\\b(?:" + "|".join(a.replace("'", "''") for a in sorted(titles.ALIASES, key=len, reverse=True)) + ")\\b'"
+_NAMES = "MAP {" + ", ".join(f"'{a.replace(chr(39), chr(39) * 2)}': '{n}'" for a, n in titles.ALIASES.items()) + "}"
+_SYNONYMS = "MAP {" + ", ".join(f"'{a}': '{n}'" for a, n in titles.PREDICATE_SYNONYMS.items()) + "}"
+
+
+def _folded(x: str) -> str:
+    return f"array_to_string(list_transform(list_zip(string_split_regex({x}, {_FOLD}), regexp_extract_all({x}, {_FOLD})), lambda z: z[1] || coalesce({_NAMES}[z[2]], '')), '')"
+
+
+@_query(rf"""
+    WITH t AS ({ORACLE["union_sources"]}), n AS (SELECT *, lower(title) AS low, regexp_extract_all(title, '[\p{{L}}\p{{N}}_'']+') AS said FROM t WHERE length(title) > 0),
+    w AS (SELECT *, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace({_folded('low')}, '[^a-z0-9._]+', ' ', 'g')), ' '), lambda x: x <> ''))) AS words, list_position(list_transform(said, lambda x: lower(x) IN {tuple(titles.SUBJECT_SKIP)}), false) AS begins FROM n),
+    c AS (SELECT *, CASE WHEN begins > 0 THEN said[begins:] ELSE [] END AS rest FROM w),
+    d AS (SELECT *, CASE WHEN len(rest) = 0 OR NOT regexp_matches(rest[1], '^[''"]?\p{{Lu}}') THEN [] ELSE rest[:coalesce(nullif(list_position(list_transform(rest, lambda x: regexp_matches(x, '^[''"]?\p{{Lu}}') OR lower(x) IN {tuple(titles.SUBJECT_CONNECTORS)}), false), 0), len(rest) + 1) - 1] END AS phrase FROM c),
+    e AS (SELECT *, lower(array_to_string(phrase, ' ')) AS opened, list_filter(words, lambda x: NOT list_contains({_listing(titles.STOPWORDS)}, x)) AS tokens FROM d),
+    f AS (SELECT *, list_sort(list_distinct(list_filter(string_split_regex({_folded('opened')}, '[^\p{{L}}\p{{N}}_]+'), lambda x: NOT list_contains({_listing([*titles.STOPWORDS, ''])}, x)))) AS subject, list_transform(words, lambda x: coalesce({_SYNONYMS}[x], x)) AS synonyms FROM e)
+    SELECT source, market_id, array_to_string(tokens, ' ') AS tokens, array_to_string(list_sort(list_distinct(regexp_extract_all(low, '\d+(?:\.\d+)?'))), ' ') AS numbers, CASE WHEN len(subject) > 0 THEN array_to_string(subject, ' ') END AS subject,
+           array_to_string(list_sort(list_filter(tokens, lambda x: list_contains({_listing([*titles.ALIASES.values(), *titles.MORE_ENTITIES])}, x))), ' ') AS entities, array_to_string(list_sort(list_distinct(list_filter(synonyms, lambda x: list_contains({_listing(titles.PREDICATES)}, x)))), ' ') AS predicate,
+           CASE {" ".join(f"WHEN list_has_any(words, {_listing(keys)}) THEN '{name}'" for name, keys in titles.CATEGORIES.items())} ELSE 'other' END AS category
+    FROM f""")
 def title_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the venues' titles say: tokens, numbers, subject, entities, predicate, category."""
     out = resolve.features(union_sources(spark, sf_dir))
@@ -512,14 +598,36 @@ def cross_venue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_events"), F.count_if(F.col("n") > 1).alias("n_cross"))
 
 
-@_query()
+@_query("""
+    WITH x AS (SELECT count(*) AS n FROM (SELECT event_id FROM event_map WHERE event_id IS NOT NULL GROUP BY event_id HAVING count(DISTINCT source) > 1)), m AS (SELECT count(*) AS n FROM event_map WHERE category IS NOT NULL)
+    SELECT CASE WHEN m.n = 0 THEN 'no markets yet' WHEN x.n > 0 THEN x.n || ' event(s) of several sources matched' END AS reasons FROM x, m""")
 def diagnostics_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why matching came out as it did, in words."""
     cross = cross_venue_events(spark, sf_dir).select("n_cross")
     return measures.reasons(table(spark, sf_dir, "event_map").select("category", "source").filter("category is not null"), diagnostics_pairs(spark, sf_dir), cross).select(F.array_join("reasons", "; ").alias("reasons"))
 
 
-@_query()
+_ODDS = '{"sport_title": "VARCHAR", "commence_time": "VARCHAR", "home_team": "VARCHAR", "away_team": "VARCHAR", "id": "VARCHAR", "bookmakers": [{"markets": [{"key": "VARCHAR", "outcomes": [{"name": "VARCHAR", "price": "DOUBLE"}]}]}]}'
+
+
+@_query(f"""
+    WITH r AS (SELECT lower(trim(source)) AS source, trim(market_id, ' ' || chr(9) || chr(10) || chr(13)) AS market_id, snapshot_ts, CAST(payload AS JSON) AS j FROM raw_records WHERE json_valid(payload)),
+    k AS (SELECT *, coalesce(json_extract_string(j, '$.title'), '') AS title, coalesce(try_cast(json_extract_string(j, '$.yes_bid_dollars') AS DOUBLE), try_cast(json_extract_string(j, '$.yes_bid') AS DOUBLE) / 100) AS bid, coalesce(try_cast(json_extract_string(j, '$.yes_ask_dollars') AS DOUBLE), try_cast(json_extract_string(j, '$.yes_ask') AS DOUBLE) / 100) AS ask,
+            coalesce(try_cast(json_extract_string(j, '$.last_price_dollars') AS DOUBLE), try_cast(json_extract_string(j, '$.last_price') AS DOUBLE) / 100) AS last, greatest(try_cast(json_extract_string(j, '$.liquidity_dollars') AS DOUBLE), try_cast(json_extract_string(j, '$.volume_24h_fp') AS DOUBLE), try_cast(json_extract_string(j, '$.open_interest_fp') AS DOUBLE)) >= 1 AS traded
+          FROM r WHERE source = 'kalshi' AND coalesce(json_extract_string(j, '$.status'), 'active') = 'active' AND NOT coalesce(json_extract_string(j, '$.ticker') LIKE 'KXMVE%' OR json_extract_string(j, '$.mve_collection_ticker') <> '' OR json_array_length(j, '$.mve_selected_legs') > 0, false)),
+    live AS (SELECT *, CASE WHEN ask >= bid AND (bid + ask) / 2 > 0 AND (bid + ask) / 2 < 1 THEN (bid + ask) / 2 END AS mid, CASE WHEN traded AND last > 0 AND last < 1 THEN last END AS old FROM k),
+    o AS (SELECT snapshot_ts, json_transform(j, '{_ODDS}') AS p FROM r WHERE source = 'oddsapi'),
+    side AS (SELECT snapshot_ts, p['id'] AS id, p['sport_title'] AS sport, p['commence_time'] AS commence, p['home_team'] AS home, p['away_team'] AS away, unnest(list_filter(flatten(list_transform(p['bookmakers'], lambda b: coalesce(b['markets'], []))), lambda m: m['key'] = 'h2h')) AS m FROM o),
+    price AS (SELECT * EXCLUDE (m), unnest(m['outcomes']) AS x FROM side),
+    fair AS (SELECT id, snapshot_ts, sport, commence, home, away, x['name'] AS name, avg(1 / x['price']) AS q FROM price WHERE x['price'] > 1 GROUP BY ALL),
+    odds AS (SELECT *, sum(q) OVER w AS s, count(*) OVER w AS n FROM fair WINDOW w AS (PARTITION BY id, snapshot_ts))
+    SELECT source, market_id, 'YES' AS outcome, title, coalesce(mid, old) AS price, coalesce(mid, old) AS implied_prob, greatest(ask - bid, 0) AS spread, mid IS NULL AS price_is_stale, snapshot_ts, try_cast(json_extract_string(j, '$.close_time') AS TIMESTAMPTZ) AS close_ts FROM live WHERE coalesce(mid, old) IS NOT NULL
+    UNION ALL SELECT source, market_id, 'YES', coalesce(json_extract_string(j, '$.question'), ''), p, CASE WHEN p > 0 AND p < 1 THEN p END, NULL, false, snapshot_ts, make_timestamptz(try_cast(json_extract_string(j, '$.closeTime') AS BIGINT) * 1000)
+        FROM (SELECT *, try_cast(json_extract_string(j, '$.probability') AS DOUBLE) AS p FROM r WHERE source = 'manifold' AND json_extract_string(j, '$.outcomeType') = 'BINARY' AND coalesce(json_extract_string(j, '$.isResolved'), 'false') = 'false') WHERE p IS NOT NULL
+    UNION ALL SELECT source, market_id, 'YES', coalesce(json_extract_string(j, '$.question'), ''), p, CASE WHEN p > 0 AND p < 1 THEN p END, greatest(try_cast(json_extract_string(j, '$.bestAsk') AS DOUBLE) - try_cast(json_extract_string(j, '$.bestBid') AS DOUBLE), 0), false, snapshot_ts, try_cast(json_extract_string(j, '$.endDate') AS TIMESTAMPTZ)
+        FROM (SELECT *, try_cast(json_extract_string(CAST(json_extract_string(j, '$.outcomePrices') AS JSON), '$[0]') AS DOUBLE) AS p FROM r WHERE source = 'polymarket' AND coalesce(json_extract_string(j, '$.closed'), 'false') = 'false' AND coalesce(json_extract_string(j, '$.active'), 'true') = 'true'
+              AND lower(trim(json_extract_string(CAST(json_extract_string(j, '$.outcomes') AS JSON), '$[0]'))) = 'yes' AND lower(trim(json_extract_string(CAST(json_extract_string(j, '$.outcomes') AS JSON), '$[1]'))) = 'no') WHERE p IS NOT NULL
+    UNION ALL SELECT 'oddsapi', id || ':' || name, name, name || ' to win vs ' || CASE WHEN name = home THEN away ELSE home END || ' (' || sport || ')', round(q / s, 4), CASE WHEN q / s > 0 AND q / s < 1 THEN q / s END, NULL, false, snapshot_ts, try_cast(commence AS TIMESTAMPTZ) FROM odds WHERE n >= 2""")
 def normalised_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes from the raw messages of all venues."""
     return venues.quotes(table(spark, sf_dir, "raw_records"))
@@ -617,8 +725,54 @@ def score_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticker", "row_id", "implied_prob", "outcome", ((p >= 0.5) == (F.col("outcome") == 1)).cast("int").alias("hit"), stats.bucket(p, 5).alias("prob_bucket"))
 
 
-@_query()
+@_query(f"SELECT substr(string_agg(line, chr(10) ORDER BY gap DESC, line), 1, 1900) AS message FROM (SELECT gap, printf('%s %s off by %.4f', kind, substr(label, 1, 70), gap) AS line FROM ({ORACLE['alerts']}))")
 def alert_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alerts as one message, the widest first."""
     found = alerts(spark, sf_dir)
     return measures.digest(found, F.format_string("%s %s off by %.4f", "kind", F.substring("label", 1, 70), "gap"), F.col("gap"))
+
+
+@_query(f"WITH s AS ({ORACLE['score_quotes']}) SELECT (SELECT count(*) FROM ({_LATEST}) WHERE source = 'kalshi') AS n_logged, (SELECT count(*) FROM s) AS n_resolved, (SELECT round(avg(hit), 4) FROM s) AS hit_rate")
+def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exchange's latest quotes have an outcome, and how often they were right."""
+    return measures.score_summary(_latest_quotes(spark, sf_dir).filter("source = 'kalshi'"), score_quotes(spark, sf_dir))
+
+
+_CITIES = {"MOUTH": ["dellmouth", "fennmouth"], "HAVEN": ["dellhaven", "varnhaven"], "SAINT": ["saint elsholt", "st elsholt"], "ARD": ["ard", "ardmouth"]}
+
+
+@_query(f"SELECT rec_id, CASE {' '.join(f'WHEN regexp_matches(lower(title), {chr(39)}' + chr(92) + 'b(' + '|'.join(w) + ')' + chr(92) + f'b{chr(39)}) THEN {chr(39)}{k}{chr(39)}' for k, w in _CITIES.items())} END AS place FROM kalshi_markets")
+def title_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place that each market's title names, by a dictionary whose first fitting entry counts."""
+    return table(spark, sf_dir, "kalshi_markets").select("rec_id", forecasts.place(F.col("title"), _CITIES).alias("place"))
+
+
+@_query("""
+    SELECT location, day, high_f, ordinal FROM (SELECT station AS location, substr(starttime, 1, 10) AS day, CAST(temperature AS DOUBLE) AS high_f, isdaytime, row_number() OVER (PARTITION BY station ORDER BY rec_id) - 1 AS ordinal FROM forecast_periods) WHERE isdaytime AND high_f IS NOT NULL""")
+def forecast_highs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily highs out of forecast pages: each station's periods are put into a page's JSON and read from it again."""
+    period = F.struct("rec_id", F.struct(F.col("starttime").alias("startTime"), F.col("isdaytime").alias("isDaytime"), "temperature").alias("p"))
+    pages = table(spark, sf_dir, "forecast_periods").groupBy("station").agg(F.array_sort(F.collect_list(period)).alias("l"))  # a page holds a station's periods
+    page = F.to_json(F.struct(F.struct(F.transform("l", lambda x: x["p"]).alias("periods")).alias("properties")), {"ignoreNullFields": "false"})
+    return forecasts.highs(pages.select(F.col("station").alias("location"), page.alias("payload"))).select("location", "day", "high_f", "ordinal")
+
+
+@_query("""
+    SELECT source, count(*) AS n FROM (SELECT DISTINCT 'manifold' AS source, id FROM manifold_markets UNION ALL SELECT DISTINCT 'polymarket', id FROM polymarket_markets) GROUP BY source""")
+def searched_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets found by several keywords, as answers of two venues' searches (one a list, one nested in events), merged by id."""
+    def answers(name: str) -> DataFrame:
+        rows = table(spark, sf_dir, name).select(F.pmod(F.xxhash64("rec_id"), F.lit(64)).alias("keyword"), F.to_json(F.struct("id", "question")).alias("m"))
+        return rows.groupBy("keyword").agg(F.concat_ws(",", F.collect_list("m")).alias("m"))
+
+    flat = feeds.listed(answers("manifold_markets").select("keyword", F.concat(F.lit("["), "m", F.lit("]")).alias("answer")))
+    deep = feeds.nested(answers("polymarket_markets").select("keyword", F.concat(F.lit('{"events": [{"markets": ['), "m", F.lit("]}]}")).alias("answer")))
+    found = feeds.records(feeds.merged(flat, ["keyword"]), "manifold").unionByName(feeds.records(feeds.merged(deep, ["keyword"]), "polymarket"))
+    return found.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT category, source, count(*) AS n_markets, count(*) FILTER (WHERE regexp_matches(lower(title), '\\b(boston|chicago|denver|miami|austin|group)\\b')) AS n_with_entity FROM event_map GROUP BY category, source")
+def entity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets by category and source, and how many name an entity of the fixed list."""
+    rows = table(spark, sf_dir, "event_map").select("category", "source", (F.size(titles.entities(titles.tokens(F.col("title")))) > 0).alias("named"))
+    return rows.groupBy("category", "source").agg(F.count("*").alias("n_markets"), F.count_if("named").alias("n_with_entity"))

@@ -49,6 +49,13 @@ def is_combo(p: Column) -> Column:
     return F.coalesce(p["mve_collection_ticker"] != "", F.lit(False)) | F.coalesce(F.size(p["mve_selected_legs"]) > 0, F.lit(False)) | F.coalesce(p["ticker"].startswith("KXMVE"), F.lit(False))
 
 
+def combo_rates(raw: DataFrame) -> DataFrame:
+    """The share of baskets among the payloads of each source's latest snapshot: source, n_raw, combo_rate. Damaged and missing payloads, and payloads of venues without baskets, are none."""
+    named = raw.select(F.lower(stripped(F.col("source"))).alias("source"), "snapshot_ts", is_combo(F.from_json("payload", PAYLOADS["kalshi"])).alias("combo"))
+    per = named.groupBy("source", "snapshot_ts").agg(F.count("*").alias("n_raw"), F.count_if("combo").alias("n"))
+    return per.groupBy("source").agg(F.max_by(F.struct("n_raw", "n"), "snapshot_ts").alias("x")).select("source", "x.n_raw", (F.col("x.n") / F.col("x.n_raw")).alias("combo_rate"))
+
+
 def text_list(text: Column) -> Column:
     """A JSON array inside a text; an empty array if it is none."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
