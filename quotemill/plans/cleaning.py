@@ -73,6 +73,11 @@ def p3_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _times(spark, sf_dir).groupBy("source", "time_format", "time_status").agg(F.count("*").alias("n"), F.min("posterior").alias("least_posterior"))
 
 
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of each field there are, and how many of them name an instant."""
+    return _times(spark, sf_dir).groupBy("table_name", "field_name").agg(F.count("*").alias("n"), F.count_if(F.col("time_status") == "resolved").alias("n_resolved"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     markets, exchange = table(spark, sf_dir, "polymarket_markets"), table(spark, sf_dir, "kalshi_markets").filter("market_type = 'multi'")
     fields = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("outcomes", "outcomeprices")])
@@ -123,7 +128,7 @@ def p7_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.proposals(_spellings(spark, sf_dir)).select("spelling", "known", "unit", "shared", F.round("distance", 4).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_counts, p1_shift, p2_found, p2_kept, p3_found, p3_formats, p4_found, p7_found, p7_aliases, p7_distances)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_counts, p1_shift, p2_found, p2_kept, p3_found, p3_formats, p3_counts, p4_found, p7_found, p7_aliases, p7_distances)}
 
 # The twin knows spellings only, by a list of its own.
 _SPELT = """
@@ -173,7 +178,21 @@ def _column_counts(c: str) -> str:
     return f"SELECT load_id, source, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, CAST({beyond} AS BIGINT) AS n_out_of_range, CAST({blank} AS BIGINT) AS n_blank, CAST({off} AS BIGINT) AS n_off_pattern FROM market_quotes GROUP BY load_id, source"
 
 
+# Another way to the same values: JSON arrays by the JSON reader, other lists by one pattern for an item and the delimiter behind it.
+_SPLIT = "CASE d " + " ".join(
+    rf"""WHEN {name} THEN regexp_extract_all(body || {name}, '\s*("(?:[^"]|"")*"|{single}[^{inner}]*)\s*{pattern}', 1)"""
+    for name, pattern, inner, single in (("'||'", "[|][|]", "|", ""), ("'|'", "[|]", "|", ""), ("';'", ";", ";", ""), ("chr(9)", r"\t", r"\t", ""), ("chr(10)", r"\n", r"\n", ""), ("','", ",", ",", r"''(?:[^''\\]|\\.)*''|"))
+) + " END"
+_PACKED = rf"""
+        x AS (SELECT 'polymarket_markets' AS table_name, rec_id, 'outcomes' AS field_name, outcomes AS t FROM polymarket_markets UNION ALL SELECT 'polymarket_markets', rec_id, 'outcomeprices', outcomeprices FROM polymarket_markets UNION ALL SELECT 'kalshi_markets', rec_id, 'title', title FROM kalshi_markets WHERE market_type = 'multi'),
+        y AS (SELECT * EXCLUDE (t, u), CASE WHEN starts_with(u, '"[') AND json_valid(u) THEN json_extract_string(u, '$') ELSE u END AS t FROM (SELECT *, trim(replace(t, chr(13) || chr(10), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS u FROM x) WHERE u <> ''),
+        z AS (SELECT *, starts_with(t, '[') AND ends_with(t, ']') AS listed, CASE WHEN listed AND json_valid(t) THEN CAST(CAST(t AS JSON) AS VARCHAR[]) END AS l, CASE WHEN listed THEN trim(substr(t, 2, length(t) - 2)) ELSE t END AS body, regexp_replace(body, '"[^"]*"', '', 'g') AS bare,
+                     CASE WHEN listed THEN ',' WHEN contains(bare, '||') THEN '||' WHEN contains(bare, '|') THEN '|' WHEN contains(bare, ';') THEN ';' WHEN contains(bare, chr(9)) THEN chr(9) WHEN contains(bare, chr(10)) THEN chr(10) ELSE ',' END AS d FROM y),
+        c AS (SELECT *, CASE WHEN l IS NOT NULL THEN l WHEN body = '' THEN [] ELSE list_transform({_SPLIT}, lambda i: CASE WHEN regexp_full_match(trim(i), '"(?s:.*)"') THEN replace(substr(trim(i), 2, length(trim(i)) - 2), '""', '"') WHEN listed AND regexp_full_match(trim(i), '''(?s:.*)''') THEN replace(substr(trim(i), 2, length(trim(i)) - 2), '\''', '''') ELSE i END) END AS parts FROM z),
+        k AS (SELECT table_name, rec_id, field_name, CASE WHEN l IS NULL AND trim(parts[len(parts)]) = '' THEN parts[:len(parts) - 1] ELSE parts END AS parts FROM c)"""
+
 ORACLE = {
+    "p4_found": f"WITH {_PACKED} SELECT table_name, rec_id, field_name, CAST(pos AS INTEGER) AS pos, trim(parts[pos], ' ' || chr(9) || chr(10)) AS item FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS pos FROM k)",
     "p1_counts": " UNION ALL ".join(_column_counts(c) for c in (*_TEXTS, *_OTHERS)),
     # Sums by load as decimals, those of the other loads as differences.
     "p1_shift": """
@@ -222,3 +241,5 @@ ORACLE = {
     "p2_kept": """
         SELECT rec_id, batch_id, source, market_id, snapshot_ts, payload, delivered_ts FROM (SELECT *, row_number() OVER (PARTITION BY lower(source), trim(market_id, ' ' || chr(9) || chr(10) || chr(13)), snapshot_ts ORDER BY delivered_ts, rec_id) AS rn FROM raw_records) WHERE rn = 1""",
 }
+_FIELDS = {"kalshi_markets": "close_time", "manifold_markets": "closetime", "odds_events": "commence_time", "forecast_periods": "starttime"}
+ORACLE["p3_counts"] = f"SELECT t.table_name, field_name, t.n, coalesce(f.n, 0) AS n_resolved FROM ({' UNION ALL '.join(f'SELECT {chr(39)}{t}{chr(39)} AS table_name, {chr(39)}{c}{chr(39)} AS field_name, count(*) AS n FROM {t}' for t, c in _FIELDS.items())}) t LEFT JOIN (SELECT table_name, count(*) AS n FROM ({ORACLE['p3_found']}) GROUP BY table_name) f USING (table_name)"
