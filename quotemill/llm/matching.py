@@ -1,12 +1,15 @@
 """Records of several sources that mean the same thing, matched without a common key.
 
 Titles are read into parts (questions.read), mentions of entities are brought to one spelling by what
-the data themselves say most often, and markets that agree in all parts become candidate pairs. Loopy
-belief propagation with one-to-one factors then gives each pair its marginal probability.
+the data themselves say most often, and markets that agree in all parts become candidate pairs, with
+lower odds also those of which one names no threshold or direction, and by their words those whose
+titles can't be read. Loopy belief propagation with one-to-one factors then gives each pair its
+marginal probability.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quotemill.functions import titles
 from quotemill.llm import questions
 from quotemill.session import Stored
 
@@ -25,14 +29,16 @@ PARTS = T.StructType([
 KINDS = {"high": "place", "low": "place", "rain": "place", "approval": "place", "win": "team", "points": "person", "price": "asset", "release": "product"}
 #: Kinds whose mentions are cut to the shortest common one inside ("Port Fennford Quarries" to "Quarries"); others keep the longest.
 SHORTEST = ("team", "asset")
-#: A mention counts as common from so many markets on; a word is taken for a misspelling of one that is so many times as frequent.
-COMMON, MISSPELT = 3, 10
-#: Words of the longest name that is looked for inside a mention; a mention without any known name stands for itself.
-LONGEST = 6
+#: A mention is taken for a name if it stands alone in so many markets, and at least in this share of those of the most frequent name inside the same mention.
+COMMON, SHARE = 3, 0.02
+#: A word is taken for a misspelling of one that is so many times as frequent.
+MISSPELT = 10
 #: Markets close so many hours after their day began, usually.
 CLOSING = 22
-#: Rounds of belief propagation at most, and the change of a message below which they end.
-ROUNDS, SETTLED = 30, 1e-3
+#: Belief propagation ends when no message changes by more.
+SETTLED = 1e-3
+#: Titles that can't be read are compared by their words: the least Jaccard similarity of a candidate, and the one that makes even odds.
+ALIKE, EVEN = 0.75, 0.85
 
 
 @F.pandas_udf(PARTS)
@@ -82,16 +88,20 @@ def entities(mentions: DataFrame, places: DataFrame) -> DataFrame:
     fixes = misspellings(words.groupBy("kind", "word").agg(F.sum("n").alias("n")))
     spelt = texts.select("kind", "text", "n", F.posexplode(F.split("text", " ")).alias("i", "word")).join(fixes, ["kind", "word"], "left")
     spelt = spelt.groupBy("kind", "text", "n").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("right", "word").alias("w")))).alias("ws"), F.max(F.col("right").isNotNull()).alias("corrected"))
-    spelt = spelt.select("kind", "text", "n", "corrected", F.transform("ws", lambda x: x["w"]).alias("ws"))
+    spelt = Stored(spelt.select("kind", "text", "n", "corrected", F.transform("ws", lambda x: x["w"]).alias("ws"))).df
     common = spelt.groupBy("kind", F.concat_ws(" ", "ws").alias("part")).agg(F.sum("n").alias("times")).filter(F.col("times") >= COMMON).unionByName(known.select("kind", F.col("text").alias("part"), F.lit(10**9).cast("bigint").alias("times")))
     common = common.groupBy("kind", "part").agg(F.max("times").alias("times"))
-    n = F.size("ws")
-    # Every stretch of up to LONGEST words, wherever it stands.
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, F.least(n, i + LONGEST - 1)), lambda j: F.concat_ws(" ", F.slice("ws", i, j - i + 1)))))
-    held = spelt.select("kind", "text", "corrected", F.concat_ws(" ", "ws").alias("whole"), F.explode(F.array_distinct(parts)).alias("part")).join(common, ["kind", "part"], "left")
+    # Stretches of as many words as some name of the kind has, wherever they stand: numbers of words are few, and a row a kind.
+    lengths = common.groupBy("kind").agg(F.collect_set(F.size(F.split("part", " "))).alias("lengths"))
+    n, none = F.size("ws"), F.array().cast("array<string>")
+    stretches = lambda k: F.when(k <= n, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("ws", i, k)))).otherwise(none)
+    parts = F.coalesce(F.flatten(F.transform("lengths", stretches)), none)
+    held = spelt.join(F.broadcast(lengths), "kind", "left").select("kind", "text", "corrected", F.concat_ws(" ", "ws").alias("whole"), F.explode_outer(F.array_distinct(parts)).alias("part")).join(common, ["kind", "part"], "left")
     count = F.size(F.split("part", " "))
     rank = F.struct(F.when(F.col("kind") == "place", F.col("times") >= 10**9).otherwise(F.lit(True)).alias("known"), F.when(F.col("kind").isin(*SHORTEST), -count).otherwise(count).alias("size"), F.length("part").alias("length"), "times", "part")
-    best = held.groupBy("kind", "text", "corrected", "whole").agg(F.max(F.when(F.col("times").isNotNull(), rank)).alias("b"))
+    named = held.groupBy("kind", "text", "corrected", "whole").agg(F.collect_list(F.when(F.col("times").isNotNull(), rank)).alias("hits"))  # those of one mention
+    often = F.array_max(F.transform("hits", lambda x: x["times"])) * SHARE
+    best = named.select("kind", "text", "corrected", "whole", F.array_max(F.filter("hits", lambda x: x["times"] >= often)).alias("b"))
     # People go by their last name: of a mention's words the one that most often comes last, so stray words
     # after it don't count. Which of several people is meant, first names and initials tell (see features).
     person = spelt.filter("kind = 'person'")
@@ -105,16 +115,21 @@ def entities(mentions: DataFrame, places: DataFrame) -> DataFrame:
     return found.join(short, (found["kind"] == short["kind"]) & (found["entity"] == short["short"]), "left").select(found["kind"], "text", F.coalesce("long", "entity").alias("entity"), "corrected")
 
 
-def features(markets: DataFrame, places: DataFrame) -> DataFrame:
+def told(markets: DataFrame) -> DataFrame:
+    """markets with q, what each title says (see questions.read; null for blank ones). Stored, so that each title is read once."""
+    return Stored(markets.select("*", _read("title").alias("q"))).df
+
+
+def features(markets: DataFrame, places: DataFrame, read: DataFrame | None = None) -> DataFrame:
     """What each market asks: key, venue, kind, question (struct of measure, direction, threshold, subject, opponent), days (array of struct day, certain), close, corrected, initial (of a person's first name, '' if none is given).
 
     markets: key, venue, title, close (microseconds or null), whole_day (whether close only names a
     day), hint_day (date), hint_direction, hint_threshold, which fill what a title leaves out. Titles
     that ask nothing readable, and markets without a day, are left out. A day named without a year is
     the one nearest to hint_day, else to the usual day before close; with neither it may be of any year
-    that the data know (certain, if that is one only).
+    that the data know (certain, if that is one only). read is told(markets), if it is there already.
     """
-    read = Stored(markets.select("*", _read("title").alias("q")).filter("q.measure is not null and q.measure != '' and q.subject != ''")).df
+    read = (told(markets) if read is None else read).filter("q.measure is not null and q.measure != '' and q.subject != ''")
     usual = F.timestamp_micros(F.col("close") - CLOSING * 3_600_000_000).cast("date")
     usual = F.when(F.col("whole_day"), F.date_sub(F.timestamp_micros("close").cast("date"), 1)).otherwise(usual)
     dated = lambda y: F.try_make_timestamp(y, F.col("q.m"), F.col("q.d"), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"), F.lit("UTC")).cast("date")
@@ -138,7 +153,7 @@ def features(markets: DataFrame, places: DataFrame) -> DataFrame:
     measured = ~kind.isin("team", "product")  # who wins and what comes out have no threshold, whatever a ticker says
     read = Stored(read.select("key", "venue", "close", "days", kind.alias("kind"), "q", F.coalesce(F.nullif("q.direction", F.lit(0)), F.when(measured, F.col("hint_direction")), F.lit(0)).alias("direction"), F.coalesce("q.threshold", F.when(measured, F.col("hint_threshold"))).alias("threshold"))).df
     said = read.select("kind", F.explode(F.array("q.subject", "q.opponent")).alias("text"))
-    names = entities(said, places)
+    names = Stored(entities(said, places)).df
     left = names.select("kind", F.col("text").alias("st"), F.col("entity").alias("subject"), F.col("corrected").alias("c1"))
     right = names.select("kind", F.col("text").alias("ot"), F.col("entity").alias("opponent"), F.col("corrected").alias("c2"))
     read = read.withColumns({"st": F.col("q.subject"), "ot": F.col("q.opponent")}).join(left, ["kind", "st"], "left").join(right, ["kind", "ot"], "left")
@@ -150,23 +165,67 @@ def features(markets: DataFrame, places: DataFrame) -> DataFrame:
 def candidates(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of markets of different venues that agree in all parts, with their odds: a, b, va, vb, w; and the markets that stand behind an end, itself among them: key, stands_for.
 
+    Where a title that should name a threshold or a direction doesn't, it is a candidate for those of the
+    same subject, measure and day that agree in what it names, at lower odds: which of several it is,
+    if any, the propagation tells.
+
     Markets of a venue that ask the same for the same days form a class with one representative, so
     propagation meets a question asked by a third of all rows in a few pairs, not in its square.
     """
     # A question's text takes part in joins as one string.
     text = F.concat_ws("|", F.col("question.measure"), F.col("question.direction").cast("string"), F.coalesce(F.col("question.threshold").cast("string"), F.lit("")), "question.subject", "question.opponent")
-    rows = asked.select("key", "venue", text.alias("text"), "initial", "days", "close", "corrected")
-    classes = rows.groupBy("venue", "text", "initial", "days").agg(F.min("key").alias("key"), F.min_by("close", "key").alias("close"), F.min("corrected").alias("corrected"))
+    measured = ~F.col("kind").isin("team", "product")
+    gaps = [(measured & F.col("question.threshold").isNull()).alias("no_threshold"), (measured & (F.col("question.direction") == 0)).alias("no_direction")]
+    about = F.concat_ws("|", "question.measure", "question.subject", "question.opponent").alias("about")
+    rows = asked.select("key", "venue", text.alias("text"), "initial", "days", "close", "corrected", about, F.col("question.threshold").alias("threshold"), F.col("question.direction").alias("direction"), *gaps)
+    parts = ("about", "threshold", "direction", "no_threshold", "no_direction")
+    classes = rows.groupBy("venue", "text", "initial", "days").agg(F.min("key").alias("key"), F.min_by("close", "key").alias("close"), F.min("corrected").alias("corrected"), *[F.first(c).alias(c) for c in parts])  # equal in a class
     behind = rows.join(classes.select("venue", "text", "initial", "days", F.col("key").alias("stands_for")), ["venue", "text", "initial", "days"]).select("key", "stands_for")
     # Classes of one question, venue and certain day are few: certain or guessed, with a close or without.
-    spread = classes.select("key", "venue", "text", "initial", "close", "corrected", F.size("days").alias("choices"), F.inline("days"))
-    a, b = (spread.select("text", "day", *[F.col(c).alias(c + s) for c in ("key", "venue", "initial", "close", "corrected", "choices", "certain")]) for s in ("_a", "_b"))
-    pairs = a.join(b, ["text", "day"]).filter("venue_a < venue_b and (initial_a = '' or initial_b = '' or initial_a = initial_b)")
+    spread = classes.select("key", "venue", "text", "initial", "close", "corrected", *parts, F.size("days").alias("choices"), F.inline("days"))
+    side = lambda df, s, *keep: df.select("day", *keep, *[F.col(c).alias(c + s) for c in ("key", "venue", "initial", "close", "corrected", "choices", "certain")])
+    initials = "(initial_a = '' or initial_b = '' or initial_a = initial_b)"
+    pairs = side(spread, "_a", "text").join(side(spread, "_b", "text"), ["text", "day"]).filter(f"venue_a < venue_b and {initials}").withColumn("gap", F.lit(0.0)).drop("text")
+    open_ = spread.filter("no_threshold or no_direction")
+    if not open_.isEmpty():
+        left, right = (side(df, s, "about", *[F.col(c).alias(c + s) for c in parts[1:]]) for df, s in ((open_, "_a"), (spread, "_b")))
+        fits = "(no_threshold_a or no_threshold_b or threshold_a <=> threshold_b) and (no_direction_a or no_direction_b or direction_a = direction_b) and not (threshold_a <=> threshold_b and direction_a = direction_b)"
+        more = left.join(right, ["about", "day"]).filter(f"venue_a != venue_b and {initials} and {fits}").withColumn("gap", F.lit(-2.5))
+        pairs = pairs.unionByName(more.select(pairs.columns))
     apart = F.abs(F.col("close_a") - F.col("close_b")) / 3_600_000_000
     guess = lambda s: F.when(F.col("certain" + s), 0.0).when(F.col("choices" + s) > 1, -1.5).otherwise(-0.5)
-    score = 3.0 + guess("_a") + guess("_b") + F.when(apart <= 12, 1.0).when(apart <= 36, 0.0).when(apart.isNull(), 0.0).otherwise(-0.5) + F.when(F.col("corrected_a"), -0.3).otherwise(0.0) + F.when(F.col("corrected_b"), -0.3).otherwise(0.0)
-    edges = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("venue_a").alias("va"), F.col("venue_b").alias("vb"), F.exp(score).alias("w"))
-    return edges.groupBy("a", "b", "va", "vb").agg(F.max("w").alias("w")), behind
+    score = 3.0 + F.col("gap") + guess("_a") + guess("_b") + F.when(apart <= 12, 1.0).when(apart <= 36, 0.0).when(apart.isNull(), 0.0).otherwise(-0.5) + F.when(F.col("corrected_a"), -0.3).otherwise(0.0) + F.when(F.col("corrected_b"), -0.3).otherwise(0.0)
+    return _edges(pairs.withColumn("w", F.exp(score))), behind
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    """Pairs (key_a, key_b, venue_a, venue_b, w) with the venues in order, each pair once with its highest odds: a, b, va, vb, w."""
+    turned = F.col("venue_a") > F.col("venue_b")
+    ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(n) for n, x, y in (("a", "key_a", "key_b"), ("b", "key_b", "key_a"), ("va", "venue_a", "venue_b"), ("vb", "venue_b", "venue_a"))]
+    return pairs.select(*ends, "w").groupBy("a", "b", "va", "vb").agg(F.max("w").alias("w"))
+
+
+def by_words(unread: DataFrame, markets: DataFrame) -> DataFrame:
+    """Candidates for markets whose titles or days can't be read, by the words of their titles: a, b, va, vb, w.
+
+    unread and markets: key, venue, title, close. A market of another venue is a candidate if the two
+    titles' word sets have a Jaccard similarity of ALIKE or more and their closing times, where both are
+    known, are at most a day and a half apart. Of n words of an unread title at least one of the
+    n - ceil(ALIKE * n) + 1 rarest must then be shared, so only those meet the other titles.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"(?U)[\w.']+"), F.lit(0)))
+    said = lambda df: df.select("key", "venue", "close", words.alias("ws")).filter(F.size("ws") > 0)
+    mine, every = said(unread), said(markets)
+    told_ = mine.select("key", F.size("ws").alias("n"), F.explode("ws").alias("t"))
+    holds = every.select(F.col("key").alias("other"), F.size("ws").alias("m"), F.explode("ws").alias("t")).join(told_.select("t").distinct(), "t", "left_semi")
+    ranked = told_.join(holds.groupBy("t").agg(F.count("*").alias("f")), "t").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("r"))
+    rare = ranked.select("key", "n", F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * ALIKE - 1e-9).cast("int") + 1)).alias("x")).select("key", "n", F.col("x.t").alias("t"))
+    met = rare.join(holds, "t").filter((F.col("m") >= F.col("n") * ALIKE - 1e-9) & (F.col("n") >= F.col("m") * ALIKE - 1e-9)).select("key", "other").distinct()
+    left, right = (df.select(*[F.col(c).alias(c + s) for c in ("key", "venue", "close", "ws")]) for df, s in ((mine, "_a"), (every, "_b")))
+    pairs = met.select(F.col("key").alias("key_a"), F.col("other").alias("key_b")).join(left, "key_a").join(right, "key_b").filter("venue_a != venue_b")
+    alike, apart = titles.jaccard(F.col("ws_a"), F.col("ws_b")), F.abs(F.col("close_a") - F.col("close_b")) / 3_600_000_000
+    scored = pairs.select("key_a", "key_b", "venue_a", "venue_b", alike.alias("j"), apart.alias("apart")).filter((F.col("j") >= ALIKE) & (F.coalesce("apart", F.lit(0.0)) <= 36))
+    return _edges(scored.withColumn("w", F.exp((F.col("j") - EVEN) * 8)))
 
 
 def propagate(edges: DataFrame) -> DataFrame:
@@ -175,8 +234,9 @@ def propagate(edges: DataFrame) -> DataFrame:
     Sum-product messages of the matching factor: what a sends over an edge is the edge's odds over one
     plus all that a's other edges to the same venue send in. Pairs without a rival have their answer
     in closed form; the others exchange messages through joins, the sums being map-side reduced
-    aggregates by market and venue, until no message changes by SETTLED or after ROUNDS rounds. Every
-    round is written to the shared folder.
+    aggregates by market and venue, until no message changes by SETTLED. Markets of two venues are a
+    bipartite graph of their own, for which these messages converge (Vontobel, 2013), so there is no
+    last round. Every round is written to the shared folder.
     """
     rivals = F.count("*").over(Window.partitionBy("a", "vb")) + F.count("*").over(Window.partitionBy("b", "va"))
     counted = Stored(edges.withColumn("rivals", rivals)).df
@@ -184,7 +244,7 @@ def propagate(edges: DataFrame) -> DataFrame:
     state = Stored(counted.filter("rivals > 2").select("a", "b", "va", "vb", "w", F.col("w").alias("to_b"), F.col("w").alias("to_a"), F.lit(1.0).alias("change")))
     if state.df.isEmpty():
         return alone
-    for _ in range(ROUNDS):
+    for _ in itertools.count():
         at_a = state.df.groupBy("a", "vb").agg(F.sum("to_a").alias("into_a"))
         at_b = state.df.groupBy("b", "va").agg(F.sum("to_b").alias("into_b"))
         sent = state.df.join(at_a, ["a", "vb"]).join(at_b, ["b", "va"])
@@ -205,9 +265,17 @@ def match(markets: DataFrame, places: DataFrame) -> DataFrame:
     """Pairs of markets of different venues with the probability that they ask the same: a, b (by key), confidence.
 
     See features for the input. Each member of a class is paired with each of the other side's, since
-    all of them ask the same: what comes out is the square of a question that both venues repeat. Empty tables, null titles and titles that ask nothing give no pairs.
+    all of them ask the same: what comes out is the square of a question that both venues repeat. Titles
+    that can't be read, and markets without a day, are matched by their words. Empty tables and null or
+    blank titles give no pairs.
     """
-    edges, behind = candidates(Stored(features(markets, places)).df)
+    read = told(markets)
+    asked = Stored(features(markets, places, read)).df
+    edges, behind = candidates(asked)
+    unread = Stored(read.select("key", "venue", "title", "close").join(asked.select("key"), "key", "left_anti").filter(F.trim("title") != "")).df
+    if not unread.isEmpty():
+        edges = edges.unionByName(by_words(unread, read.select("key", "venue", "title", "close"))).groupBy("a", "b", "va", "vb").agg(F.max("w").alias("w"))
+        behind = behind.unionByName(read.select("key", F.col("key").alias("stands_for"))).distinct()
     found = propagate(edges).select("a", "b", F.col("p").alias("confidence"))
     ends = [behind.select(F.col("key").alias(f"{c}_key"), F.col("stands_for").alias(c)) for c in ("a", "b")]
     every = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "confidence")

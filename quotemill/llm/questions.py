@@ -71,7 +71,10 @@ def _is(word: str, group: tuple[str, ...], loose: bool | str) -> bool:
 
 
 def _any(words: list[str], group: list[str], loose: bool | str) -> bool:
-    return any(_is(w, tuple(group), loose) for w in words)
+    if not loose:
+        return not set(words).isdisjoint(group)
+    t = tuple(group)
+    return any(_is(w, t, loose) for w in words)
 
 
 def plain(title: str) -> str:
@@ -149,8 +152,9 @@ def read(title: str | None, year: int | None = 2021) -> dict | None:
         out["subject"], out["opponent"] = _sides(rest)
         return out
     if measure == "release":
-        group = MEASURES["release"] + ["will", "the", "before", "end", "of", "by"]
-        out["subject"] = " ".join(w for w in re.findall(rf"{_WORD}|\d+", rest) if w not in group and not _is(w, tuple(MEASURES["release"] + ["before"]), True))
+        group = (*MEASURES["release"], "will", "the", "before", "end", "of", "by")
+        near = (*MEASURES["release"], "before")
+        out["subject"] = " ".join(w for w in re.findall(rf"{_WORD}|\d+", rest) if w not in group and not _is(w, near, True))
         return out
     if found:
         m = found[-1]
@@ -163,13 +167,19 @@ def read(title: str | None, year: int | None = 2021) -> dict | None:
         if not up and not down:
             up, down = _any(words, UP, loose), _any(words, DOWN, loose)
     out["direction"] = 1 if measure == "points" or up and not down else -1 if down else 0
-    strict = MEASURES.get(measure, MEASURES["temperature"]) + UP + DOWN + FILLERS
-    loose = [w for w in strict if len(w) >= 5]
-    kept = [w for w in words if w not in strict and not _is(w, tuple(loose), True)]
+    strict, loose = _passed_over(measure)
+    kept = [w for w in words if w not in strict and not _is(w, loose, True)]
     out["subject"] = " ".join(SHORT_FORMS.get(w, w) for w in kept)
     return out
 
 
+@lru_cache(maxsize=32)
+def _passed_over(measure: str) -> tuple[frozenset[str], tuple[str, ...]]:
+    """The words that are no part of a subject, and those of them that may be misspelt."""
+    words = MEASURES.get(measure, MEASURES["temperature"]) + UP + DOWN + FILLERS
+    return frozenset(words), tuple(w for w in words if len(w) >= 5)
+
+
 def _sides(rest: str) -> tuple[str, str]:
     """The side that wins, and the other, of a text like 'A beat B', 'A to win vs B' or 'A over B'."""
     words = re.findall(rf"{_WORD}(?:'{_WORD})?", rest)

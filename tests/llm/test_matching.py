@@ -148,3 +148,58 @@ def test_days_without_a_year_take_that_of_their_close(spark):
 def test_copies_in_both_venues_all_meet(spark):
     rows = [("a:1", "WYS high temp < 60° on Mar 17?", CLOSE), ("a:2", "Wylcross: daily high under 60 degrees on 2021-03-17", CLOSE), ("a:3", "WYS high temp < 60° on Mar 17?", CLOSE), ("b:1", "WYS high temp < 60° on Mar 17?", CLOSE), ("b:2", "Wylcross: daily high below 60F on Mar 17", CLOSE)]
     assert {p for p, c in _pairs(spark, rows).items() if c >= 0.5} == {(a, b) for a in ("a:1", "a:2", "a:3") for b in ("b:1", "b:2")}
+
+
+def _asked(spark, rows):
+    schema = "key string, venue string, title string, close long, whole_day boolean, hint_day date, hint_direction int, hint_threshold double"
+    return spark.createDataFrame([(k, v, t, c, False, None, None, None) for k, v, t, c in rows], schema)
+
+
+def _met(spark, rows):
+    places = spark.createDataFrame([("AAA", "Aton")], "code string, name string")
+    return {(r["a"], r["b"]): r["confidence"] for r in matching.match(_asked(spark, rows), places).collect()}
+
+
+def _at(day):
+    import datetime as dt
+
+    return int(dt.datetime.fromisoformat(f"{day}T22:00:00+00:00").timestamp() * 1e6)
+
+
+def test_a_missing_threshold_is_left_to_the_propagation(spark):
+    rows = [("k:1", "k", "Zedcoin price above 100 on May 3, 2031", _at("2031-05-03")), ("k:2", "k", "Zedcoin price above 200 on May 3, 2031", _at("2031-05-03")), ("m:1", "m", "Zedcoin price above 100 on 2031-05-03", _at("2031-05-03"))]
+    sure = _met(spark, rows)
+    assert set(sure) == {("k:1", "m:1")} and sure["k:1", "m:1"] > 0.9
+    # One that names no threshold may be either of the two, so neither is more likely than not.
+    open_ = _met(spark, [*rows[:2], ("m:2", "m", "Zedcoin price above on 2031-05-03", _at("2031-05-03"))])
+    assert set(open_) == {("k:1", "m:2"), ("k:2", "m:2")} and max(open_.values()) < 0.5
+    # With one of the two taken by a market that names it, the other is the better guess.
+    both = _met(spark, [*rows, ("m:2", "m", "Zedcoin price above on 2031-05-03", _at("2031-05-03"))])
+    assert both["k:1", "m:1"] > 0.8 and both["k:2", "m:2"] > both["k:1", "m:2"]
+
+
+def test_titles_that_cannot_be_read_go_by_their_words(spark):
+    rows = [("k:1", "k", "Which side lifts the Lantern Cup this coming spring season?", _at("2031-05-03")), ("m:1", "m", "which side lifts the lantern cup this coming spring season", _at("2031-05-04")), ("m:2", "m", "Which side lifts the Copper Bowl this coming spring season?", _at("2031-05-03")), ("p:1", "p", "Which side lifts the Lantern Cup this coming spring season?", _at("2031-09-03")), ("p:2", "p", " ", None), ("p:3", "p", None, None)]
+    found = {k for k, c in _met(spark, rows).items() if c >= 0.5}
+    assert found == {("k:1", "m:1")}
+
+
+def test_names_of_many_words_and_stray_words_in_large_numbers(spark):
+    long = "The Grand Old Duke of York Memorial Tea Room Association"
+    rows = [(f"k:{i}", "k", f"{long} stock above {i} dollars on May 3, 2031", _at("2031-05-03")) for i in range(1, 5)] + [(f"m:{i}", "m", f"Will {long} stock close above {i} dollars on 2031-05-03?", _at("2031-05-03")) for i in range(1, 5)]
+    found = _met(spark, rows)
+    assert set(found) == {(f"k:{i}", f"m:{i}") for i in range(1, 5)} and min(found.values()) > 0.9
+    # A stray phrase that stands three times is no name beside one that stands four hundred times.
+    mentions = spark.createDataFrame([("product", "quill")] * 400 + [("product", "quill tomorrow")] * 3 + [("product", "brass lamp")] * 3, "kind string, text string")
+    names = {r["text"]: r["entity"] for r in matching.entities(mentions, spark.createDataFrame([], "code string, name string")).collect()}
+    assert names == {"quill": "quill", "quill tomorrow": "quill", "brass lamp": "brass lamp"}
+
+
+def test_propagation_ends_settled(spark):
+    import itertools
+
+    edges = spark.createDataFrame([(f"a{i}", f"b{j}", "x", "y", 2.0 + (i * 7 + j * 3) % 5) for i, j in itertools.product(range(6), range(6)) if (i + 2 * j) % 4], "a string, b string, va string, vb string, w double")
+    found = matching.propagate(edges).collect()
+    for side in ("a", "b"):
+        for k in {r[side] for r in found}:
+            assert sum(r["p"] for r in found if r[side] == k) <= 1 + 1e-3
