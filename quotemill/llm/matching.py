@@ -120,24 +120,17 @@ def told(markets: DataFrame) -> DataFrame:
     return Stored(markets.select("*", _read("title").alias("q"))).df
 
 
-def features(markets: DataFrame, places: DataFrame, read: DataFrame | None = None) -> DataFrame:
-    """What each market asks: key, venue, kind, question (struct of measure, direction, threshold, subject, opponent), days (array of struct day, certain), close, corrected, initial (of a person's first name, '' if none is given).
-
-    markets: key, venue, title, close (microseconds or null), whole_day (whether close only names a
-    day), hint_day (date), hint_direction, hint_threshold, which fill what a title leaves out. Titles
-    that ask nothing readable, and markets without a day, are left out. A day named without a year is
-    the one nearest to hint_day, else to the usual day before close; with neither it may be of any year
-    that the data know (certain, if that is one only). read is told(markets), if it is there already.
-    """
-    read = (told(markets) if read is None else read).filter("q.measure is not null and q.measure != '' and q.subject != ''")
+def dated(markets: DataFrame) -> DataFrame:
+    """markets with q (see told) and days, the days that each may ask for: an array of struct day, certain; null for a title that asks nothing readable, and for a market without a day. Stored."""
+    read = told(markets).withColumn("readable", F.coalesce(F.expr("q.measure != '' and q.subject != ''"), F.lit(False)))
     usual = F.timestamp_micros(F.col("close") - CLOSING * 3_600_000_000).cast("date")
     usual = F.when(F.col("whole_day"), F.date_sub(F.timestamp_micros("close").cast("date"), 1)).otherwise(usual)
-    dated = lambda y: F.try_make_timestamp(y, F.col("q.m"), F.col("q.d"), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"), F.lit("UTC")).cast("date")
+    in_year = lambda y: F.try_make_timestamp(y, F.col("q.m"), F.col("q.d"), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"), F.lit("UTC")).cast("date")
     about = F.coalesce("hint_day", "usual")
     # The day in each year around; leap days are eight years apart at most.
-    near = F.array_min(F.filter(F.transform(F.sequence(F.lit(-8), F.lit(8)), lambda i: F.struct(F.abs(F.date_diff(dated(F.year(about) + i), about)).alias("off"), dated(F.year(about) + i).alias("day"))), lambda x: x["day"].isNotNull()))
+    near = F.array_min(F.filter(F.transform(F.sequence(F.lit(-8), F.lit(8)), lambda i: F.struct(F.abs(F.date_diff(in_year(F.year(about) + i), about)).alias("off"), in_year(F.year(about) + i).alias("day"))), lambda x: x["day"].isNotNull()))
     open_ = (F.col("q.m") > 0) & F.col("q.y").isNull()
-    named = F.when(open_, F.when(about.isNotNull(), near["day"])).when(F.col("q.m") > 0, dated(F.col("q.y")))
+    named = F.when(open_, F.when(about.isNotNull(), near["day"])).when(F.col("q.m") > 0, in_year(F.col("q.y")))
     # A month that can't be read: the day of the month nearest to the usual one.
     around = F.filter(F.transform(F.sequence(F.lit(-15), F.lit(15)), lambda i: F.date_add(F.col("usual"), i)), lambda x: F.dayofmonth(x) == F.col("q.d"))
     certain = F.coalesce("named", "hint_day", F.when(F.col("q.m") == 0, F.get(around, F.lit(0))))
@@ -145,10 +138,23 @@ def features(markets: DataFrame, places: DataFrame, read: DataFrame | None = Non
     guessed = F.when(F.col("whole_day"), F.array(one(F.col("usual"), False), one(F.date_add("usual", 1), False))).otherwise(F.array(one(F.col("usual"), False)))
     read = read.withColumn("usual", usual).withColumn("named", named)
     # One row; a leap year stands for all where no year is known at all.
-    years = read.agg(F.array_sort(F.collect_set(F.year(F.coalesce("named", "hint_day", "usual")))).alias("y")).select(F.when(F.size("y") > 0, F.col("y")).otherwise(F.array(F.lit(2000))).alias("years"))
-    any_year = F.filter(F.transform("years", lambda y: F.struct(dated(y).alias("day"), (F.size("years") == 1).alias("certain"))), lambda x: x["day"].isNotNull())
+    years = read.filter("readable").agg(F.array_sort(F.collect_set(F.year(F.coalesce("named", "hint_day", "usual")))).alias("y")).select(F.when(F.size("y") > 0, F.col("y")).otherwise(F.array(F.lit(2000))).alias("years"))
+    any_year = F.filter(F.transform("years", lambda y: F.struct(in_year(y).alias("day"), (F.size("years") == 1).alias("certain"))), lambda x: x["day"].isNotNull())
     read = read.crossJoin(F.broadcast(years)).withColumn("certain", certain)
-    read = read.withColumn("days", F.when(F.col("certain").isNotNull(), F.array(one(F.col("certain"), True))).when(open_, F.when(F.size(any_year) > 0, any_year)).when(F.col("usual").isNotNull(), guessed)).filter("days is not null")
+    days = F.when(F.col("certain").isNotNull(), F.array(one(F.col("certain"), True))).when(open_, F.when(F.size(any_year) > 0, any_year)).when(F.col("usual").isNotNull(), guessed)
+    return Stored(read.select(*markets.columns, "q", F.when(F.col("readable"), days).alias("days"))).df
+
+
+def features(markets: DataFrame, places: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """What each market asks: key, venue, kind, question (struct of measure, direction, threshold, subject, opponent), days (array of struct day, certain), close, corrected, initial (of a person's first name, '' if none is given).
+
+    markets: key, venue, title, close (microseconds or null), whole_day (whether close only names a
+    day), hint_day (date), hint_direction, hint_threshold, which fill what a title leaves out. Titles
+    that ask nothing readable, and markets without a day, are left out. A day named without a year is
+    the one nearest to hint_day, else to the usual day before close; with neither it may be of any year
+    that the data know (certain, if that is one only). read is dated(markets), if it is there already.
+    """
+    read = (dated(markets) if read is None else read).filter("days is not null")
     kind = F.coalesce(*[F.when(F.col("q.measure") == m, k) for m, k in KINDS.items()], F.lit("other"))
     measured = ~kind.isin("team", "product")  # who wins and what comes out have no threshold, whatever a ticker says
     read = Stored(read.select("key", "venue", "close", "days", kind.alias("kind"), "q", F.coalesce(F.nullif("q.direction", F.lit(0)), F.when(measured, F.col("hint_direction")), F.lit(0)).alias("direction"), F.coalesce("q.threshold", F.when(measured, F.col("hint_threshold"))).alias("threshold"))).df
@@ -210,17 +216,17 @@ def by_words(unread: DataFrame, markets: DataFrame) -> DataFrame:
 
     unread and markets: key, venue, title, close. A market of another venue is a candidate if the two
     titles' word sets have a Jaccard similarity of ALIKE or more and their closing times, where both are
-    known, are at most a day and a half apart. Of n words of an unread title at least one of the
-    n - ceil(ALIKE * n) + 1 rarest must then be shared, so only those meet the other titles.
+    known, are at most a day and a half apart. Words stand in one order for all, the longest first, as
+    those are seldom common; of n words the first n - ceil(ALIKE * n) + 1 are a title's prefix, and two
+    titles that are alike enough share a word of their prefixes, so only those meet.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"(?U)[\w.']+"), F.lit(0)))
     said = lambda df: df.select("key", "venue", "close", words.alias("ws")).filter(F.size("ws") > 0)
     mine, every = said(unread), said(markets)
-    told_ = mine.select("key", F.size("ws").alias("n"), F.explode("ws").alias("t"))
-    holds = every.select(F.col("key").alias("other"), F.size("ws").alias("m"), F.explode("ws").alias("t")).join(told_.select("t").distinct(), "t", "left_semi")
-    ranked = told_.join(holds.groupBy("t").agg(F.count("*").alias("f")), "t").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("r"))
-    rare = ranked.select("key", "n", F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * ALIKE - 1e-9).cast("int") + 1)).alias("x")).select("key", "n", F.col("x.t").alias("t"))
-    met = rare.join(holds, "t").filter((F.col("m") >= F.col("n") * ALIKE - 1e-9) & (F.col("n") >= F.col("m") * ALIKE - 1e-9)).select("key", "other").distinct()
+    n = F.size("ws")
+    first = F.slice(F.array_sort(F.transform("ws", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), F.lit(1), n - F.ceil(n * ALIKE - 1e-9).cast("int") + 1)
+    prefix = lambda df, key, size: df.select(F.col("key").alias(key), n.alias(size), F.explode(first).alias("x")).select(key, size, F.col("x.w").alias("t"))
+    met = prefix(mine, "key", "n").join(prefix(every, "other", "m"), "t").filter((F.col("m") >= F.col("n") * ALIKE - 1e-9) & (F.col("n") >= F.col("m") * ALIKE - 1e-9)).select("key", "other").distinct()
     left, right = (df.select(*[F.col(c).alias(c + s) for c in ("key", "venue", "close", "ws")]) for df, s in ((mine, "_a"), (every, "_b")))
     pairs = met.select(F.col("key").alias("key_a"), F.col("other").alias("key_b")).join(left, "key_a").join(right, "key_b").filter("venue_a != venue_b")
     alike, apart = titles.jaccard(F.col("ws_a"), F.col("ws_b")), F.abs(F.col("close_a") - F.col("close_b")) / 3_600_000_000
@@ -269,14 +275,14 @@ def match(markets: DataFrame, places: DataFrame) -> DataFrame:
     that can't be read, and markets without a day, are matched by their words. Empty tables and null or
     blank titles give no pairs.
     """
-    read = told(markets)
-    asked = Stored(features(markets, places, read)).df
-    edges, behind = candidates(asked)
-    unread = Stored(read.select("key", "venue", "title", "close").join(asked.select("key"), "key", "left_anti").filter(F.trim("title") != "")).df
+    read = dated(markets)
+    edges, behind = candidates(Stored(features(markets, places, read)).df)
+    titled = read.select("key", "venue", "title", "close", F.col("days").isNull().alias("unread")).filter(F.trim("title") != "")
+    unread = titled.filter("unread")
     if not unread.isEmpty():
-        edges = edges.unionByName(by_words(unread, read.select("key", "venue", "title", "close"))).groupBy("a", "b", "va", "vb").agg(F.max("w").alias("w"))
-        behind = behind.unionByName(read.select("key", F.col("key").alias("stands_for"))).distinct()
+        edges = edges.unionByName(by_words(unread, titled)).groupBy("a", "b", "va", "vb").agg(F.max("w").alias("w"))
     found = propagate(edges).select("a", "b", F.col("p").alias("confidence"))
     ends = [behind.select(F.col("key").alias(f"{c}_key"), F.col("stands_for").alias(c)) for c in ("a", "b")]
-    every = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "confidence")
+    # An end that no class stands behind is one market that was matched by its words.
+    every = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_key", "a").alias("a"), F.coalesce("b_key", "b").alias("b"), "confidence")
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "confidence").groupBy("a", "b").agg(F.max("confidence").alias("confidence"))
