@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.session import Stored
 
-#: Steps of the draw: how finely a cell's part is cut by the keys' hash.
-STEPS = 256
-#: Rounds of proportional fitting at most, and how far the marginals may stay off when it ends.
-ROUNDS, CLOSE = 200, 1e-6
+#: Steps that the draw, a hash of the key of DIGITS digits, is cut into by each digit: the step that decides is cut again by the next digit.
+STEPS, DIGITS = 256, 7
+#: A cell's cut is fine enough when the step that decides holds no larger share of all tokens.
+FINE = 1e-5
+#: Rounds of proportional fitting after which it is reported as not settled, and how little factors or uses then still move.
+ROUNDS, CLOSE = 10_000, 1e-9
 
 
 def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], most: dict[tuple[str, ...], float], total: float) -> dict[tuple[str, ...], float]:
@@ -18,12 +22,13 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], m
 
     cells: tokens by (source, language, topic). Iterative proportional fitting over the axes in turn,
     the first one last so that its marginals hold best; a cell at its cap stays there while the rest of
-    its margin takes up the difference.
+    its margin takes up the difference. The fitting ends when nothing moves any more: at the targets, or
+    where caps keep it off them.
     """
     use = dict.fromkeys(cells, 1.0)
     axes = list(range(len(targets)))[::-1]
     for _ in range(ROUNDS):
-        worst = 0.0
+        before = dict(use)
         for axis in axes:
             free: dict[str, float] = {}
             fixed: dict[str, float] = {}
@@ -40,35 +45,47 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], m
                 factor[value] = want / now if want <= now or not fixed.get(value) else None
                 if factor[value] is None:
                     factor[value] = (want - fixed[value]) / free[value] if free.get(value) else 1.0
-                if axis == 0:
-                    worst = max(worst, abs(factor[value] - 1))
             for c in cells:
                 f = factor.get(c[axis], 1.0)
                 use[c] = min(most[c], use[c] * f)
-        if worst < CLOSE:
+        if max(abs(use[c] - before[c]) / max(before[c], 1e-300) for c in use) < CLOSE:
             break
+    else:
+        warnings.warn(f"fitting not settled after {ROUNDS} rounds", stacklevel=2)
     return use
 
 
-def thresholds(use: dict[tuple[str, ...], float], cells: dict[tuple[str, ...], float], steps: dict[tuple[str, ...], dict[int, float]], most: dict[tuple[str, ...], float]) -> dict[tuple[str, ...], tuple[int, int]]:
-    """For each cell the copies that each of its records gets for sure, and up to which step of the hash they get one more.
+class Cut:
+    """Where a cell's draw is cut: records with a smaller draw get one copy more. below holds the tokens before `at`, step those of the step that decides."""
+
+    def __init__(self, want: float, whole: float) -> None:
+        self.want, self.at, self.below, self.step, self.last = want, 0, 0.0, whole, False
+
+    def descend(self, level: int, steps: dict[int, float]) -> None:
+        """Goes on to the step of this level's digit in which the wanted tokens end."""
+        size = STEPS ** (DIGITS - 1 - level)
+        for digit in sorted(steps):
+            if self.below + steps[digit] > self.want:
+                self.at, self.step = self.at + digit * size, steps[digit]
+                return
+            self.below += steps[digit]
+        self.at, self.step, self.last = self.at + STEPS * size, 0.0, True  # all of them
 
-    The step is the one at which the cell's tokens come nearest to its weight's; what is then over or
-    short in a cell goes over to the next one of its source, so that the source's sum stays exact to a step.
+
+def settle(cuts: dict[tuple[str, ...], Cut], level: int) -> dict[tuple[str, ...], int]:
+    """The draws below which each cell's records get one more: the deciding step goes in where that brings the cell nearer to its want.
+
+    What is then over or short in a cell goes over to the next one of its source, so that the source's
+    sum stays exact to a step of one cell.
     """
     out, carried = {}, {}
-    for c in sorted(cells):
-        sure = min(int(use[c] + 1e-9), int(most[c]))
-        want = (use[c] - sure) * cells[c] + carried.get(c[0], 0.0)
-        at, got = 0, 0.0
-        if sure < most[c]:
-            for step in sorted(steps.get(c, {})):
-                n = steps[c][step]
-                if abs(got + n - want) > abs(got - want):
-                    break
-                at, got = step + 1, got + n
-        carried[c[0]] = want - got
-        out[c] = (sure, at)
+    size = STEPS ** (DIGITS - level)
+    for c in sorted(cuts):
+        cut = cuts[c]
+        want = cut.want + carried.get(c[0], 0.0)
+        more = not cut.last and abs(cut.below + cut.step - want) < abs(cut.below - want)
+        out[c] = cut.at + size if more else cut.at
+        carried[c[0]] = want - cut.below - (cut.step if more else 0.0)
     return out
 
 
@@ -78,9 +95,10 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", budget: float
     sizes: key, source, language, topic, n_tokens; targets: source, target_share, max_repeats. Tokens by
     source, language and topic are summed into cells (a small table: values of three columns), their
     weights are raked to the sources' target shares and to the languages' and topics' natural shares,
-    and each document is drawn by its cell's weight: the whole part of it for sure, the rest by a hash
-    of the key up to the step of it at which the cell's tokens come nearest (thresholds), so runs repeat
-    and no order or driver-side list of documents is needed. copies never exceeds max_repeats. Sources without a target, and targets without documents, give
+    and each document is drawn by its cell's weight: the whole part of it for sure, the rest if its draw,
+    a hash of its key, lies below the cell's cut. The cut is found digit by digit of the draw, by sums of
+    STEPS steps a cell, until the step that decides is finer than FINE, so a cell of any size is cut as
+    finely as a small one, runs repeat, and no order or driver-side list of documents is needed. copies never exceeds max_repeats. Sources without a target, and targets without documents, give
     nothing; the shares of the others are then of what is left. budget is the total of tokens; by
     default the largest at which every target share can be met within its cap.
 
@@ -107,16 +125,29 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", budget: float
     natural = [{v: n / every for v, n in tokens[axis].items()} for axis in (1, 2)]
     most = {c: float(wanted[c[0]][1]) for c in cells}
     use = rake(cells, [share, *natural], most, total)
-    step = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("draw")), F.lit(STEPS)).cast("int")
-    rows = rows.withColumn("step", step)
-    # STEPS rows a cell, whatever the number of documents.
-    steps: dict[tuple[str, ...], dict[int, float]] = {}
-    for r in rows.groupBy(*names, "step").agg(F.sum("n_tokens").alias("n")).collect():
-        steps.setdefault((r["source"], r["language"], r["topic"]), {})[r["step"]] = float(r["n"])
-    plan = thresholds(use, cells, steps, most)
-    weights = spark.createDataFrame([(*c, sure, at) for c, (sure, at) in plan.items()], "source string, language string, topic string, sure int, at int")
+    draw = F.col("_draw")
+    rows = Stored(rows.withColumn("_draw", F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit("draw")), 64 - 8 * DIGITS))).df
+    sure = {c: min(int(use[c] + 1e-9), int(most[c])) for c in use}
+    cuts = {c: Cut((use[c] - sure[c]) * cells[c] if sure[c] < most[c] else 0.0, cells[c]) for c in cells}
+    level = 0
+    while level < DIGITS:
+        open_ = {c: cut for c, cut in cuts.items() if not cut.last and cut.step > FINE * total}
+        if not open_:
+            break
+        # STEPS rows a cell, whatever the number of documents.
+        size = STEPS ** (DIGITS - 1 - level)
+        at = spark.createDataFrame([(*c, cut.at) for c, cut in open_.items()], "source string, language string, topic string, at bigint")
+        within = rows.join(F.broadcast(at), list(names)).filter((draw >= F.col("at")) & (draw < F.col("at") + size * STEPS))
+        steps: dict[tuple[str, ...], dict[int, float]] = {}
+        for r in within.groupBy(*names, F.call_function("div", draw - F.col("at"), F.lit(size)).alias("digit")).agg(F.sum("n_tokens").alias("n")).collect():
+            steps.setdefault((r["source"], r["language"], r["topic"]), {})[r["digit"]] = float(r["n"])
+        for c, cut in cuts.items():
+            cut.descend(level, steps[c] if c in open_ else {0: cut.step})
+        level += 1
+    plan = settle(cuts, level)
+    weights = spark.createDataFrame([(*c, sure[c], int(most[c]), at) for c, at in plan.items()], "source string, language string, topic string, sure int, most int, at bigint")
     drawn = rows.join(F.broadcast(weights), list(names))  # a row a cell, bounded by the values of three small columns
-    copies = F.col("sure") + (F.col("step") < F.col("at")).cast("int")
+    copies = F.least(F.col("most"), F.col("sure") + (draw < F.col("at")).cast("int"))
     return drawn.select(key, "source", F.col("n_tokens").cast("int").alias("n_tokens"), copies.alias("copies")).filter("copies > 0")
 
 

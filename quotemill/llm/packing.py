@@ -24,7 +24,7 @@ SHARD_TOKENS = 16_000_000
 #: Parts of documents that a shard holds at most.
 SHARD_ITEMS = 200_000
 
-PLACED = "limit_name string, capacity_tokens int, container_id string, doc_id bigint, part int, first_token int, n_tokens int, at_token int"
+PLACED = "limit_name string, capacity_tokens int, container_id string, doc_id bigint, part int, first_token int, n_tokens int, at_token int, online_id string"
 
 
 class Packer:
@@ -127,6 +127,9 @@ def _pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
     packer = Packer(capacity)
     for i, size in enumerate(sizes.tolist()):
         packer.place(i, size)
+    online = np.zeros(len(rows), dtype=np.int64)
+    for c, items in enumerate(packer.contents):
+        online[items] = c
     packer.close(sizes.tolist())
     filled = [c for c in packer.contents if c]
     order = np.array([i for c in filled for i in c], dtype=np.int64)
@@ -139,11 +142,12 @@ def _pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
     out = rows.iloc[order][["limit_name", "capacity_tokens", "doc_id", "part", "first_token", "n_tokens"]].copy()
     out["container_id"] = [f"{limit}-{shard}-{n}" for n in number]
     out["at_token"] = starts - base
-    return out[["limit_name", "capacity_tokens", "container_id", "doc_id", "part", "first_token", "n_tokens", "at_token"]]
+    out["online_id"] = [f"{limit}-{shard}-{n}" for n in online[order]]
+    return out[["limit_name", "capacity_tokens", "container_id", "doc_id", "part", "first_token", "n_tokens", "at_token", "online_id"]]
 
 
 def pack(sizes: DataFrame, limits: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Where each document goes, for each limit: limit_name, capacity_tokens, container_id, doc_id, part, first_token, n_tokens, at_token.
+    """Where each document goes, for each limit: limit_name, capacity_tokens, container_id, doc_id, part, first_token, n_tokens, at_token; and online_id, the container that it lay in before the last open ones were repacked.
 
     sizes: key and n_tokens; limits: limit_name, capacity_tokens. A document longer than the capacity is
     split into parts of full capacity and a last one; no other is split. Documents without tokens (null
@@ -171,6 +175,20 @@ def pack(sizes: DataFrame, limits: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def report(placed: DataFrame) -> DataFrame:
-    """By limit: containers, tokens, fill (share of the space that holds tokens) and documents split."""
+    """By limit: containers, tokens, fill (share of the space that holds tokens), documents split; and the containers and fill of the online rule alone, before the last open ones were repacked."""
     per = placed.groupBy("limit_name", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("n"), F.count_if(F.col("part") == 1).alias("split"))
-    return per.groupBy("limit_name", "capacity_tokens").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), (F.sum("n") / (F.count("*") * F.first("capacity_tokens"))).alias("fill"), F.sum("split").alias("split_documents"))
+    online = placed.groupBy("limit_name", "online_id").agg(F.lit(1).alias("one")).groupBy("limit_name").agg(F.count("*").alias("online_containers"))
+    whole = per.groupBy("limit_name", "capacity_tokens").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.sum("split").alias("split_documents"))
+    filled = lambda c: F.col("tokens") / (F.col(c) * F.col("capacity_tokens"))
+    return whole.join(online, "limit_name").select("limit_name", "capacity_tokens", "containers", "tokens", filled("containers").alias("fill"), "split_documents", "online_containers", filled("online_containers").alias("online_fill"))
+
+
+def faults(placed: DataFrame, sizes: DataFrame, limits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What a packing must not have, by limit: limit_name, lost_tokens (tokens of documents less those placed), overfull (containers beyond their capacity), needless_splits (documents split that fit whole), overlaps (parts that don't begin where the one before ends)."""
+    total = sizes.filter("n_tokens > 0").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens"))
+    per = placed.groupBy("limit_name").agg(F.sum("n_tokens").alias("placed"))
+    over = placed.groupBy("limit_name", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("n"), F.count_if(F.col("at_token") + F.col("n_tokens") > F.col("capacity_tokens")).alias("out")).groupBy("limit_name").agg(F.count_if((F.col("n") > F.col("capacity_tokens")) | (F.col("out") > 0)).alias("overfull"))
+    docs = placed.groupBy("limit_name", "capacity_tokens", "doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end")).groupBy("limit_name").agg(F.count_if((F.col("k") > 1) & (F.col("n") <= F.col("capacity_tokens"))).alias("needless_splits"), F.count_if(F.col("n") != F.col("end")).alias("overlaps"))
+    out = limits.filter("capacity_tokens >= 1").select("limit_name").join(per, "limit_name", "left").join(over, "limit_name", "left").join(docs, "limit_name", "left").withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return out.select("limit_name", (F.col("all_tokens") - F.coalesce("placed", F.lit(0))).cast("bigint").alias("lost_tokens"), zero("overfull"), zero("needless_splits"), zero("overlaps"))

@@ -55,6 +55,12 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_limits"))
 
 
+def p8_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens lost, containers overfull, documents split without need and parts that overlap, by capacity; all must be 0."""
+    sizes, limits = tokens.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_limits")
+    return packing.faults(packing.pack(sizes, limits), sizes, limits)
+
+
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well containers of each capacity are filled."""
     return packing.report(p8_pack(spark, sf_dir))
@@ -62,11 +68,23 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is used so that sources reach their target shares."""
-    # Records of a series and single ones are the topics that the table tells apart.
-    docs = table(spark, sf_dir, "documents").withColumns({"language": F.lower(F.substring("lang", 1, 2)), "topic": F.when(F.col("episode").isNull(), "single").otherwise("series")})
+    # What the table tells of a record's content: series or single, and how much is said in it.
+    said = F.when(F.col("n_cues") < 20, "short").when(F.col("n_cues") < 80, "middle").otherwise("long")
+    topic = F.concat_ws(" ", F.when(F.col("episode").isNull(), "single").otherwise("series"), said)
+    docs = table(spark, sf_dir, "documents").withColumns({"language": F.lower(F.substring("lang", 1, 2)), "topic": topic})
     return mixing.mix(tokens.sized(docs, keep=("source", "language", "topic")), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source with a target: whether a document was used more often than allowed, and whether the tokens reached are off the target (scaled to the sources that have documents) by more than the longest document used, as no document is split."""
+    targets, mixed = table(spark, sf_dir, "mix_targets"), p9_mix(spark, sf_dir)
+    told = mixing.report(mixed, targets).filter("tokens > 0")
+    whole = told.agg(F.sum("target_share").alias("whole"), F.sum("tokens").alias("every")).withColumn("_one", F.lit(1))
+    longest = mixed.agg(F.max("n_tokens").alias("longest")).withColumn("_one", F.lit(1))
+    off = F.abs(F.col("actual_share") - F.col("target_share") / F.col("whole")) * F.col("every") > F.col("longest")
+    return told.withColumn("_one", F.lit(1)).join(whole, "_one").join(longest, "_one").select("source", (F.col("most_copies") > F.col("max_repeats")).alias("repeated_too_often"), off.alias("off_target"))
+
+
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of the sources."""
     return mixing.report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
@@ -88,7 +106,7 @@ def p10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.repeats(spans.shared_runs(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_matches, p6_found, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_shared, p10_repeats)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_matches, p6_found, p8_pack, p8_report, p8_faults, p9_mix, p9_report, p9_faults, p10_found, p10_shared, p10_repeats)}
 
 _SPANS = """
         marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM runs),
@@ -104,6 +122,9 @@ _LATER = """
         runs AS (SELECT doc_id, s FROM w JOIN (SELECT g, min(doc_id) AS owner FROM w GROUP BY g) USING (g) WHERE owner < doc_id),""" + _SPANS
 
 ORACLE = {
+    # What must hold whatever the way there: nothing is lost, overfull or needlessly split, no cap is broken and every share reached.
+    "p8_faults": "SELECT limit_name, 0::BIGINT AS lost_tokens, 0::BIGINT AS overfull, 0::BIGINT AS needless_splits, 0::BIGINT AS overlaps FROM pack_limits WHERE capacity_tokens >= 1",
+    "p9_faults": "SELECT source, false AS repeated_too_often, false AS off_target FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE length(text) > 0)",
     "p10_repeats": _LATER + " SELECT doc_id, span_start, span_end FROM spans",
     "p10_found": _RUNS + " SELECT doc_id, span_start, span_end FROM spans",
     "p10_shared": _RUNS

@@ -115,3 +115,24 @@ def test_raking_meets_all_margins_without_caps():
     use = mixing.rake(cells, [{"s": 0.5, "r": 0.5}, {"x": 0.4, "y": 0.6}, {"t": 1.0}], dict.fromkeys(cells, 100.0), 100.0)
     by = lambda axis, v: sum(n * use[c] for c, n in cells.items() if c[axis] == v)
     assert by(0, "s") == pytest.approx(50, rel=1e-3) and by(1, "x") == pytest.approx(40, rel=1e-3)
+
+
+def test_a_cell_is_cut_as_finely_as_its_documents(spark):
+    # One cell of 20,000 documents: steps of a 256th would be 78 documents wide.
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("en").alias("language"), F.lit("x").alias("topic"), (F.col("id") % 7 + 1).cast("int").alias("n_tokens"))
+    df = df.unionByName(df.withColumn("doc_id", F.col("doc_id") + 20_000).withColumn("source", F.lit("b")))
+    targets = spark.createDataFrame([("a", 0.7123, 1), ("b", 0.2877, 1)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r["actual_share"] for r in mixing.report(mixing.mix(df, targets), targets).collect()}
+    assert abs(got["a"] - 0.7123) < 7 / 100_000 and abs(got["b"] - 0.2877) < 7 / 100_000
+
+
+def test_faults_are_found(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 12), (3, 4)], "doc_id long, n_tokens int")
+    limits = spark.createDataFrame([("l", 10)], "limit_name string, capacity_tokens int")
+    good = packing.pack(sizes, limits)
+    assert tuple(packing.faults(good, sizes, limits).first()) == ("l", 0, 0, 0, 0)
+    assert tuple(packing.faults(good.filter("doc_id != 3"), sizes, limits).first())[1] == 4
+    one = good.withColumns({"container_id": F.lit("c")})
+    assert tuple(packing.faults(one, sizes, limits).first())[2] == 1
+    split = spark.createDataFrame([("l", 10, "c", 1, 0, 0, 2, 0, "c"), ("l", 10, "c", 1, 1, 3, 3, 2, "c")], packing.PLACED)
+    assert tuple(packing.faults(split, sizes.filter("doc_id = 1"), limits).first()) == ("l", 0, 0, 1, 1)
