@@ -94,6 +94,22 @@ def overrule(scored: DataFrame, overrides: DataFrame, markets: DataFrame, key: s
     return joined.withColumns({"confidence": F.when(match, 1.0).otherwise(F.col("confidence")), "decision": F.when(match, "manual-match").when(manual, "manual-block").otherwise(F.col("decision")), "method": F.when(manual, "manual").otherwise(F.col("method"))}).drop("relation")
 
 
+def fold(told: DataFrame, key: str, close: str, apart: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Markets that are the same to score (tokens, numbers, subject, predicate, closing day), as classes: (the rows of their representatives, each class's smallest key; copies: rep, key of the others).
+
+    Copies match each other with full confidence and everything else as their representative does, so
+    only representatives meet and copies follow as one link each: a title of a third of all markets
+    costs a row a market, not their square. Titles without tokens, and keys in apart, stand for themselves.
+    """
+    parts = F.concat_ws("\x1e", *[F.coalesce(F.array_join(c, "\x1f"), F.lit("\x1d")) for c in ("tokens", "numbers", "subject", "predicate")], F.coalesce(F.col(close).cast("string"), F.lit("")))
+    rows = told.filter(F.size("tokens") > 0).select(F.col(key).alias("key"), parts.alias("_same"))
+    if apart is not None:
+        rows = rows.join(apart.select(F.col(key).alias("key")), "key", "left_anti")
+    copies = rows.join(rows.groupBy("_same").agg(F.min("key").alias("rep")), "_same").filter("key != rep").select("rep", "key")
+    copies = Stored(copies).df
+    return told.join(copies.select(F.col("key").alias(key)), key, "left_anti"), copies
+
+
 @dataclass
 class Resolution:
     """event_map (key, event_id, canonical_title, match_method, match_confidence), candidate_pairs, and flagged (pairs for review)."""
@@ -108,10 +124,19 @@ def resolve(markets: DataFrame, key: str = "key", close: str = "close_ts", overr
 
     Every market gets an event; one without a match is an event of its own, method 'singleton'. An
     event's title is its longest, the first key's of equal ones. A market's confidence and method are
-    those of its best matching pair.
+    those of its best matching pair. candidate_pairs holds pairs of representatives (see fold), and each
+    copy with its representative.
     """
     told = Stored(features(markets.select(F.col(key).alias("key"), "title", F.col(close).cast("date").alias("close")))).df
-    pairs = score(candidates(told, "key"), told, "key", "close")
+    named = None if overrides is None else overrides.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    alone, copies = fold(told, "key", "close", named)
+    alone = Stored(alone).df
+    pairs = score(candidates(alone, "key"), alone, "key", "close")
+    ends = [told.select(F.col("key").alias(k), F.col("title").alias(f"title_{k}"), *more) for k, more in (("a", ["category"]), ("b", []))]
+    bonus = F.when(F.col("close").isNull(), 0.0).otherwise(0.10)
+    twins = copies.select(F.col("rep").alias("a"), F.col("key").alias("b")).join(ends[0], "a").join(ends[1], "b").join(told.select(F.col("key").alias("b"), bonus.alias("date_bonus")), "b")
+    twins = twins.select("a", "b", "title_a", "title_b", "category", F.lit(1.0).alias("similarity"), "date_bonus", F.lit(1.0).alias("confidence"), F.lit("fuzzy").alias("method"), F.lit("match").alias("decision"))
+    pairs = pairs.unionByName(twins)
     if overrides is not None:
         pairs = overrule(pairs, overrides, told, "key")
     pairs = Stored(pairs).df
@@ -120,8 +145,8 @@ def resolve(markets: DataFrame, key: str = "key", close: str = "close_ts", overr
     nodes = told.select("key", "title").join(found, F.col("key") == F.col("node"), "left").select("key", "title", F.coalesce("label", "key").alias("label"))
     ids = graph.group_ids(nodes, "label", "key")
     # Longest first; a key that comes first in order wins a tie, so the order is turned round by rank of its text.
-    named = nodes.groupBy("label").agg(F.max(F.length("title")).alias("l")).join(nodes, "label").filter(F.length("title") == F.col("l")).groupBy("label").agg(F.min_by("title", "key").alias("canonical_title"))
-    ends = links.select(F.col("a").alias("key"), "confidence", "method").unionByName(links.select(F.col("b").alias("key"), "confidence", "method"))
-    best = ends.groupBy("key").agg(F.max(F.struct("confidence", "method")).alias("m"))
-    events = nodes.join(ids, "label").join(named, "label").join(best, "key", "left").select("key", "title", F.col("group_id").alias("event_id"), "canonical_title", F.coalesce("m.method", F.lit("singleton")).alias("match_method"), F.col("m.confidence").alias("match_confidence"))
+    longest = nodes.groupBy("label").agg(F.max(F.length("title")).alias("l")).join(nodes, "label").filter(F.length("title") == F.col("l")).groupBy("label").agg(F.min_by("title", "key").alias("canonical_title"))
+    scored = links.select(F.col("a").alias("key"), "confidence", "method").unionByName(links.select(F.col("b").alias("key"), "confidence", "method"))
+    best = scored.groupBy("key").agg(F.max(F.struct("confidence", "method")).alias("m"))
+    events = nodes.join(ids, "label").join(longest, "label").join(best, "key", "left").select("key", "title", F.col("group_id").alias("event_id"), "canonical_title", F.coalesce("m.method", F.lit("singleton")).alias("match_method"), F.col("m.confidence").alias("match_confidence"))
     return Resolution(events, pairs, pairs.filter("decision = 'no-match'"))

@@ -181,3 +181,23 @@ def test_nearest_equals_brute_force(spark):
         assert [got[q][k] for k in range(1, 5)] == order
     similarity.nearest(df, df, "k", "v", 2).collect()
     assert similarity.nearest(df.limit(0), df, "k", "v", 2).count() == 0
+
+
+def test_copies_cost_a_link_each_and_lose_none(spark):
+    import datetime as dt
+
+    day = dt.datetime(2031, 5, 3)
+    rows = [(f"k:{i:03d}", "Will Zed Corp win the cup on 3 May?", day) for i in range(60)] + [("m:1", "Zed Corp to win the cup 3 May", day), ("m:2", "zed corp WIN the cup 3, May", None)]
+    found = resolve.resolve(spark.createDataFrame(rows, "key string, title string, close_ts timestamp"))
+    pairs = found.candidate_pairs.collect()
+    assert len(pairs) <= 70 and {r["b"] for r in pairs if r["a"] == "k:000"} >= {f"k:{i:03d}" for i in range(1, 60)}
+    told = resolve.features(spark.createDataFrame(rows, "key string, title string, close_ts timestamp").select("key", "title", F.col("close_ts").cast("date").alias("close")))
+    every = resolve.score(resolve.candidates(told, "key"), told, "key", "close").filter("decision = 'match'")
+    linked = {frozenset(x) for x in graph.labels(every).groupBy("label").agg(F.collect_set("node").alias("n")).toPandas()["n"]}
+    ours = {frozenset(x) for x in found.event_map.groupBy("event_id").agg(F.collect_set("key").alias("n")).toPandas()["n"] if len(x) > 1}
+    assert ours == linked
+    # A block between two copies holds for that pair only.
+    block = spark.createDataFrame([("k:000", "k:001", "block")], "a string, b string, relation string")
+    again = resolve.resolve(spark.createDataFrame(rows, "key string, title string, close_ts timestamp"), overrides=block)
+    assert {(r["a"], r["b"]): r["decision"] for r in again.candidate_pairs.collect()}["k:000", "k:001"] == "manual-block"
+    assert again.event_map.select("event_id").distinct().count() == found.event_map.select("event_id").distinct().count()
