@@ -12,7 +12,7 @@ from quotemill.session import table
 
 def _markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The binary markets of three venues, one row each, with the time they close and what their tickers say."""
-    defaults = F.broadcast(table(spark, sf_dir, "venue_defaults").select("source", "zone_name", "date_order"))  # a row a venue
+    defaults = F.broadcast(table(spark, sf_dir, "venue_defaults").groupBy("source").agg(F.min("zone_name").alias("zone_name"), F.min("date_order").alias("date_order")))  # a row a venue
     exchange = table(spark, sf_dir, "kalshi_markets").filter("market_type = 'binary'")
     listed = [
         exchange.select("rec_id", F.lit("kalshi").alias("venue"), F.col("ticker").alias("id"), "title", F.col("close_time").alias("text")),
