@@ -260,9 +260,9 @@ def combo_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     g AS (SELECT *, round(100 * CASE WHEN brier IS NULL THEN (0.4 * fresh + 0.4 * (1 - nr)) / 0.8 ELSE 0.4 * fresh + 0.4 * (1 - nr) + 0.2 * calib END, 1) AS score FROM f)
     SELECT source, n AS n_quotes, n_markets, snapshot_ts AS last_snapshot, age AS age_minutes, round(nr, 4) AS null_rate, round(dup, 4) AS duplicate_rate, bad AS prob_violations, partial AS partial_ingest, round(st, 4) AS stale_price_rate, round(combo, 4) AS combo_excluded_rate,
            score AS reliability_score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS reliability_grade,
-           coalesce(nullif(concat_ws('; ', CASE WHEN age > 60 THEN printf('stale: last snapshot %.0f min ago', age) END, CASE WHEN dup > 0 THEN printf('%.1f%% duplicate rows (idempotency broken)', dup * 100) END, CASE WHEN nr > 0.1 THEN printf('%.0f%% of implied_prob is null', nr * 100) END,
-               CASE WHEN bad > 0 THEN bad || ' probability values outside [0,1]' END, CASE WHEN partial THEN 'latest snapshot is unusually small (possible partial ingest)' END, CASE WHEN st > 0.05 THEN printf('%.0f%% of prices are stale-fallback, not live quotes', st * 100) END,
-               CASE WHEN combo > 0 THEN printf('%.0f%% of raw payloads were excluded combo/parlay markets', combo * 100) END), ''), 'healthy') AS issues
+           coalesce(nullif(concat_ws('; ', CASE WHEN age > 60 THEN printf('stale: last snapshot %.0f min ago', round(age)) END, CASE WHEN dup > 0 THEN printf('%.1f%% duplicate rows (idempotency broken)', round(dup * 100, 1)) END, CASE WHEN nr > 0.1 THEN printf('%.0f%% of implied_prob is null', round(nr * 100)) END,
+               CASE WHEN bad > 0 THEN bad || ' probability values outside [0,1]' END, CASE WHEN partial THEN 'latest snapshot is unusually small (possible partial ingest)' END, CASE WHEN st > 0.05 THEN printf('%.0f%% of prices are stale-fallback, not live quotes', round(st * 100)) END,
+               CASE WHEN combo > 0 THEN printf('%.0f%% of raw payloads were excluded combo/parlay markets', round(combo * 100)) END), ''), 'healthy') AS issues
     FROM g""")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole health row, with age, baskets, score, grade and issues in words; the exchange's calibration counts in its score."""
@@ -725,7 +725,7 @@ def score_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticker", "row_id", "implied_prob", "outcome", ((p >= 0.5) == (F.col("outcome") == 1)).cast("int").alias("hit"), stats.bucket(p, 5).alias("prob_bucket"))
 
 
-@_query(f"SELECT substr(string_agg(line, chr(10) ORDER BY gap DESC, line), 1, 1900) AS message FROM (SELECT gap, printf('%s %s off by %.4f', kind, substr(label, 1, 70), gap) AS line FROM ({ORACLE['alerts']}))")
+@_query(f"SELECT substr(string_agg(line, chr(10) ORDER BY gap DESC, line), 1, 1900) AS message FROM (SELECT gap, printf('%s %s off by %.4f', kind, substr(label, 1, 70), round(gap, 4)) AS line FROM ({ORACLE['alerts']}))")
 def alert_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alerts as one message, the widest first."""
     found = alerts(spark, sf_dir)
