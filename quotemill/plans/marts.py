@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quotemill.session import scope
 
@@ -13,6 +14,9 @@ VIEWS = ("stage_events", "union_sources", "quotes_with_event")
 #: What must be made before each: the log of quotes, their scores, and what is measured on them.
 AFTER = {"score_quotes": ("append_log",), "calibration10": ("score_quotes",), "brier_group": ("score_quotes",), "alerts": ("loo_consensus",), "diagnostics_reasons": ("resolve_events",)}
 
+#: The order in which readers get a table, '-' for descending; nulls come last. Files keep no order, so it is made at reading.
+ORDER = {"loo_consensus": ["-abs_deviation", "row_id"], "forecast_edges": ["-forecast_prob", "row_id"], "calibration10": ["prob_bucket"], "calibration5": ["prob_bucket"], "brier_group": ["-n", "series"], "quality_scores": ["source"], "resolve_pairs": ["-confidence", "a", "b"], "alerts": ["-gap", "label"]}
+
 
 def ordered(names: Iterable[str], after: dict[str, tuple[str, ...]] | None = None) -> list[str]:
     """The names with all that they need, each after what it needs; ValueError for a circle."""
@@ -53,9 +57,14 @@ def materialise(spark: SparkSession, queries: dict[str, Callable[[SparkSession,
     return made
 
 
-def read(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """A table that was made, or None where it never was; any other error is raised."""
+def read(spark: SparkSession, root: str, name: str, most: int | None = None) -> DataFrame | None:
+    """A table that was made, in its ORDER, the first `most` rows of it if that is given; None where it never was made. Any other error is raised."""
     from quotemill.sources.lake import exists
 
     path = f"{root}/marts/{name}"
-    return spark.read.parquet(path) if exists(spark, path) else None
+    if not exists(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    if name in ORDER:
+        rows = rows.orderBy(*[F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in ORDER[name]])
+    return rows if most is None else rows.limit(most)

@@ -776,3 +776,47 @@ def entity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markets by category and source, and how many name an entity of the fixed list."""
     rows = table(spark, sf_dir, "event_map").select("category", "source", (F.size(titles.entities(titles.tokens(F.col("title")))) > 0).alias("named"))
     return rows.groupBy("category", "source").agg(F.count("*").alias("n_markets"), F.count_if("named").alias("n_with_entity"))
+
+
+@_query("""
+    SELECT source, count(*) AS n, count(*) FILTER (WHERE payload IS NULL) AS n_empty, count(*) FILTER (WHERE source IS NULL OR market_id IS NULL OR snapshot_ts IS NULL) AS n_damaged, max(snapshot_ts) AS last FROM raw_records GROUP BY source""")
+def message_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records as messages of a topic, read back, by source."""
+    back = topic.decode(topic.encode(table(spark, sf_dir, "raw_records")))
+    return back.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("payload").isNull()).alias("n_empty"), F.count_if(F.col("damaged").isNotNull()).alias("n_damaged"), F.max("snapshot_ts").alias("last"))
+
+
+@_query("""
+    WITH k AS (SELECT DISTINCT source || ':' || market_id AS k FROM event_map),
+    p AS (SELECT least(source_a || ':' || market_id_a, source_b || ':' || market_id_b) AS a, greatest(source_a || ':' || market_id_a, source_b || ':' || market_id_b) AS b, decision, confidence, match_method FROM candidate_pairs),
+    s AS (SELECT a, b, max(confidence) AS confidence FROM p WHERE a <> b AND decision IN ('match', 'no-match') GROUP BY a, b),
+    o AS (SELECT a, b, min(CASE WHEN decision = 'manual-match' THEN 'match' ELSE 'block' END) AS relation FROM p WHERE a <> b AND decision LIKE 'manual%' AND a IN (SELECT k FROM k) AND b IN (SELECT k FROM k) GROUP BY a, b)
+    SELECT coalesce(s.a, o.a) AS a, coalesce(s.b, o.b) AS b, CASE WHEN relation = 'match' THEN 1.0::DOUBLE ELSE confidence END AS confidence, CASE WHEN relation = 'match' THEN 'manual-match' WHEN relation = 'block' THEN 'manual-block' WHEN confidence >= 0.6 THEN 'match' ELSE 'no-match' END AS decision, CASE WHEN relation IS NULL THEN 'fuzzy' ELSE 'manual' END AS method
+    FROM s FULL JOIN o ON s.a = o.a AND s.b = o.b""")
+def overruled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored pairs with the manual decisions among them put in, also for pairs that were never scored, if both markets are known."""
+    key = lambda s: F.concat_ws(":", f"source_{s}", f"market_id_{s}")
+    pairs = table(spark, sf_dir, "candidate_pairs").select(F.least(key("a"), key("b")).alias("a"), F.greatest(key("a"), key("b")).alias("b"), "decision", "confidence").filter("a != b")
+    scored = pairs.filter("decision in ('match', 'no-match')").groupBy("a", "b").agg(F.max("confidence").alias("confidence")).withColumns({"decision": F.when(F.col("confidence") >= resolve.THRESHOLD, "match").otherwise("no-match"), "method": F.lit("fuzzy")})
+    manual = pairs.filter("decision like 'manual%'").select("a", "b", F.regexp_replace("decision", "manual-", "").alias("relation"))
+    known = table(spark, sf_dir, "event_map").select(F.concat_ws(":", "source", "market_id").alias("key")).distinct()
+    return resolve.overrule(scored, manual, known, "key").select("a", "b", "confidence", "decision", "method")
+
+
+@_query("""
+    WITH o AS (SELECT ticker AS market_id, max(CASE WHEN settle_result = 'yes' THEN 1 ELSE 0 END) AS outcome FROM kalshi_markets WHERE settle_result IN ('yes', 'no') GROUP BY ticker)
+    SELECT market_id, CASE WHEN market_id LIKE '%T0' THEN 1 - outcome ELSE outcome END AS outcome FROM o""")
+def outcome_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of settled markets put into CSV files, some of them corrected by a second run, and read again: the later one holds."""
+    path = os.path.join(shared_folder(spark), f"outcomes-{uuid.uuid4().hex}")
+    settled = table(spark, sf_dir, "kalshi_markets").filter("settle_result in ('yes', 'no')").groupBy(F.col("ticker").alias("market_id")).agg(F.max((F.col("settle_result") == "yes").cast("int")).alias("outcome"))
+    lake.upsert_outcomes(spark, settled, path)
+    lake.upsert_outcomes(spark, settled.filter("market_id like '%T0'").withColumn("outcome", 1 - F.col("outcome")), path)
+    return lake.resolutions(spark, path)
+
+
+@_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and their values by hour and type: the windowed sums of a stream, over all that is there."""
+    found = topic.windowed(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], F.when(~F.isnan("value"), F.col("value")))
+    return found.select("window_start", "event_type", "n", F.round("total", 4).alias("total"))

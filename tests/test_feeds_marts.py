@@ -101,3 +101,11 @@ def test_results_are_written_in_order(spark, tmp_path):
 def test_score_summary_without_outcomes(spark):
     log = spark.range(3)
     assert tuple(measures.score_summary(log, spark.createDataFrame([], "hit int")).first()) == (3, 0, None)
+
+
+def test_tables_are_read_in_their_order(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 0.1), ("a", 0.3), ("d", None), ("c", 0.3)], "label string, gap double")
+    marts.materialise(spark, {"alerts": lambda s, f: rows, "loo_consensus": lambda s, f: s.createDataFrame([], "row_id int, abs_deviation double")}, ["alerts"], "x", str(tmp_path))
+    assert [r["label"] for r in marts.read(spark, str(tmp_path), "alerts").collect()] == ["a", "c", "b", "d"]
+    assert [r["label"] for r in marts.read(spark, str(tmp_path), "alerts", most=2).collect()] == ["a", "c"]
+    assert marts.read(spark, str(tmp_path), "loo_consensus").count() == 0
