@@ -58,13 +58,13 @@ def materialise(spark: SparkSession, queries: dict[str, Callable[[SparkSession,
 
 
 def read(spark: SparkSession, root: str, name: str, most: int | None = None) -> DataFrame | None:
-    """A table that was made, in its ORDER, the first `most` rows of it if that is given; None where it never was made. Any other error is raised."""
+    """A table that was made, in its ORDER (by the columns of it that the table has), the first `most` rows of it if that is given; None where it never was made. Any other error is raised."""
     from quotemill.sources.lake import exists
 
     path = f"{root}/marts/{name}"
     if not exists(spark, path):
         return None
     rows = spark.read.parquet(path)
-    if name in ORDER:
-        rows = rows.orderBy(*[F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in ORDER[name]])
+    order = [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in ORDER.get(name, []) if c.lstrip("-") in rows.columns]
+    rows = rows.orderBy(*order) if order else rows
     return rows if most is None else rows.limit(most)
