@@ -94,8 +94,8 @@ def overrule(scored: DataFrame, overrides: DataFrame, markets: DataFrame, key: s
     return joined.withColumns({"confidence": F.when(match, 1.0).otherwise(F.col("confidence")), "decision": F.when(match, "manual-match").when(manual, "manual-block").otherwise(F.col("decision")), "method": F.when(manual, "manual").otherwise(F.col("method"))}).drop("relation")
 
 
-def fold(told: DataFrame, key: str, close: str, apart: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Markets that are the same to score (tokens, numbers, subject, predicate, closing day), as classes: (the rows of their representatives, each class's smallest key; copies: rep, key of the others).
+def fold(told: DataFrame, key: str, close: str, apart: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Markets that are the same to score (tokens, numbers, subject, predicate, closing day), as classes: (the rows of their representatives, each class's smallest key; copies: rep, key of the others; None if there are none).
 
     Copies match each other with full confidence and everything else as their representative does, so
     only representatives meet and copies follow as one link each: a title of a third of all markets
@@ -107,7 +107,9 @@ def fold(told: DataFrame, key: str, close: str, apart: DataFrame | None = None)
         rows = rows.join(apart.select(F.col(key).alias("key")), "key", "left_anti")
     copies = rows.join(rows.groupBy("_same").agg(F.min("key").alias("rep")), "_same").filter("key != rep").select("rep", "key")
     copies = Stored(copies).df
-    return told.join(copies.select(F.col("key").alias(key)), key, "left_anti"), copies
+    if copies.isEmpty():
+        return told, None
+    return Stored(told.join(copies.select(F.col("key").alias(key)), key, "left_anti")).df, copies
 
 
 @dataclass
@@ -130,13 +132,12 @@ def resolve(markets: DataFrame, key: str = "key", close: str = "close_ts", overr
     told = Stored(features(markets.select(F.col(key).alias("key"), "title", F.col(close).cast("date").alias("close")))).df
     named = None if overrides is None else overrides.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     alone, copies = fold(told, "key", "close", named)
-    alone = Stored(alone).df
     pairs = score(candidates(alone, "key"), alone, "key", "close")
-    ends = [told.select(F.col("key").alias(k), F.col("title").alias(f"title_{k}"), *more) for k, more in (("a", ["category"]), ("b", []))]
-    bonus = F.when(F.col("close").isNull(), 0.0).otherwise(0.10)
-    twins = copies.select(F.col("rep").alias("a"), F.col("key").alias("b")).join(ends[0], "a").join(ends[1], "b").join(told.select(F.col("key").alias("b"), bonus.alias("date_bonus")), "b")
-    twins = twins.select("a", "b", "title_a", "title_b", "category", F.lit(1.0).alias("similarity"), "date_bonus", F.lit(1.0).alias("confidence"), F.lit("fuzzy").alias("method"), F.lit("match").alias("decision"))
-    pairs = pairs.unionByName(twins)
+    if copies is not None:
+        ends = [told.select(F.col("key").alias(k), F.col("title").alias(f"title_{k}"), *more) for k, more in (("a", ["category"]), ("b", []))]
+        bonus = F.when(F.col("close").isNull(), 0.0).otherwise(0.10)
+        twins = copies.select(F.col("rep").alias("a"), F.col("key").alias("b")).join(ends[0], "a").join(ends[1], "b").join(told.select(F.col("key").alias("b"), bonus.alias("date_bonus")), "b")
+        pairs = pairs.unionByName(twins.select("a", "b", "title_a", "title_b", "category", F.lit(1.0).alias("similarity"), "date_bonus", F.lit(1.0).alias("confidence"), F.lit("fuzzy").alias("method"), F.lit("match").alias("decision")))
     if overrides is not None:
         pairs = overrule(pairs, overrides, told, "key")
     pairs = Stored(pairs).df
