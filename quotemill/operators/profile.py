@@ -136,7 +136,7 @@ def distincts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
     return rows.groupBy(*keys, "column_name", "_x", "_y").agg(F.lit(1).alias("one")).groupBy(*keys, "column_name").agg(F.count("*").alias("n_distinct"))
 
 
-def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, ranges: dict[str, tuple[float, float]] | None = None, patterns: dict[str, str] | None = None, distinct: Sequence[str] | None = None, text_bounds: bool = True) -> DataFrame:
+def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, ranges: dict[str, tuple[float, float]] | None = None, patterns: dict[str, str] | None = None, distinct: Sequence[str] | None = None, text_bounds: bool = True, sums: Sequence[str] | None = None) -> DataFrame:
     """One row for each group and column: keys, column_name, n_rows, n_null, n_values, null_rate, n_distinct, min_value, max_value, n_out_of_range, n_blank, n_off_pattern, s1..s4, sum1..sum4 (see power_sums), mean, stddev, skewness, kurtosis.
 
     Two passes: one of mergeable aggregates, which shuffles a row a task and group, and grouped
@@ -144,7 +144,8 @@ def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None =
     structs; the others' n_distinct is null). ranges gives closed bounds of numbers, patterns the regex
     that a whole text must match; violations are counted among non-null values, blank texts also count
     as off pattern. Without text_bounds texts have no min_value and max_value, which keeps the pass a
-    hash aggregate. NaN is missing. Arrays and structs get nulls and counts only. An empty table gives
+    hash aggregate. Power sums and moments are those of the columns in sums, by default of all numbers.
+    NaN is missing. Arrays and structs get nulls and counts only. An empty table gives
     no rows.
     """
     ranges, patterns = ranges or {}, patterns or {}
@@ -163,8 +164,8 @@ def profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None =
             "n_blank": F.count_if(F.trim(v) == "") if text else null.cast("bigint"),
             "n_off_pattern": F.count_if((F.trim(v) == "") | ~v.rlike(f"^(?:{patterns[c]})\\z")) if c in patterns else null.cast("bigint"),
         }
-        sums = power_sums(v.cast("double")) if number else [null.cast("decimal(38,0)")] * 4 + [null.cast("double")] * 4
-        aggregates += [x.alias(f"{n}_{i}") for n, x in parts.items()] + [x.alias(f"{n}_{i}") for n, x in zip(SUMS, sums)]
+        powers = power_sums(v.cast("double")) if number and (sums is None or c in sums) else [null.cast("decimal(38,0)")] * 4 + [null.cast("double")] * 4
+        aggregates += [x.alias(f"{n}_{i}") for n, x in parts.items()] + [x.alias(f"{n}_{i}") for n, x in zip(SUMS, powers)]
     names = ["n_rows", "n_values", "min_value", "max_value", "n_out_of_range", "n_blank", "n_off_pattern", *SUMS]
     wide = df.groupBy(*keys).agg(*aggregates)
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{n}_{i}").alias(n) for n in names]) for i, c in enumerate(columns)])
@@ -211,7 +212,7 @@ def out_of_line(quotes: DataFrame, health: DataFrame, load: str = "load_id", sou
     keys = [load, source]
     price = present(F.col("price"), quotes.schema["price"].dataType)
     folded = quotes.select(*keys, "price", "implied_prob", "close_ts", "outcome", F.lower("quote_key").alias("quote_key"))
-    found = profile(folded, keys, ranges={"implied_prob": (0.0, 1.0)}, patterns={"outcome": "[A-Za-z0-9 .'-]*"}, distinct=["quote_key"], text_bounds=False)
+    found = profile(folded, keys, ranges={"implied_prob": (0.0, 1.0)}, patterns={"outcome": "[A-Za-z0-9 .'-]*"}, distinct=["quote_key"], text_bounds=False, sums=["price"])
     long = Stored(found).df  # a row a group and column, read twice
     of = lambda column, value: F.max(F.when(F.col("column_name") == column, F.col(value)))
     base = long.groupBy(*keys).agg(
